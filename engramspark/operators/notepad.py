@@ -67,20 +67,27 @@ def index_segments(notes: DataFrame, segment: int = 1000) -> DataFrame:
     )
 
 
-def search_notes(notes: DataFrame, queries: DataFrame) -> DataFrame:
+def search_notes(notes: DataFrame, queries: DataFrame, query_block: int = 256) -> DataFrame:
     """Notes containing ANY query word in their date or content; carries the ordinal.
 
     ``queries(store_id, query_id, query_text)``; a query without words finds nothing.
+    Queries travel in blocks as one array, so a note meets a block per row and only
+    its matches become rows.
     """
-    terms = queries.select(
-        "store_id", "query_id",
-        F.filter(F.split(F.lower("query_text"), r"\s+"), lambda t: t != "").alias("terms"),
+    terms = F.filter(F.split(F.lower("query_text"), r"\s+"), lambda t: t != "")
+    sizes = queries.groupBy("store_id").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("_nb"))
+    blocks = (
+        queries.join(sizes, "store_id")
+        .groupBy("store_id", F.pmod(F.xxhash64("query_id"), F.col("_nb")).alias("_b"))
+        .agg(F.collect_list(F.struct("query_id", terms.alias("terms"))).alias("_queries"))
+        .drop("_b")
     )
     text = F.lower(F.concat_ws(" ", F.coalesce("date", F.lit("")), "content"))
+    hits = F.filter("_queries", lambda q: F.exists(q["terms"], lambda t: F.contains(F.col("_text"), t)))
     return (
-        number_notes(notes).withColumn("_text", text).join(terms, "store_id")
-        .where(F.exists("terms", lambda t: F.contains(F.col("_text"), t)))
-        .drop("_text", "terms")
+        number_notes(notes).withColumn("_text", text).join(blocks, "store_id")
+        .withColumn("query_id", F.explode(F.transform(hits, lambda q: q["query_id"])))
+        .drop("_text", "_queries")
     )
 
 
