@@ -24,7 +24,7 @@ def forget_score(
     recency = F.when(
         access_count > 0, F.lit(1.0) / (F.lit(1.0) + (now - last_access_ms) / HOUR_MS)
     ).otherwise(F.lit(0.0))
-    return (F.lit(1.0) - salience) * F.log1p(age) - recency
+    return (F.lit(1.0) - salience) * F.log(F.lit(1.0) + age) - recency
 
 
 def score_passages(passages: DataFrame, as_of_ms) -> DataFrame:

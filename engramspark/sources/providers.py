@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,9 +65,13 @@ def with_retry(call: Callable, *args, waits=RETRY_WAITS, sleep=time.sleep):
 
 
 class HashEmbedder:
-    """Signed bag-of-words counts in ``dim`` buckets: whole numbers, so equal word bags tie exactly."""
+    """Signed counts of letter trigrams in ``dim`` buckets: a stand-in for a model.
 
-    def __init__(self, dim: int = 64):
+    Similar spellings get similar vectors. Components are whole numbers, so dot products are
+    exact and texts with equal trigrams tie exactly.
+    """
+
+    def __init__(self, dim: int = 128):
         self.dim = dim
 
     def column(self, text: Column, input_type: str = "document") -> Column:
@@ -74,24 +79,26 @@ class HashEmbedder:
 
         @F.pandas_udf("array<double>")
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            slots: dict[str, tuple[int, float]] = {}
-
-            def slot(word: str) -> tuple[int, float]:
-                if word not in slots:
-                    if len(slots) > 500_000:
-                        slots.clear()
-                    h = hashlib.md5(word.encode()).hexdigest()
-                    slots[word] = int(h[:4], 16) % dim, 1.0 if int(h[4], 16) < 8 else -1.0
-                return slots[word]
-
-            def one(t: str | None) -> list[float] | None:
+            known: dict[str, np.ndarray] = {}
+
+            def word_vector(word: str) -> np.ndarray:
+                if word not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    v, padded = np.zeros(dim), f"#{word}#"
+                    for i in range(len(word)):
+                        h = hashlib.md5(padded[i : i + 3].encode()).hexdigest()
+                        v[int(h[:4], 16) % dim] += 1.0 if int(h[4], 16) < 8 else -1.0
+                    known[word] = v
+                return known[word]
+
+            def one(t: str | None) -> np.ndarray | None:
                 if t is None:
                     return None
-                v = [0.0] * dim
+                v = np.zeros(dim)
                 for word in t.split(" "):
                     if word:
-                        i, sign = slot(word)
-                        v[i] += sign
+                        v += word_vector(word)
                 return v
 
             for s in batches:

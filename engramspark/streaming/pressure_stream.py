@@ -21,7 +21,7 @@ FLUSH = (
 
 
 def utf16_len(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) + sum(c > "\uffff" for c in text)
 
 
 def head_summary(buffer: str) -> str:
