@@ -100,7 +100,7 @@ def document_memory(spark: SparkSession, sf: str) -> Memory:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _memories:
         _memories[key] = index_exchanges(
-            document_rows(spark, sf), ["doc_id"], EXTRACTOR, EMBEDDER, allow_crowded=True
+            document_rows(spark, sf), ["doc_id"], EXTRACTOR, EMBEDDER
         ).materialized()
     return _memories[key]
 

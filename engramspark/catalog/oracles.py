@@ -137,34 +137,48 @@ FACT_SCORES = (
 PASSAGE_SCORES = (
     "pi as (select store_id, passage_seq, 'p' || text as ik from pas)," + scores("ps", "pi", "ik")
 )
-SYNONYMS = """
+SIMILAR = """
 ei as (select *, 'e' || entity as ik from ent),
 ev as materialized (
-  select e.store_id, e.entity, e.entity_seq, v.dim, v.x, nv.n from ei e join v on v.k = e.ik join nv on nv.k = e.ik),
+  select e.store_id, e.entity, e.entity_seq, e.first_passage_seq as born, v.dim, v.x, nv.n from ei e join v on v.k = e.ik join nv on nv.k = e.ik),
 ed as materialized (
-  select a.store_id, a.entity as a, b.entity as b, any_value(b.entity_seq) as b_seq,
-         sum(a.x * b.x) / (any_value(a.n) * any_value(b.n)) as score
+  select a.store_id, a.entity as a, b.entity as b, any_value(a.born) as a_born, any_value(b.born) as b_born,
+         any_value(b.entity_seq) as b_seq, sum(a.x * b.x) / (any_value(a.n) * any_value(b.n)) as score
   from ev a join ev b on a.store_id = b.store_id and a.dim = b.dim
-  where a.entity <> b.entity group by a.store_id, a.entity, b.entity),
+  where a.entity <> b.entity and length(regexp_replace(a.entity, '[^A-Za-z0-9]', '', 'g')) > 2
+  group by a.store_id, a.entity, b.entity)"""
+
+
+def ledger(threshold: float, k: int) -> str:
+    """Edge weights with every similarity edge set at its last time among the best ``k``."""
+    return f"""{SIMILAR},
+near as materialized (select * from ed where score >= {threshold}),
+gone as materialized (
+  select x.store_id, x.a, x.b, list_sort(list(y.b_born) filter (where y.b is not null))[{k}] as left_at
+  from near x left join near y on x.store_id = y.store_id and x.a = y.a
+    and (y.score > x.score or (y.score = x.score and y.b_seq < x.b_seq))
+  group by x.store_id, x.a, x.b),
 syn as materialized (
-  select store_id, a, b, score from (
-    select *, row_number() over (partition by store_id, a order by score desc, b_seq) as rn from ed where score >= 0.8)
-  where rn <= 10 and length(regexp_replace(a, '[^A-Za-z0-9]', '', 'g')) > 2)"""
-
-LEDGER = """
-last as (select store_id, max(first_passage_seq) as t from ent group by all),
-adds as (
-  select store_id, src, dst, count(*)::double as n, count(*) filter (where passage_seq > t)::double as late from (
-    select store_id, 'entity:' || subject as src, 'entity:' || object as dst, passage_seq from tri
-    union all select store_id, 'entity:' || object, 'entity:' || subject, passage_seq from tri)
-  join last using (store_id) group by all),
-sets as (
-  select store_id, src, dst, max(score) as s from (
-    select store_id, 'entity:' || a as src, 'entity:' || b as dst, score from syn
-    union all select store_id, 'entity:' || b, 'entity:' || a, score from syn) group by all),
+  select n.store_id, n.a, n.b, any_value(n.score) as score, max(i.t) as set_at
+  from near n join gone g using (store_id, a, b)
+  join (select distinct store_id, first_passage_seq as t from ent) i on i.store_id = n.store_id
+    and i.t >= greatest(n.a_born, n.b_born) and (g.left_at is null or i.t < g.left_at)
+  group by n.store_id, n.a, n.b),
+ends as materialized (
+  select store_id, 'entity:' || subject as src, 'entity:' || object as dst, passage_seq from tri
+  union all select store_id, 'entity:' || object, 'entity:' || subject, passage_seq from tri),
+sets as materialized (
+  select store_id, src, dst, max(score) as s, max(set_at) as t from (
+    select store_id, 'entity:' || a as src, 'entity:' || b as dst, score, set_at from syn
+    union all select store_id, 'entity:' || b, 'entity:' || a, score, set_at from syn) group by all),
+late as (select store_id, src, dst, count(*) as late from ends join sets using (store_id, src, dst) where passage_seq > t group by all),
+adds as (select store_id, src, dst, count(*)::double as n from ends group by all),
 led as materialized (
   select store_id, src, dst, case when s is not null then s + coalesce(late, 0) else n end as w
-  from adds full join sets using (store_id, src, dst))"""
+  from adds full join sets using (store_id, src, dst) left join late using (store_id, src, dst))"""
+
+
+LEDGER = ledger(0.8, 10)
 
 RECALL = """
 ext as (select store_id, query_id, min(score) as lo, max(score) as hi from fs group by all),
@@ -244,7 +258,7 @@ where rank <= 10 and (rank = 1 or score >= top * 0.2)"""
 
 
 def recall_sql(candidates: str, filters: str, allowed: str) -> str:
-    parts = [MEMORY, FACT_SCORES, PASSAGE_SCORES, SYNONYMS, LEDGER, *([filters] if filters else []),
+    parts = [MEMORY, FACT_SCORES, PASSAGE_SCORES, LEDGER, *([filters] if filters else []),
              RECALL.format(cand=candidates), SEEDS, PPR, ranked(allowed).lstrip("\n")]
     body = ",".join(parts[:-1]) + "," + parts[-1]
     return "with recursive " + body
@@ -327,7 +341,7 @@ fw as materialized (select query_id, unnest(regexp_split_to_array(lower(p_name),
 
 EVENT_PASSAGES = """
 ep as materialized (
-  select event_type as store_id, event_id as passage_seq, least(1.0, value / 500) as salience, epoch_ms(ts) as t0,
+  select event_type as store_id, event_id as passage_seq, least(1.0, value / 500) as salience, epoch_us(ts) // 1000 as t0,
          (props->>'$.k')::bigint as k from events),
 fscore as materialized (
   select store_id, passage_seq, (1.0 - salience) * ln(1.0 + (1706745600000 - t0) / 3600000.0)
@@ -438,7 +452,10 @@ ORACLES: dict[str, str] = {
           select c_mktsegment as store_id, count(*) as passages from orders join customer on o_custkey = c_custkey group by all)
         join (select store_id, count(distinct entity) as entities from seen group by all) using (store_id)
         join (select store_id, count(distinct subject || ' ' || predicate || ' ' || object) as facts from tri group by all) using (store_id)""",
-    "edge_ledger": f"with {MEMORY}, {SYNONYMS}, {LEDGER} select store_id, src, dst, round(w, 9) as w from led",
+    "edge_ledger": f"with {MEMORY}, {LEDGER} select store_id, src, dst, round(w, 9) as w from led",
+    "crowded_ledger": f"with {MEMORY}, {ledger(0.5, 2)} select store_id, src, dst, round(w, 9) as w from led",
+    "synonym_edges": f"""with {MEMORY}, {SIMILAR} select store_id, a, b, rank, round(score, 9) as score from (
+        select *, row_number() over (partition by store_id, a order by score desc, b_seq) as rank from ed where score >= 0.8) where rank <= 10""",
     "cosine_topk": f"""with {SIMS} select query_id, item_id, rank, round(score, 9) as score from (
         select *, row_number() over (partition by query_id order by score desc, item_id) as rank from sim) where rank <= 10""",
     "knn_synonyms": f"""with {SIMS} select query_id, item_id, rank, round(score, 9) as score from (

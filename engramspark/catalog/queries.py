@@ -150,16 +150,23 @@ def store_stats(spark, sf):
 
 def edge_ledger(spark, sf):
     m = src.document_memory(spark, sf)
-    edges = graph.ledger_edges(m.triples, m.entities, graph.synonym_pairs(m.entities))
+    edges = graph.ledger_edges(m.triples, graph.synonym_writes(m.entities))
     return edges.select("store_id", "src", "dst", r9("w").alias("w"))
 
 
-def replayed_edges(spark, sf):
+def crowded_ledger(spark, sf):
+    """The ledger with two neighbours per entity, so that later ones push earlier ones out."""
     m = src.document_memory(spark, sf)
-    edges = graph.replayed_edges(m.triples, m.entities)
+    few = MemoryConfig(synonymy_top_k=2, synonymy_threshold=0.5)
+    edges = graph.ledger_edges(m.triples, graph.synonym_writes(m.entities, few))
     return edges.select("store_id", "src", "dst", r9("w").alias("w"))
 
 
+def synonym_edges(spark, sf):
+    m = src.document_memory(spark, sf)
+    return graph.synonym_pairs(m.entities).select("store_id", "a", "b", "rank", r9("score").alias("score"))
+
+
 def _order_seeds(spark, sf):
     """Each supplier asks from its own node, weighted by how much of its business is there."""
     lines = src.order_lines(spark, sf)
@@ -578,6 +585,7 @@ QUERIES = {
         entity_ids, passage_ids, token_estimates, text_previews, json_replies, verdicts,
         fact_dedupe, entity_first_seen, entity_mentions, new_facts, id_collisions, document_extraction,
         fact_edges, passage_edges, graph_nodes, out_weights, store_stats, edge_ledger,
+        crowded_ledger, synonym_edges,
         ppr_scores, ppr_scores_distributed,
         cosine_topk, knn_synonyms, similar_pairs, minmax_scores,
         candidate_facts, filtered_candidates, recognized_triples, entity_seed_weights,

@@ -36,6 +36,7 @@ class MemoryConfig:
     kernel_max_edges: int = 2_000_000
     kernel_query_block: int = 32
     heavy_node_edges: int = 500_000
+    ppr_unroll: int = 4
     fold_block: int = 100_000
     ordinal_group_rows: int = 2_000_000
 

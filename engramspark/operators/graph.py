@@ -6,11 +6,16 @@ An edge table holds both directions: ``(store_id, src, dst, w)``. Node names are
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
 from ..functions.text import significant_name
+from .groups import map_groups, ordinals
 from .similarity import knn_join
 
 
@@ -89,7 +94,7 @@ def remove_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def synonym_pairs(entities: DataFrame, config: MemoryConfig = DEFAULT) -> DataFrame:
-    """Similar entities found from either side: ``(store_id, a, b, score)``.
+    """Similar entities at the present time: ``(store_id, a, b, score, rank)``.
 
     A short name never looks for neighbours but may be found as one, and the cap on
     neighbours counts per searching side only.
@@ -103,34 +108,73 @@ def synonym_pairs(entities: DataFrame, config: MemoryConfig = DEFAULT) -> DataFr
     )
 
 
-def crowded_entities(entities: DataFrame, config: MemoryConfig = DEFAULT) -> DataFrame:
-    """Entities with more neighbours above the threshold than the cap keeps."""
-    more = config.override(synonymy_top_k=config.synonymy_top_k + 1)
-    return synonym_pairs(entities, more).where(F.col("rank") > config.synonymy_top_k)
+def synonym_writes(entities: DataFrame, config: MemoryConfig = DEFAULT) -> DataFrame:
+    """When each similarity edge was last written: ``(store_id, a, b, score, set_at)``.
+
+    Similarity edges are rewritten at every passage that introduces an entity, for the best
+    neighbours of that time, and are never withdrawn. Neighbour b leaves a's best ``k`` for
+    good when the k-th better neighbour is born, so its last write is the introducing
+    passage before that birth, or the newest one when it never left.
+    """
+    k = config.synonymy_top_k
+    items = entities.select(
+        "store_id", F.col("entity").alias("item_id"), F.col("entity_seq").alias("seq"), "vec",
+        F.col("first_passage_seq").cast("bigint").alias("born"),
+    )
+    found = knn_join(items, ["store_id"], config.synonymy_threshold, k, config, over_time=True)
+    found = found.where(significant_name(F.col("query_id")))
+
+    def leave_times(t: pa.Table) -> dict:
+        births: list[int] = []
+        out = []
+        for born in t["born"].to_pylist():
+            out.append(births[k - 1] if len(births) >= k else None)
+            insort(births, born)
+            del births[k:]
+        same = {c: t[c].combine_chunks() for c in ("store_id", "query_id", "item_id", "score")}
+        together = pc.max_element_wise(t["query_born"], t["born"])
+        return same | {"together": together.combine_chunks(), "left_at": out}
+
+    store = found.schema["store_id"].dataType.simpleString()
+    spans = map_groups(
+        found, ["store_id", "query_id"], [F.desc("score"), F.col("seq")], leave_times,
+        f"store_id {store}, query_id string, item_id string, score double, together bigint, left_at bigint",
+    ).where(F.col("left_at").isNull() | (F.col("left_at") > F.col("together")))
+    intros = entities.select("store_id", F.col("first_passage_seq").cast("bigint").alias("t")).distinct()
+    numbered = ordinals(intros, ["store_id"], ["t"], "n")
+    before = numbered.select("store_id", F.col("t").alias("left_at"), (F.col("n") - 1).alias("n")).join(
+        numbered.select("store_id", "n", F.col("t").alias("prev")), ["store_id", "n"]
+    ).drop("n")
+    newest = intros.groupBy("store_id").agg(F.max("t").alias("newest"))
+    return (
+        spans.join(before, ["store_id", "left_at"], "left").join(newest, "store_id")
+        .select("store_id", F.col("query_id").alias("a"), F.col("item_id").alias("b"), "score",
+                F.when(F.col("left_at").isNull(), F.col("newest")).otherwise(F.col("prev")).alias("set_at"))
+    )
 
 
-def ledger_edges(triples: DataFrame, entities: DataFrame, synonyms: DataFrame) -> DataFrame:
+def ledger_edges(triples: DataFrame, writes: DataFrame) -> DataFrame:
     """Entity edges after all writes: a similarity edge overwrites, later triples add on top.
 
-    Similarity edges are last written at the newest passage that introduced an entity, so a
-    similar pair weighs its score plus its triples after that passage; any other pair
-    weighs all its triples. Exact while no entity has more neighbours than the cap
-    (see ``crowded_entities``) and nothing was forgotten.
+    A similar pair weighs its score plus its triples from passages after the pair's last
+    write (from either side); any other pair weighs all its triples.
     """
-    last = entities.groupBy("store_id").agg(F.max("first_passage_seq").alias("_last"))
+    key = ["store_id", "src", "dst"]
     ends = triples.select(
         "store_id", entity_node(F.col("subject")).alias("s"), entity_node(F.col("object")).alias("o"),
         F.col("passage_seq").cast("bigint").alias("passage_seq"),
-    ).join(last, "store_id")
-    late = F.sum(F.when(F.col("passage_seq") > F.col("_last"), 1.0).otherwise(0.0))
-    adds = both_ways(ends, "s", "o", "passage_seq", "_last").groupBy("store_id", "src", "dst").agg(
-        F.count(F.lit(1)).cast("double").alias("_all"), late.alias("_late")
     )
+    adds = fact_edges(triples).withColumnRenamed("w", "_all")
     sets = both_ways(
-        synonyms.select("store_id", entity_node(F.col("a")).alias("s"), entity_node(F.col("b")).alias("o"), "score"),
-        "s", "o", "score",
-    ).groupBy("store_id", "src", "dst").agg(F.max("score").alias("_set"))
+        writes.select("store_id", entity_node(F.col("a")).alias("s"), entity_node(F.col("b")).alias("o"), "score", "set_at"),
+        "s", "o", "score", "set_at",
+    ).groupBy(*key).agg(F.max("score").alias("_set"), F.max("set_at").alias("_at"))
+    late = (
+        both_ways(ends, "s", "o", "passage_seq").join(sets, key)
+        .where(F.col("passage_seq") > F.col("_at"))
+        .groupBy(*key).agg(F.count(F.lit(1)).cast("double").alias("_late"))
+    )
     w = F.when(F.col("_set").isNotNull(), F.col("_set") + F.coalesce("_late", F.lit(0.0)))
-    return adds.join(sets, ["store_id", "src", "dst"], "full").select(
-        "store_id", "src", "dst", w.otherwise(F.col("_all")).alias("w")
+    return adds.join(sets, key, "full").join(late, key, "left").select(
+        *key, w.otherwise(F.col("_all")).alias("w")
     )

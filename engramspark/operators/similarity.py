@@ -8,6 +8,7 @@ emits only its local winners. No task sees a whole store and no pair list is bui
 from __future__ import annotations
 
 import math
+from bisect import bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
 from ..functions.vector import cosine
-from ..session import materialize
+from ..session import lookup, materialize
 from .groups import largest_group, map_groups, top_rows
 
 
@@ -84,7 +85,7 @@ def score_blocks(
     keys = list(keys)
     q = queries.select(*keys, "query_id", "vec").where(F.col("vec").isNotNull())
     it = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec")
-    blocks = (
+    blocks = lookup(
         q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / config.query_block).alias("_nq"))
         .join(it.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / config.item_block).alias("_ni")), keys)
     )
@@ -163,7 +164,7 @@ def _assign_blocks(items: DataFrame, keys: list[str], config: MemoryConfig) -> D
     about one per block. Cells above the block size are split again by hash.
     """
     slot = F.pmod(F.xxhash64("item_id", F.lit(17)), F.lit(config.knn_block))
-    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = lookup(items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     sized = items.join(sizes, keys)
     small = sized.where(F.col("_n") <= config.knn_block).select(
         *items.columns, F.lit(0).cast("bigint").alias("_cell"),
@@ -216,7 +217,7 @@ def _block_pairs(base: DataFrame, keys: list[str], threshold: float, config: Mem
         .where(F.col("_oa") | F.col("_ob") | (F.col("_a") == F.col("_b")) | near)
         .select(*keys, "_a", "_b")
     )
-    members = placed.select(*keys, "_block", "item_id", "seq", "vec")
+    members = placed.drop("_cell", "_angle", "_parts")
     one = members.withColumnRenamed("_block", "_a").join(pairs, [*keys, "_a"]).withColumn("_side", F.lit(0))
     two = (
         members.withColumnRenamed("_block", "_b").join(pairs, [*keys, "_b"])
@@ -225,7 +226,7 @@ def _block_pairs(base: DataFrame, keys: list[str], threshold: float, config: Mem
     return one.unionByName(two).select(
         *keys, F.col("_a._cell").alias("_ac"), F.col("_a.part").alias("_ap"),
         F.col("_b._cell").alias("_bc"), F.col("_b.part").alias("_bp"),
-        "_side", "item_id", "seq", "vec",
+        "_side", *base.columns[len(keys):],
     )
 
 
@@ -235,16 +236,20 @@ def knn_join(
     threshold: float,
     k: int | None,
     config: MemoryConfig = DEFAULT,
+    over_time: bool = False,
 ) -> DataFrame:
     """Per item, its ``k`` most similar other items of the same store at or above ``threshold``.
 
     ``items(keys, item_id, seq, vec)`` with ``seq`` unique in a store. A block is a ball
     (pivot, radius); two blocks whose balls are further apart than the threshold angle
     cannot hold a match and are never compared. The triangle inequality makes this exact.
-    ``k=None`` keeps every pair above the threshold.
+    ``k=None`` keeps every pair above the threshold. With ``over_time`` items also carry
+    ``born`` and every neighbour returns that was among the best ``k`` at any time: when it
+    and the item were both born, fewer than ``k`` better ones were.
     """
     keys = list(keys)
-    base = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec").where(
+    extra = ["born"] if over_time else []
+    base = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec", *extra).where(
         F.col("vec").isNotNull()
     )
     if largest_group(base, keys) <= config.knn_block:
@@ -254,6 +259,8 @@ def knn_join(
     id_type = _type_of(base, "item_id")
     key_schema = ", ".join(f"{c} {_type_of(base, c)}" for c in keys)
     schema = f"{key_schema}, query_id {id_type}, item_id {id_type}, query_seq bigint, seq bigint, score double"
+    if over_time:
+        schema += ", query_born bigint, born bigint"
 
     def kernel(t: pa.Table) -> dict | None:
         n_a = pc.sum(pc.equal(t["_side"], 0)).as_py() or 0
@@ -266,14 +273,13 @@ def knn_join(
         hit = scores >= threshold
         if same:
             np.fill_diagonal(hit, False)
-        frames = [_local_hits(a, b, scores, hit, k, keys)]
+        frames = [_local_hits(a, b, scores, hit, k, keys, over_time)]
         if not same:
-            frames.append(_local_hits(b, a, scores.T, hit.T, k, keys))
-        names = [*keys, "query_id", "item_id", "query_seq", "seq", "score"]
-        return {c: pa.concat_arrays([f[c] for f in frames]) for c in names}
+            frames.append(_local_hits(b, a, scores.T, hit.T, k, keys, over_time))
+        return {c: pa.concat_arrays([f[c] for f in frames]) for c in frames[0]}
 
     found = map_groups(work, unit, ["_side"], kernel, schema)
-    if k is None:
+    if k is None or over_time:
         return found
     return top_rows(found, [*keys, "query_id"], [F.desc("score"), F.col("seq")], k)
 
@@ -285,13 +291,30 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]):
     return cond
 
 
-def _local_hits(a, b, scores, hit, k, keys) -> dict:
+def ever_best(scores: np.ndarray, seq: np.ndarray, born: np.ndarray, since: int, k: int) -> np.ndarray:
+    """Positions that were among the best ``k`` at some time, for an item born at ``since``."""
+    order = np.lexsort((seq, -scores))
+    better: list[int] = []
+    kept = []
+    for i in order.tolist():
+        if bisect_right(better, max(since, int(born[i]))) < k:
+            kept.append(i)
+        insort(better, int(born[i]))
+        del better[k:]
+    return np.array(kept, dtype=np.int64)
+
+
+def _local_hits(a, b, scores, hit, k, keys, over_time=False) -> dict:
     seq = b["seq"].to_numpy()
+    born, since = (b["born"].to_numpy(), a["born"].to_numpy()) if over_time else (None, None)
     rows, cols = [], []
     for i in np.flatnonzero(hit.any(1)):
         pool = np.flatnonzero(hit[i])
         if k is not None and len(pool) > k:
-            pool = pool[best_columns(scores[i, pool], seq[pool], k)]
+            if over_time:
+                pool = pool[ever_best(scores[i, pool], seq[pool], born[pool], int(since[i]), k)]
+            else:
+                pool = pool[best_columns(scores[i, pool], seq[pool], k)]
         rows.append(np.full(len(pool), i))
         cols.append(pool)
     r = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
@@ -303,4 +326,6 @@ def _local_hits(a, b, scores, hit, k, keys) -> dict:
     out["query_seq"] = a["seq"].combine_chunks().take(ra)
     out["seq"] = b["seq"].combine_chunks().take(ca)
     out["score"] = pa.array(scores[r, c] if len(r) else np.empty(0))
+    if over_time:
+        out["query_born"], out["born"] = pa.array(since[r]), pa.array(born[c])
     return out

@@ -103,7 +103,6 @@ def run_evaluation(
     answer: "callable[[Column, Column], Column] | None" = None,
     triple_filter: TripleFilter | None = None,
     config: MemoryConfig = DEFAULT,
-    allow_crowded: bool = False,
 ) -> EvalRun:
     """Index every item's sessions as its own store, retrieve, answer and judge in one job.
 
@@ -113,7 +112,7 @@ def run_evaluation(
     exchanges = materialize(session_exchanges(turns))
     memory = index_exchanges(
         exchanges.select("store_id", "session_index", "exchange_index", F.col("exchange_text").alias("text")),
-        ["session_index", "exchange_index"], extractor, embedder, config=config, allow_crowded=allow_crowded,
+        ["session_index", "exchange_index"], extractor, embedder, config=config,
     )
     asked = items.select(
         F.col("question_id").alias("store_id"), F.col("question_id").alias("query_id"),

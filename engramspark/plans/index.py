@@ -57,10 +57,6 @@ class Memory:
         return Memory(**{n: spark.read.parquet(f"{path}/{n}") for n in Memory.__dataclass_fields__})
 
 
-class CrowdedEntities(ValueError):
-    """Some entity has more neighbours than the cap: one pass cannot give the replayed edges."""
-
-
 def embed_tables(
     passages: DataFrame, entities: DataFrame, facts: DataFrame, embedder: Embedder
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -83,16 +79,11 @@ def embed_tables(
 
 def link_graph(
     triples: DataFrame, mentions: DataFrame, entities: DataFrame, passages: DataFrame,
-    config: MemoryConfig = DEFAULT, allow_crowded: bool = False,
+    config: MemoryConfig = DEFAULT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Edges and nodes; refuses stores where the one-pass similarity edges would not be exact."""
-    if not allow_crowded and not graph.crowded_entities(entities, config).isEmpty():
-        raise CrowdedEntities(
-            "an entity has more neighbours above the threshold than synonymy_top_k; "
-            "raise the cap, or pass allow_crowded=True to keep the newest top neighbours only"
-        )
-    synonyms = graph.synonym_pairs(entities, config)
-    edges = graph.ledger_edges(triples, entities, synonyms).unionByName(graph.passage_edges(mentions))
+    """Edges as sequential indexing would leave them, and nodes."""
+    writes = materialize(graph.synonym_writes(entities, config))
+    edges = graph.ledger_edges(triples, writes).unionByName(graph.passage_edges(mentions))
     return edges, graph.graph_nodes(entities, passages)
 
 
@@ -103,7 +94,6 @@ def index_exchanges(
     embedder: Embedder,
     timestamp_ms: str | None = None,
     config: MemoryConfig = DEFAULT,
-    allow_crowded: bool = False,
 ) -> Memory:
     """Index ``exchanges(store_id, *order, text)`` in ``order``, numbered from 0 per store.
 
@@ -131,5 +121,5 @@ def index_exchanges(
     )
     mentions = ingest.build_mentions(triples)
     entities = materialize(entities)
-    edges, nodes = link_graph(triples, mentions, entities, passages, config, allow_crowded)
+    edges, nodes = link_graph(triples, mentions, entities, passages, config)
     return Memory(passages, triples, facts, entities, mentions, materialize(edges), nodes)

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, app: str = "engramspark", **conf: str) -> SparkSession:
@@ -44,6 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Materialize a per-key table and broadcast it if its counted rows stay within ``limit``.
+
+    Joining a large table to it then needs no shuffle by a possibly hot key; above the
+    limit the join is left to the planner.
+    """
+    table = materialize(df)
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 _shipped: set[str] = set()
 
 
