@@ -77,8 +77,12 @@ def passage_key(counter: Column, raw_text: Column) -> Column:
 def utf16_left(c: Column, n: int) -> Column:
     """First ``n`` UTF-16 units; a pair cut in half is dropped rather than stored broken."""
     plain = F.substring(c, 1, n)
-    cut = F.decode(F.substring(F.encode(plain, "UTF-16BE"), 1, 2 * n), "UTF-16BE")
-    return F.when(utf16_length(plain) <= n, plain).otherwise(F.regexp_replace(cut, r"\uFFFD$", ""))
+    units = F.encode(plain, "UTF-16BE")
+    open_pair = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    keep = F.when(open_pair, 2 * n - 2).otherwise(2 * n)
+    return F.when(utf16_length(plain) <= n, plain).otherwise(
+        F.decode(F.substring(units, F.lit(1), keep), "UTF-16BE")
+    )
 
 
 def triple_text(s: Column, p: Column, o: Column) -> Column:
