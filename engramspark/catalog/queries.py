@@ -12,7 +12,7 @@ from ..operators import chunking, conversation, evaluation, forgetting, graph, i
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources import progress
 from ..sources.providers import SharedWordFilter
 from . import inputs as src
@@ -414,7 +414,7 @@ def exchange_chunks(spark, sf):
     pairs = conversation.pair_turns(src.conversation_turns(spark, sf), with_date=True).select(
         F.concat_ws("-", F.lit("x"), F.col("store_id").cast("string"), F.col("session_index").cast("string"),
                     F.col("exchange_index").cast("string")).alias("owner"), F.col("exchange_text").alias("text"))
-    return chunking.chunk_exchanges(docs.unionByName(pairs), "text")
+    return chunking.chunk_exchanges(spread(docs).unionByName(pairs), "text")
 
 
 def budget_pack(spark, sf):
@@ -530,7 +530,7 @@ def _keyword_answers(spark, sf):
         "item_id", F.filter(F.array_distinct(F.split("text", r"\s+")), lambda w: w != "").alias("expected_keywords")
     )
     n = bench.agg(F.count(F.lit(1)).alias("_n"))
-    docs = src.table(spark, sf, "documents").join(n, F.lit(True)).withColumn("item_id", F.col("doc_id") % F.col("_n"))
+    docs = spread(src.table(spark, sf, "documents")).join(n, F.lit(True)).withColumn("item_id", F.col("doc_id") % F.col("_n"))
     return docs.join(bench, "item_id").select(
         "doc_id", F.col("text").alias("answer"), "expected_keywords", F.col("lang").alias("test_type"),
         F.when(F.col("n_chars") < 800, "easy").when(F.col("n_chars") < 3000, "medium").otherwise("hard").alias("difficulty"),

@@ -84,12 +84,15 @@ def keyword_recall(answers: DataFrame) -> DataFrame:
 
     ``answers(question, answer, expected_keywords, test_type, difficulty, ...)``.
     """
-    low = F.lower("answer")
-    hit = lambda k: F.contains(low, F.lower(k))
+    # the answer is lowered once, as the only element of an array, not once per keyword
+    found = F.transform(
+        F.array(F.lower("answer")),
+        lambda low: F.filter("expected_keywords", lambda k: F.contains(low, F.lower(k))),
+    )
     score = F.size("matched") / F.nullif(F.size("expected_keywords"), F.lit(0))
     return (
-        answers.withColumn("matched", F.filter("expected_keywords", hit))
-        .withColumn("missed", F.filter("expected_keywords", lambda k: ~hit(k)))
+        answers.withColumn("matched", F.flatten(found))
+        .withColumn("missed", F.filter("expected_keywords", lambda k: ~F.array_contains("matched", k)))
         .withColumn("score", score)
         .withColumn("grade", grade(F.col("score")))
     )

@@ -65,6 +65,18 @@ def best_columns(scores: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
     return pool[np.lexsort((seq[pool], -scores[pool]))[:k]]
 
 
+def allowed_mask(qs: pa.Table, its: pa.Table, pairs: pa.Table) -> np.ndarray:
+    """Which query may use which item, from (query, group) pairs."""
+    ids = qs["query_id"].combine_chunks()
+    groups = its["group_id"].combine_chunks().dictionary_encode()
+    at_q = pc.index_in(pairs["query_id"], value_set=ids)
+    at_g = pc.index_in(pairs["group_id"], value_set=groups.dictionary)
+    both = pc.and_(pc.is_valid(at_q), pc.is_valid(at_g)).to_numpy(zero_copy_only=False)
+    mask = np.zeros((len(ids), len(groups.dictionary)), dtype=bool)
+    mask[pc.fill_null(at_q, 0).to_numpy()[both], pc.fill_null(at_g, 0).to_numpy()[both]] = True
+    return mask[:, groups.indices.to_numpy()]
+
+
 def _type_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
@@ -75,16 +87,21 @@ def score_blocks(
     keys: Sequence[str],
     k: int | None,
     config: MemoryConfig = DEFAULT,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Score ``queries(keys, query_id, vec)`` against ``items(keys, item_id, seq, vec)``.
 
     With ``k`` each block pair returns its local top ``k`` rows plus the lowest and highest
     score in the block (``lo``, ``hi``); without it every score is returned, for callers
-    whose result is one value per query and item.
+    whose result is one value per query and item. ``allowed(keys, query_id, group_id)``
+    restricts a query to items of the named groups; ``items`` then carry ``group_id``, and
+    the pairs travel to the block they concern.
     """
     keys = list(keys)
+    group = ["group_id"] if allowed is not None else []
     q = queries.select(*keys, "query_id", "vec").where(F.col("vec").isNotNull())
-    it = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec")
+    it = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec", *group)
+    slot = group[0] if group else "item_id"
     blocks = lookup(
         q.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / config.query_block).alias("_nq"))
         .join(it.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / config.item_block).alias("_ni")), keys)
@@ -100,17 +117,29 @@ def score_blocks(
         F.lit(None).cast(i_type).alias("item_id"),
         F.lit(0).cast("bigint").alias("seq"),
         F.col("vec").cast(vec_type).alias("vec"),
+        *[F.lit(None).cast(_type_of(it, c)).alias(c) for c in group],
     )
     i_side = it.join(blocks, keys).select(
         *keys,
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - 1)).alias("_qb"),
-        F.pmod(F.xxhash64("item_id"), F.col("_ni")).alias("_ib"),
+        F.pmod(F.xxhash64(slot), F.col("_ni")).alias("_ib"),
         F.lit(1).alias("_side"),
         F.lit(None).cast(q_type).alias("query_id"),
         "item_id",
         "seq",
         F.col("vec").cast(vec_type).alias("vec"),
+        *group,
     )
+    work = q_side.unionByName(i_side)
+    if group:
+        work = work.unionByName(
+            allowed.join(blocks, keys).select(
+                *keys, F.pmod(F.xxhash64("query_id"), F.col("_nq")).alias("_qb"),
+                F.pmod(F.xxhash64(F.col(slot).cast(_type_of(it, slot))), F.col("_ni")).alias("_ib"), F.lit(2).alias("_side"),
+                "query_id", F.lit(None).cast(i_type).alias("item_id"), F.lit(0).cast("bigint").alias("seq"),
+                F.lit(None).cast(vec_type).alias("vec"), F.col(slot).cast(_type_of(it, slot)).alias(slot),
+            )
+        )
     key_schema = ", ".join(f"{c} {_type_of(q, c)}" for c in keys)
     schema = (
         f"{key_schema}, query_id {q_type}, item_id {i_type}, seq bigint, "
@@ -119,28 +148,31 @@ def score_blocks(
 
     def kernel(t: pa.Table) -> dict | None:
         n_q = pc.sum(pc.equal(t["_side"], 0)).as_py() or 0
-        if n_q == 0 or n_q == t.num_rows:
+        n_i = pc.sum(pc.equal(t["_side"], 1)).as_py() or 0
+        if n_q == 0 or n_i == 0:
             return None
-        qs, its = t.slice(0, n_q), t.slice(n_q)
+        qs, its = t.slice(0, n_q), t.slice(n_q, n_i)
         scores = cosine_matrix(qs["vec"], its["vec"])
-        present = lengths_of(its["vec"]) >= 0
+        usable = np.broadcast_to(lengths_of(its["vec"]) >= 0, scores.shape)
+        if group:
+            usable = usable & allowed_mask(qs, its, t.slice(n_q + n_i))
         seq = its["seq"].to_numpy()
         lo, hi = scores.min(1), scores.max(1)
         if k is None:
             rows = np.repeat(np.arange(n_q), scores.shape[1])
             cols = np.tile(np.arange(scores.shape[1]), n_q)
         else:
-            usable = np.flatnonzero(present)
-            picks = [usable[best_columns(r[usable], seq[usable], k)] for r in scores]
+            pools = [np.flatnonzero(u) for u in usable]
+            picks = [p[best_columns(r[p], seq[p], k)] for r, p in zip(scores, pools)]
             rows = np.repeat(np.arange(n_q), [len(p) for p in picks])
-            cols = np.concatenate(picks) if picks else np.empty(0, dtype=int)
+            cols = np.concatenate(picks)
         result = {c: qs[c].combine_chunks().take(pa.array(rows)) for c in [*keys, "query_id"]}
         result["item_id"] = its["item_id"].combine_chunks().take(pa.array(cols))
         result |= {"seq": seq[cols], "score": scores[rows, cols], "lo": lo[rows], "hi": hi[rows]}
         return result
 
     return map_groups(
-        q_side.unionByName(i_side), [*keys, "_qb", "_ib"], ["_side"], kernel, schema
+        work, [*keys, "_qb", "_ib"], ["_side"], kernel, schema
     )
 
 

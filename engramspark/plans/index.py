@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
-from ..functions.text import passage_key
+from ..functions.text import passage_key, utf16_left
 from ..operators import forgetting, graph, ingest
 from ..operators.groups import ordinals
-from ..session import materialize, ship_package
+from ..session import materialize, ship_package, spread
 from ..sources.providers import Embedder, Extractor
 
 
@@ -101,13 +101,19 @@ def index_exchanges(
     written out once, so no later stage repeats a model call.
     """
     ship_package(exchanges.sparkSession)
-    numbered = ordinals(exchanges, ["store_id"], order, "passage_seq")
     stamp = F.col(timestamp_ms) if timestamp_ms else F.lit(0)
-    # the extraction is an array column first, so its parts are read without calling it again
+    # extraction runs where the texts are read; only its narrow results are moved to be numbered
+    read = materialize(
+        spread(exchanges).select(
+            "store_id", *order, stamp.cast("bigint").alias("timestamp_ms"),
+            utf16_left(F.col("text"), 50).alias("head"), extractor.column(F.col("text")).alias("x"),
+        )
+    )
+    numbered = ordinals(read, ["store_id"], order, "passage_seq")
     got = materialize(
         numbered.select(
-            "store_id", "passage_seq", passage_key(F.col("passage_seq"), F.col("text")).alias("passage_id"),
-            stamp.cast("bigint").alias("timestamp_ms"), extractor.column(F.col("text")).alias("x"),
+            "store_id", "passage_seq", passage_key(F.col("passage_seq"), F.col("head")).alias("passage_id"),
+            "timestamp_ms", "x",
         )
     )
     passages = got.select(

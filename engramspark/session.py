@@ -45,6 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row work on a scan with fewer partitions than cores.
+
+    Large inputs have more partitions than cores and pass through without a shuffle. Meant
+    for scans and narrow selections of them: asking for partitions must not start a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Materialize a per-key table and broadcast it if its counted rows stay within ``limit``.
 
