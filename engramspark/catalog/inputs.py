@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MemoryConfig
 from ..operators import graph, ingest
 from ..operators.groups import ordinals
 from ..plans.index import Memory, index_exchanges
 from ..plans.retrieve import embed_queries
+from ..session import spread
 from ..sources.providers import HashEmbedder, KeywordExtractor
 
 EMBEDDER, EXTRACTOR = HashEmbedder(), KeywordExtractor()
@@ -24,7 +24,7 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order line with lower-cased names; a store per market segment."""
     t = lambda n: table(spark, sf, n)
     return (
-        t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
         .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))

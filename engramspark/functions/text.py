@@ -47,8 +47,11 @@ def _fnv_step(h: Column, unit: Column) -> Column:
 def fnv1a_32(c: Column) -> Column:
     """FNV-1a over UTF-16 units, as a BIGINT; astral characters feed both surrogates."""
 
-    def absorb(h: Column, i: Column) -> Column:
-        cp = F.ascii(F.substring(c, i, F.lit(1))).cast("bigint")
+    def plain(h: Column, char: Column) -> Column:
+        return _fnv_step(h, F.ascii(char))
+
+    def paired(h: Column, char: Column) -> Column:
+        cp = F.ascii(char).cast("bigint")
         high = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10)
         low = F.lit(0xDC00) + (cp - 0x10000).bitwiseAND(F.lit(0x3FF))
         return F.when(cp < 0x10000, _fnv_step(h, cp)).otherwise(
@@ -56,9 +59,16 @@ def fnv1a_32(c: Column) -> Column:
         )
 
     start = F.lit(FNV_OFFSET).cast("bigint")
-    n = F.length(c)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, absorb)).otherwise(
-        F.when(c.isNotNull(), start)
+    chars = F.split(c, "")
+    return (
+        F.when(c == "", start)
+        .when(utf16_length(c) == F.length(c), F.aggregate(chars, start, plain))
+        .when(
+            c.isNotNull(),
+            F.aggregate(
+                F.sequence(F.lit(1), F.length(c)), start, lambda h, i: paired(h, F.substring(c, i, F.lit(1)))
+            ),
+        )
     )
 
 
