@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, ingest
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def utc_millis(column: str) -> Column:
+    """Epoch milliseconds of a zone-less timestamp, whatever the session's time zone."""
+    return F.unix_millis(F.concat(F.col(column).cast("string"), F.lit("Z")).cast("timestamp"))
+
+
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order line with lower-cased names; a store per market segment."""
     t = lambda n: table(spark, sf, n)
@@ -54,7 +59,7 @@ def order_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the fields forgetting needs."""
-    placed = F.unix_millis(F.to_timestamp(F.col("o_orderdate").cast("string"))).cast("bigint")
+    placed = utc_millis("o_orderdate")
     month = 30 * 24 * 3_600_000
     return (
         table(spark, sf, "orders")

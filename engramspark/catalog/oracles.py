@@ -513,6 +513,14 @@ ORACLES: dict[str, str] = {
     "turn_snapshots": SNAPSHOTS + " select * from snap",
     "chart_scales": SNAPSHOTS + """ select store_id, greatest(1024, max(greatest(tokens_peak, tokens_after)))::bigint as max_tokens,
         greatest(1, max(greatest(entities, facts)))::bigint as max_graph from snap group by all""",
+    "compact_summaries": f"""with {TURNS}, {pairs('turns', False)},
+        xw as (select store_id, session_index, exchange_index, greatest(30, floor({tokens('exchange_text')} / 4.0 + 0.5))::bigint as target,
+          regexp_extract_all(lower(exchange_text), '[a-z]{{4,}}') as ws from pairs),
+        xd as (select *, list_filter(ws, lambda w, i: list_position(ws, w) = i) as d from xw),
+        sj as (select store_id, session_index, string_agg(array_to_string(d[1:target], ' '), chr(10) || chr(10) order by exchange_index) as joined from xd group by all),
+        jw as (select *, greatest(30, floor({tokens('joined')} / 4.0 + 0.5))::bigint as target, regexp_extract_all(joined, '[a-z]{{4,}}') as ws from sj),
+        jd as (select *, list_filter(ws, lambda w, i: list_position(ws, w) = i) as d from jw)
+        select store_id, session_index, '[Summary of earlier conversation]' || chr(10) || array_to_string(d[1:target], ' ') as narrative from jd""",
     "budget_pack": f"""with c as (select lang, doc_id, coalesce(quality, -1) as quality, {tokens('text')} as tokens from documents left join labels using (doc_id)),
         r as (select *, row_number() over w as rank, sum(tokens) over (w rows unbounded preceding) as used from c window w as (partition by lang order by quality desc, doc_id))
         select lang, doc_id, rank, tokens, used::bigint as used from r where used <= 20000""",

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..config import MemoryConfig
 from ..functions import text as tx
 from ..functions.vector import min_max_normalize
-from ..operators import chunking, conversation, evaluation, forgetting, graph, ingest, notepad, pagerank, pressure, tags
+from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, notepad, pagerank, pressure, tags
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
 from ..session import materialize, spread
 from ..sources import progress
-from ..sources.providers import SharedWordFilter
+from ..sources.providers import KeywordSummarizer, SharedWordFilter
 from . import inputs as src
 
 STORE_QUERY = ["store_id", "query_id"]
@@ -330,7 +330,7 @@ def consolidated_topics(spark, sf):
 
 
 def _event_passages(spark, sf):
-    at = F.unix_millis(F.col("ts").cast("timestamp")).cast("bigint")
+    at = src.utc_millis("ts")
     k = F.get_json_object("props", "$.k").cast("bigint")
     return src.table(spark, sf, "events").select(
         F.col("event_type").alias("store_id"), F.col("event_id").alias("passage_seq"),
@@ -409,6 +409,13 @@ def chart_scales(spark, sf):
     return evaluation.chart_scales(turn_snapshots(spark, sf), ["store_id"])
 
 
+def compact_summaries(spark, sf):
+    """Every exchange compressed to its target size, then one narrative per session."""
+    pairs = conversation.pair_turns(src.conversation_turns(spark, sf))
+    short = compact.summarize_exchanges(pairs, KeywordSummarizer())
+    return compact.summarize_summaries(short, ["store_id", "session_index"], "exchange_index", KeywordSummarizer())
+
+
 def exchange_chunks(spark, sf):
     docs = src.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("owner"), "text")
     pairs = conversation.pair_turns(src.conversation_turns(spark, sf), with_date=True).select(
@@ -592,7 +599,7 @@ QUERIES = {
         retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, accessed_passages,
         tag_matches, topic_list, consolidated_topics, forget_candidates, forget_cascade,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
-        turn_snapshots, chart_scales, exchange_chunks, budget_pack,
+        turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
         select_per_type, question_types, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
         keyword_recall, recall_report, progress_frames, progress_fold,

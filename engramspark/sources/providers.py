@@ -199,6 +199,34 @@ class RemoteExtractor:
         return clean_extraction(extract(text), text)
 
 
+class Summarizer(Protocol):
+    def column(self, text: Column, target_tokens: Column) -> Column: ...
+
+
+class KeywordSummarizer:
+    """Stand-in summary: the text's distinct words of four or more letters, as many as tokens allowed."""
+
+    def column(self, text: Column, target_tokens: Column) -> Column:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{4,})"), 1))
+        return F.array_join(F.slice(words, F.lit(1), target_tokens.cast("int")), " ")
+
+
+class RemoteSummarizer:
+    """``call(text, target_tokens) -> summary`` per row, with rate-limit retries."""
+
+    def __init__(self, call: Callable[[str, int], str]):
+        self.call = call
+
+    def column(self, text: Column, target_tokens: Column) -> Column:
+        call = self.call
+
+        @F.pandas_udf("string")
+        def summarize(texts: pd.Series, targets: pd.Series) -> pd.Series:
+            return pd.Series([with_retry(call, t, int(n)).strip() for t, n in zip(texts, targets)], dtype=object)
+
+        return summarize(text, target_tokens)
+
+
 class KeepAll:
     def positions(self, query: Column, candidates: Column) -> Column:
         return F.lit(None).cast("array<int>")
@@ -229,7 +257,7 @@ class ProviderRegistry:
     def __init__(self, **providers):
         self._providers = {
             "embedder": HashEmbedder(), "extractor": KeywordExtractor(),
-            "triple_filter": KeepAll(), "judge": ContainsJudge(), **providers,
+            "triple_filter": KeepAll(), "summarizer": KeywordSummarizer(), "judge": ContainsJudge(), **providers,
         }
 
     def __getitem__(self, name: str):
