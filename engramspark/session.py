@@ -48,9 +48,11 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for costly row work on a scan with fewer partitions than cores.
 
-    Large inputs have more partitions than cores and pass through without a shuffle. Meant
-    for scans and narrow selections of them: asking for partitions must not start a job.
+    Large inputs have more partitions than cores and pass through without a shuffle, as does
+    anything that already shuffles: asking it for its partitions would start its stages.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

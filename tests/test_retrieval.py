@@ -40,6 +40,18 @@ def test_retrieval_finds_the_subject(spark, memory):
     assert {r.query_id: r.passage_seq for r in loop} == {1: 0, 2: 3}
 
 
+def test_large_and_small_stores_take_both_ways(spark, memory):
+    q = ask(spark, (1, 1, "alice cycling", None, None), (1, 2, "jupiter", ["goal", "event"], None),
+            (2, 3, "lonely words", None, None), (2, 4, "together", ["fact"], ["lone"]))
+    sizes = {r.store_id: r["count"] for r in memory.edges.groupBy("store_id").count().collect()}
+    split = MemoryConfig(kernel_max_edges=sizes[2])
+    assert sizes[1] > sizes[2]
+    pick = lambda df: sorted((r.store_id, r.query_id, r.passage_seq, r["rank"], round(r.score, 9)) for r in df.collect())
+    want = pick(retrieve.retrieve(memory, q, method="kernel"))
+    assert want and pick(retrieve.retrieve(memory, q, None, split)) == want
+    assert pick(retrieve.retrieve(memory, q, method="loop")) == want
+
+
 def test_filters_keep_the_first_survivor_below_the_ratio(spark, memory):
     q = ask(spark, (1, 1, "alice cycling", ["goal"], None))
     seeds = retrieve.recognize(memory, ask(spark, (1, 1, "alice cycling", None, None)))
