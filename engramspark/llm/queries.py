@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import token_counts
+from engramspark.llm import pattern_packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts packed into sequences of 1024 tokens by fitted length patterns."""
+    return pattern_packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_pattern_packing": op4_pattern_packing,
 }
