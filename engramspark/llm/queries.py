@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import pattern_packing, token_counts
+from engramspark.llm import line_quality, pattern_packing, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,13 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and line-first verdict of every whole text."""
+    return line_quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_pattern_packing": op4_pattern_packing,
+    "op10_line_quality": op10_line_quality,
 }
