@@ -112,7 +112,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text
 
     A column ``n_chars`` is set to the new number of code points if the input has one.
     """
+    # explode, not where: a filter would be pushed below and every array function computed once more in its place
+    kept = judge(docs, rules, text_col).select("row", F.explode(F.when(F.col("kept"), F.array("clean_text"))).alias("clean_text"))
     new = {text_col: F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
-    return judge(docs, rules, text_col).where("kept").select(
-        *[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns]
-    )
+    return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

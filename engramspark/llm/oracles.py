@@ -12,29 +12,30 @@ def line_quality_ctes(source: str, rules: LineRules = LineRules()) -> str:
     phrases = "|".join(p.replace("(", "\\(").replace(")", "\\)") for p in BOILERPLATE)
     return f"""
     split_up AS (
-      SELECT *, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), x -> x <> '') AS w,
-             list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \\t-\\r]')) AS lines
+      SELECT *, coalesce(text, '') AS body, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines
       FROM {source}),
     windowed AS (
-      SELECT *, [(w[i], w[i + 1], w[i + 2]) FOR i IN range(1, len(w) - 1)] AS grams FROM split_up),
+      SELECT *, list_transform(range(1, greatest(1, len(w) - 1)), lambda i: row(w[i], w[i + 1], w[i + 2])) AS grams FROM split_up),
     counted AS (
       SELECT *, [g.g FOR g IN [{{'g': k, 'n': map_extract(c, k)[1]}} FOR k IN map_keys(c)] IF g.n > 1] AS again
       FROM (SELECT *, coalesce(list_histogram(grams), MAP {{}}) AS c FROM windowed)),
     placed AS (
-      SELECT *, [i FOR i IN range(1, len(grams) + 1) IF list_contains(again, grams[i])] AS at,
-             [l FOR l IN [lines[i] FOR i IN range(1, len(lines) + 1) IF list_position(lines, lines[i]) = i]
-                IF length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) * 100 <= length(l) * {rules.symbol_pct}
-               AND length(regexp_replace(l, '[^!]', '', 'g')) * 100 <= length(l) * {rules.shout_pct}
-               AND NOT (length(l) >= {rules.plain_chars} AND NOT regexp_matches(l, '[.,;:!?]'))
-               AND NOT regexp_matches(l, '(?i){phrases}')
-               AND len([i FOR i IN range(1, len(string_split_regex(l, '{SPACE}+')) - 3)
-                        IF len(list_distinct(string_split_regex(l, '{SPACE}+')[i:i + 4])) = 1]) = 0] AS passed
+      SELECT *, [i FOR i IN range(1, len(grams) + 1) IF list_contains(again, grams[i])] AS spots,
+             [l.l FOR l IN [{{'l': lines[i], 'w': string_split_regex(lines[i], '{SPACE}+')}} FOR i IN range(1, len(lines) + 1)
+                            IF list_position(lines, lines[i]) = i]
+                IF length(regexp_replace(l.l, '[^#*$%&|<>]', '', 'g')) * 100 <= length(l.l) * {rules.symbol_pct}
+               AND length(regexp_replace(l.l, '[^!]', '', 'g')) * 100 <= length(l.l) * {rules.shout_pct}
+               AND NOT (length(l.l) >= {rules.plain_chars} AND NOT regexp_matches(l.l, '[.,;:!?]'))
+               AND NOT regexp_matches(l.l, '(?i){phrases}')
+               AND len([i FOR i IN range(1, len(l.w) - 3) IF l.w[i] = l.w[i + 1] AND l.w[i] = l.w[i + 2]
+                        AND l.w[i] = l.w[i + 3] AND l.w[i] = l.w[i + 4]]) = 0] AS passed
       FROM counted),
     measured AS (
       SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-             len(list_distinct(flatten([[i, i + 1, i + 2] FOR i IN at])))::BIGINT AS n_repeat_words,
+             len(list_distinct(flatten(list_transform(spots, lambda i: [i, i + 1, i + 2]))))::BIGINT AS n_repeat_words,
              len(lines)::BIGINT AS n_lines, len(passed)::BIGINT AS n_kept_lines,
              length(array_to_string(lines, ''))::BIGINT AS line_chars, length(array_to_string(passed, ''))::BIGINT AS kept_chars,
              array_to_string(passed, chr(10)) AS clean_text

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import line_quality, pattern_packing, token_counts
+from engramspark.llm import line_quality, pattern_packing, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every whole text, of its edited form and of its neighbour."""
+    return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and line-first verdict of every whole text."""
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
@@ -31,5 +36,6 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_winnowing": op5_winnowing,
     "op10_line_quality": op10_line_quality,
 }
