@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import line_quality, pattern_packing, token_counts, winnowing
+from engramspark.llm import line_quality, pattern_packing, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over 4-word shingles at a similarity of 0.8."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and line-first verdict of every whole text."""
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
@@ -37,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
+    "op9_superminhash": op9_superminhash,
     "op10_line_quality": op10_line_quality,
 }
