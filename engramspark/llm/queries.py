@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramspark.llm import line_quality, pattern_packing, superminhash, token_counts, winnowing
+from engramspark.llm import line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 400-byte string that also starts elsewhere, removed."""
+    return run_length_index.long_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 4-word shingles at a similarity of 0.8."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
+    "op8_run_length_index": op8_run_length_index,
     "op9_superminhash": op9_superminhash,
     "op10_line_quality": op10_line_quality,
 }
