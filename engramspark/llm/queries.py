@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engramspark.llm import line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import context_tree, line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of the document id as text, modulo ``n``: the folds of the learning queries."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-tree weighting and word-count scores of every whole text."""
+    return context_tree.score(table(spark, sf_dir, "documents"), held_out=id_remainder(10) == 0)
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts packed into sequences of 1024 tokens by fitted length patterns."""
     return pattern_packing.pack(table(spark, sf_dir, "documents"))
@@ -45,6 +56,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_context_tree": op3_context_tree,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
     "op8_run_length_index": op8_run_length_index,
