@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramspark.llm import context_tree, line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import byte_conv, context_tree, line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by a byte convolutional network."""
+    return byte_conv.identify(table(spark, sf_dir, "documents"), held_out=id_remainder(4) == 2)
+
+
 def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by a 400-byte string that also starts elsewhere, removed."""
     return run_length_index.long_repeats(table(spark, sf_dir, "documents"), length=400)
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_context_tree": op3_context_tree,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
+    "op7_byte_conv": op7_byte_conv,
     "op8_run_length_index": op8_run_length_index,
     "op9_superminhash": op9_superminhash,
     "op10_line_quality": op10_line_quality,
