@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramspark.llm import byte_conv, context_tree, line_quality, pattern_packing, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import byte_conv, context_tree, line_quality, noisy_channel, pattern_packing, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-def id_remainder(n: int) -> Column:
+def id_remainder(n: int, doc_id: Column | None = None) -> Column:
     """crc32 of the document id as text, modulo ``n``: the folds of the learning queries."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % n
 
 
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op6_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text after noisy-channel deobfuscation."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return noisy_channel.toxicity(docs, labels, held_out=lambda i: id_remainder(5, i) == 0)
+
+
 def op7_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by a byte convolutional network."""
     return byte_conv.identify(table(spark, sf_dir, "documents"), held_out=id_remainder(4) == 2)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_context_tree": op3_context_tree,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
+    "op6_noisy_channel": op6_noisy_channel,
     "op7_byte_conv": op7_byte_conv,
     "op8_run_length_index": op8_run_length_index,
     "op9_superminhash": op9_superminhash,
