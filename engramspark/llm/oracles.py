@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from engramspark.llm.line_quality import BOILERPLATE, LineRules
+from engramspark.llm.mixing import MARGINS, MixSettings
 
 SPACE = "[ \\t-\\r]"
 
@@ -47,7 +48,52 @@ def line_quality_ctes(source: str, rules: LineRules = LineRules()) -> str:
       FROM measured)"""
 
 
+def mixing_ctes(source: str, settings: MixSettings = MixSettings()) -> str:
+    """CTEs up to ``drawn``: every column of ``source`` (names as src, lng), topic, tokens, rate and kept."""
+    steps, last = [], "fit0"
+    for i in range(settings.rounds * len(MARGINS)):
+        m = MARGINS[i % len(MARGINS)]
+        steps.append(
+            f"fit{i + 1} AS MATERIALIZED (SELECT f.* REPLACE (fit * share / sum(fit) OVER (PARTITION BY f.{m}) AS fit) FROM {last} f JOIN target_{m} t ON f.{m} = t.value)"
+        )
+        last = f"fit{i + 1}"
+    targets = ",".join(
+        f"""
+    target_{m} AS MATERIALIZED (SELECT {m} AS value, pow(sum(w)::DOUBLE, {p}) / sum(pow(sum(w)::DOUBLE, {p})) OVER () AS share FROM cells GROUP BY {m})"""
+        for m, p in zip(MARGINS, settings.powers, strict=True)
+    )
+    fills, scale = [f"fill0 AS MATERIALIZED (SELECT {settings.budget} * sum(w)::DOUBLE AS s, {settings.budget} * sum(w)::DOUBLE AS budget FROM {last})"], "fill0"
+    for i in range(settings.fills):
+        fills.append(
+            f"""fill{i + 1} AS MATERIALIZED (
+      SELECT CASE WHEN rest > 0 THEN s * (budget - filled) / rest ELSE s END AS s, budget FROM (
+        SELECT any_value(s) AS s, any_value(budget) AS budget, coalesce(sum(w::DOUBLE) FILTER (fit * s >= w), 0) AS filled,
+               coalesce(sum(fit * s) FILTER (fit * s < w), 0) AS rest FROM {last}, {scale}))"""
+        )
+        scale = f"fill{i + 1}"
+    return f"""
+    named AS (
+      SELECT *, coalesce(text, '') AS body, coalesce(source, '') AS src, coalesce(lang, '') AS lng FROM {source}),
+    known AS (
+      SELECT *, CASE WHEN contains(body, ' | ') THEN 'table' WHEN contains(body, '@') THEN 'contact' WHEN contains(body, '=') THEN 'code'
+                     WHEN contains(lower(body), 'license') OR contains(lower(body), 'rights reserved') THEN 'legal'
+                     WHEN length(body) >= 4000 THEN 'long' ELSE 'prose' END AS topic,
+             greatest(1, ceil(strlen(body) / 4))::BIGINT AS tokens FROM named),
+    cells AS MATERIALIZED (SELECT src AS source, lng AS lang, topic, sum(tokens)::BIGINT AS w FROM known GROUP BY ALL),{targets},
+    fit0 AS MATERIALIZED (SELECT *, w / (SELECT sum(w) FROM cells)::DOUBLE AS fit FROM cells),
+    {", ".join(steps)},
+    {", ".join(fills)},
+    rated AS (SELECT source, lang, topic, round(least(1.0, fit * s / w), 9) AS rate FROM {last}, {scale}),
+    drawn AS (
+      SELECT k.* EXCLUDE (topic), k.topic, rate,
+             ('0x' || substr(md5('{settings.salt}' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < rate AS kept
+      FROM known k JOIN rated r ON k.src = r.source AND k.lng = r.lang AND k.topic = r.topic)"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_raking": f"""
+    WITH {mixing_ctes("documents")}
+    SELECT doc_id, src AS source, lng AS lang, topic, tokens, rate, kept FROM drawn""",
     "op10_line_quality": f"""
     WITH {line_quality_ctes("documents")}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_kept_lines,

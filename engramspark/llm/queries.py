@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramspark.llm import byte_conv, context_tree, line_quality, noisy_channel, pattern_packing, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import byte_conv, context_tree, line_quality, mixing, noisy_channel, pattern_packing, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling rate and decision of every document."""
+    rows = mixing.sampled(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), *mixing.MARGINS, "tokens", "rate", "kept")
+
+
 def id_remainder(n: int, doc_id: Column | None = None) -> Column:
     """crc32 of the document id as text, modulo ``n``: the folds of the learning queries."""
     return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % n
@@ -67,6 +73,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_raking": op2_raking,
     "op3_context_tree": op3_context_tree,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_winnowing": op5_winnowing,
