@@ -16,12 +16,13 @@ A window is a repeat if the statistic at its start reaches ``length``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramspark.llm.shared import settle
 from engramspark.llm.winnowing import gram_hashes
@@ -187,14 +188,17 @@ def seed_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 ENTRY = "array<struct<first:bigint,n:bigint,seed:bigint,segments:bigint,twice:boolean>>"
-RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
+RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
 
 
 def long_repeats(
     docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT_SEGMENTS, chunk: int = CHUNK,
-    id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept_text`` (bytes).
+    """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept_text``.
+
+    ``kept_text`` leaves out what a removal has cut from a character of several bytes. Columns named in ``carry`` come along as
+    fields of a struct ``rest``.
 
     Removed is every byte (UTF-8) that a string of ``length`` bytes covers which also starts anywhere else, in the same text or another;
     matches never cross texts. Null and empty texts have no bytes. Repeated rows are places of their own, so a text
@@ -203,9 +207,11 @@ def long_repeats(
     A seed with more than ``hot`` segments (a passage with very many surroundings) is not put into one index; its windows are
     counted by digest, which gives the same answer.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rest = F.struct(*[docs[f"`{c}`"] for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    source = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"), rest.alias("rest"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = settle(seed_rows(source, length, gram))
+    with_rest = lambda ddl: T.StructType([*T.StructType.fromDDL(ddl).fields, source.schema["rest"]])
+    rows = settle(seed_rows(source.drop("rest"), length, gram))
     parts = rows.where("seed IS NOT NULL").groupBy("seed", "s1", "s2").agg(F.sum("m").alias("m"), F.min(F.struct("id", "h", "first")).alias("rep"))
     seeds = parts.groupBy("seed").agg(F.count(F.lit(1)).alias("segments"), F.min("m").alias("least"), F.sum("m").alias("total")).where("total > 1")
     live = parts.join(seeds, "seed").selectExpr("seed", "s1", "s2", "m > 1 AS twice", "segments", "segments > 1 AND least = 1 AS mixed", "rep")
@@ -215,14 +221,14 @@ def long_repeats(
     local = rows.where("seed IS NULL").selectExpr("id", "h", "first", "n", "CAST(null AS bigint) AS seed", "0L AS segments", "true AS twice")
     lists = entries.unionByName(local).groupBy("id", "h").agg(F.collect_list(F.struct("first", "n", "seed", "segments", "twice")).alias("entries"))
     lists = lists.select(F.col("id").alias("lid"), F.col("h").alias("lh"), "entries")
-    joined = source.join(lists, F.col("id").eqNullSafe(F.col("lid")) & (F.col("h") == F.col("lh")), "left").select("id", "h", "text", "entries")
+    joined = source.join(lists, F.col("id").eqNullSafe(F.col("lid")) & (F.col("h") == F.col("lh")), "left").select("id", "h", "text", "entries", "rest")
 
     def outcome(data: bytes, spans: list[tuple[int, int]]) -> tuple:
         spans = merged(spans)
         kept = without(data, spans)
-        return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None
+        return len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
 
-    result_types = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+    result_types = [pa.int64()] * 3 + [pa.string(), pa.string()]
     result_names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def resolve(batches):
@@ -237,19 +243,17 @@ def long_repeats(
                 else:
                     done.append(outcome(data, [(e["first"], e["first"] + e["n"] - 1 + length) for e in entries or ()]))
                     more.append((None, None))
+            values = list(zip(*done, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True), result_types, strict=True)),
-                    pa.array([m[0] for m in more], pa.binary()), pa.array([m[1] for m in more], b.schema.field(3).type),
+                    b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(values, result_types, strict=True)),
+                    pa.array([m[0] for m in more], pa.binary()), pa.array([m[1] for m in more], b.schema.field(3).type), b.column(4),
                 ],
-                names=["id", "h", *result_names, "data", "entries"],
-            ) if done else pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array([], t) for t in result_types), pa.array([], pa.binary()), pa.array([], b.schema.field(3).type)],
-                names=["id", "h", *result_names, "data", "entries"],
+                names=["id", "h", *result_names, "data", "entries", "rest"],
             )
 
-    state = settle(joined.mapInArrow(resolve, f"id {kind}, h bigint, {RESULT}, data binary, entries {ENTRY}"))
-    open_ = state.where("data IS NOT NULL").select("id", "h", "data", "entries")
+    state = settle(joined.mapInArrow(resolve, with_rest(f"id {kind}, h bigint, {RESULT}, data binary, entries {ENTRY}")))
+    open_ = state.where("data IS NOT NULL").select("id", "h", "data", "entries", "rest")
     asked = open_.select("id", "h", "data", F.explode("entries").alias("e")).where("e.seed IS NOT NULL").select(
         "id", "h", F.col("e.seed").alias("seed"), F.col("e.segments").alias("segments"), (~F.col("e.twice")).alias("stream"), F.col("e.first").alias("first"),
         F.expr(f"substring(data, CAST(e.first + 1 AS int), CAST(e.n - 1 + {length} AS int))").alias("data"),
@@ -299,7 +303,7 @@ def long_repeats(
     by_count = single.where("m = 1").join(often, ["d1", "d2"]).selectExpr("id", "h", "first", f"first + {length} AS past")
     found = by_index.unionByName(by_count).groupBy("id", "h").agg(F.collect_list(F.struct("first", "past")).alias("found"))
     found = found.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "found")
-    last = open_.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")), "left").select("id", "data", "entries", "found")
+    last = open_.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("h") == F.col("fh")), "left").select("id", "data", "entries", "found", "rest")
 
     def finish(batches):
         for b in batches:
@@ -308,7 +312,20 @@ def long_repeats(
                 for data, entries, found in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)
             ]
             values = list(zip(*done, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(values, result_types, strict=True))], names=["id", *result_names])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, t) for c, t in zip(values, result_types, strict=True)), b.column(4)], names=["id", *result_names, "rest"]
+            )
 
-    out = state.where("data IS NULL").select("id", *result_names).unionByName(last.mapInArrow(finish, f"id {kind}, {RESULT}"))
-    return (out if with_text else out.drop("kept_text")).withColumnRenamed("id", id_col)
+    out = state.where("data IS NULL").select("id", *result_names, "rest").unionByName(last.mapInArrow(finish, with_rest(f"id {kind}, {RESULT}")))
+    dropped = ([] if with_text else ["kept_text"]) + ([] if carry else ["rest"])
+    return out.drop(*dropped).withColumnRenamed("id", id_col)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without their long repeats, with the columns of the input; those with nothing left go.
+
+    A column ``n_chars`` is set to the new number of code points if the input has one.
+    """
+    found = long_repeats(docs, length, id_col=id_col, text_col=text_col, with_text=True, carry=[c for c in docs.columns if c != text_col])
+    new = {text_col: F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return found.where("kept_text <> ''").select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])

@@ -179,19 +179,38 @@ def links(members: DataFrame, k: int, percent: int, block: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (id = component_id).
+    """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept`` (first of its component).
+
+    The first of a component has its smallest id, so ``kept`` is id = component_id as long as ids are unique.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of k-word shingles (ASCII lower case). Texts
     without words, empty and null ones are linked with nothing and are their own component. Documents with equal
-    sets are linked. Repeated rows stay rows: rows that repeat an id have the same component and are all kept
-    or not. Null ids have the smallest other id of their component, or null, and are never kept unless alone.
+    sets are linked. Of rows that share the smallest id, those with the smallest text hash are first; rows that repeat both id
+    and text share their fate. Null ids come last: they are first only in components without any id, whose id is null.
     """
+    return grouped(docs, k, percent, block, id_col, text_col).drop("h").withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input without all but the first row of every component, with its columns. Repeated rows become one.
+
+    Rows without words are their own components: all different ones stay.
+    """
+    kept = grouped(docs, k, percent, BLOCK, id_col, text_col).where("kept").select("id", "h").distinct()
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("h").alias("kept_h"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"))
+    both = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return both.dropDuplicates(["id", "h"]).select("row.*")
+
+
+def grouped(docs: DataFrame, k: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """id, h (text hash), n_shingles, component_id, kept for every input row."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = settle(sketches(source, k))
     full = rows.where("set_key IS NOT NULL")
     classes = settle(
         full.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"), F.min("bands").alias("bands"))
-        .select("set_key", F.col("first.id").alias("rep"), F.col("first.h").alias("h"), "bands", F.monotonically_increasing_id().alias("node"))
+        .select("set_key", "first", F.col("first.id").alias("rep"), F.col("first.h").alias("h"), "bands", F.monotonically_increasing_id().alias("node"))
     )
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("band", "b")
@@ -202,15 +221,14 @@ def near_duplicates(
     members = members.selectExpr("node", "root AS cluster", "n", "rep AS id", "h", "set_key")
     texts = with_texts(source, members, k)
     found = components(links(texts, k, percent, block))
-    named = found.join(classes.select("node", "rep"), "node")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(smallest, "root").select("node", "component_id")
-    labels = classes.join(linked, "node", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("id", "n_shingles", "set_key").join(labels, "set_key", "left")
-    own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", own.alias("component_id"),
-        F.coalesce(F.col("id") == own, F.col("id").isNull() & own.isNull()).alias("kept"),
+    named = found.join(classes.select("node", "first"), "node")
+    smallest = named.groupBy("root").agg(F.min("first").alias("component"))
+    linked = named.join(smallest, "root").select("node", "component")
+    labels = classes.join(linked, "node", "left").select("set_key", F.coalesce("component", "first").alias("component"))
+    out = rows.select("id", "h", "n_shingles", "set_key").join(labels, "set_key", "left")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    return out.withColumn("component", F.coalesce("component", own)).select(
+        "id", "h", "n_shingles", F.col("component.id").alias("component_id"), own.eqNullSafe(F.col("component")).alias("kept")
     )
 
 

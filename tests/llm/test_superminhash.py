@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from engramspark.llm.superminhash import SIZE, mix, near_duplicates, signature
+from engramspark.llm.superminhash import SIZE, components, drop_near_duplicates, mix, near_duplicates, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,3 +92,29 @@ def test_edges(spark):
     got = near_duplicates(twice, k=4).collect()
     assert len(got) == 2 * len(rows) + 1
     assert all(not x.kept or x.n_shingles == 0 for x in got if x.doc_id is None)
+    left = drop_near_duplicates(twice, k=4)
+    assert left.columns == docs.columns
+    first = {i for i, (_, _, kept) in brute(rows, 4, 80).items() if kept}
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(first)
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(6)
+    chain = [(i, i + 1) for i in range(1000, 1300)]
+    star = [(5, 2000 + i) for i in range(300)]
+    loose = [(r.randrange(3000, 3400), r.randrange(3000, 3400)) for _ in range(220)]
+    edges = [(b, a) if r.random() < 0.5 else (a, b) for a, b in chain + star + loose]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root}
