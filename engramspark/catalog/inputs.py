@@ -112,12 +112,11 @@ def document_memory(spark: SparkSession, sf: str) -> Memory:
 
 def benchmark_queries(spark: SparkSession, sf: str, filtered: bool = False) -> DataFrame:
     """Every benchmark text asked in every language's store."""
-    stores = table(spark, sf, "documents").select(F.col("lang").alias("store_id")).distinct()
-    texts = table(spark, sf, "benchmark").select(
+    stores = sorted(r[0] for r in table(spark, sf, "documents").select("lang").where("lang IS NOT NULL").distinct().collect())
+    q = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text"),
-        F.explode(F.array(F.lit("de"), F.lit("en"), F.lit("es"), F.lit("fr"))).alias("store_id"),
+        F.explode(F.array(*map(F.lit, stores)).cast("array<string>")).alias("store_id"),
     )
-    q = texts.join(stores, "store_id", "left_semi")
     if filtered:
         words = F.array_distinct(F.regexp_extract_all(F.lower("query_text"), F.lit("([a-z]{8,})"), 1))
         q = q.withColumn("type_filter", F.array(F.lit("event"), F.lit("plan"))).withColumn(
@@ -136,6 +135,20 @@ def conversation_turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def conversation_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items made of conversations: one per store, its sessions and their dates in order."""
+    sessions = conversation_turns(spark, sf).groupBy("store_id", "session_index").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "role", "content"))).alias("turns"), F.min("session_date").alias("date")
+    )
+    return sessions.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("session_index", "date", "turns"))).alias("s")).select(
+        F.col("store_id").alias("pos"), F.col("store_id").cast("string").alias("question_id"), F.lit("chat").alias("question_type"),
+        F.concat(F.lit("store "), F.col("store_id").cast("string")).alias("question"), F.get(F.col("s")["date"], F.lit(0)).alias("answer"),
+        F.get(F.col("s")["date"], F.lit(0)).alias("question_date"), F.col("s")["date"].alias("haystack_dates"),
+        F.transform("s", lambda x: F.transform(x["turns"], lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))).alias("haystack_sessions"),
+        F.array().cast("array<string>").alias("answer_session_ids"),
+    )
+
+
 def document_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as dated notes of one notepad per source; every seventh length is undated."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

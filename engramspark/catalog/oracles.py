@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..config import CHARS_PER_TOKEN, CHUNK_CHARS, CHUNK_OVERLAP, PACK_TOKEN_BUDGET
+from ..operators.chunking import NOTHING_FOUND, SEPARATORS
+
 DIM = 128
 EPS = "1e-6"
 
@@ -294,6 +297,46 @@ pairs as materialized (
   from {source} group by store_id, session_index, pos // 2)"""
 
 
+SPACE_SQL = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def split_sql(text: str, level: int = 0) -> str:
+    """List of chunks of ``text``: the recursive splitter, its five separators unrolled level by level."""
+    size, over, t = CHUNK_CHARS, CHUNK_OVERLAP, f"t{level}"
+    if level == len(SEPARATORS):
+        body = f"[substr({t}, i + 1, {size}) for i in range(0, length({t}), {size - over})]"
+    else:
+        glue = "chr(10) || chr(10)" if SEPARATORS[level] == "\n\n" else "chr(10)" if SEPARATORS[level] == "\n" else f"'{SEPARATORS[level]}'"
+        grown = f"case when a.held <> '' then a.held || {glue} || x.held else x.held end"
+        done = "a.done || case when a.held <> '' then [a.held] else [] end"
+        packed = (
+            f"list_transform([list_reduce(list_transform(string_split({t}, {glue}), lambda p: {{'held': p, 'done': []::varchar[]}}), lambda a, x: "
+            f"case when length({grown}) <= {size} then {{'held': {grown}, 'done': a.done}} "
+            f"when length(x.held) > {size} then {{'held': '', 'done': {done} || [x.held]}} "
+            f"else {{'held': x.held, 'done': {done}}} end, {{'held': '', 'done': []::varchar[]}})], lambda a: {done})[1]"
+        )
+        finer = f"flatten(list_transform(case when contains({t}, {glue}) then {packed} else [{t}] end, lambda b{level}: {split_sql(f'b{level}', level + 1)}))"
+        body = (
+            f"list_transform([{finer}], lambda l: case when not contains({t}, {glue}) then l else "
+            f"list_transform(range(1, len(l) + 1), lambda i: case when i = 1 then l[1] else right(l[i - 1], {over}) || l[i] end) end)[1]"
+        )
+    return f"list_transform([{text}], lambda {t}: case when length({t}) <= {size} then [{t}] else {body} end)[1]"
+
+
+def chunk_tables(source: str) -> str:
+    """``chunks(owner, role, chunk_idx, chunk)`` of ``source(owner, text)``; characters beyond the basic plane do not occur."""
+    mark = "chr(10) || 'Assistant:'"
+    return f"""
+halves as materialized (
+  select owner, 0 as half, 'user' as role, case when instr(text, {mark}) > 0 then left(text, instr(text, {mark}) - 1) else text end as body from {source}
+  union all select owner, 1, 'assistant', substr(text, instr(text, {mark}) + 1) from {source} where instr(text, {mark}) > 0),
+cut as materialized (select owner, half, role, {split_sql('body')} as pieces from halves where body is not null),
+chunks as materialized (
+  select owner, role, (half::bigint << 40) + place - 1 as chunk_idx, regexp_replace(piece, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') as chunk
+  from (select owner, half, role, unnest(pieces) as piece, generate_subscripts(pieces, 1) as place from cut)
+  where regexp_replace(piece, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') <> '')"""
+
+
 def fold(source: str, keys: str, pos: str, compressed: int) -> str:
     """Recursive buffer-length fold over ``source(keys, pos, size)``."""
     on = " and ".join(f"f.{k} = s.{k}" for k in keys.split(", "))
@@ -479,6 +522,11 @@ ORACLES: dict[str, str] = {
         select store_id, query_id, coalesce(string_agg('[Memory ' || rank || '] [' || array_to_string(types, ',') || '] [' || array_to_string(topics, ',') || ']: ' || text,
           chr(10) || chr(10) order by rank), 'No relevant memories found.') as context
         from dp join pas using (store_id, passage_seq) group by store_id, query_id""",
+    "associations": f"""with {MEMORY}, {FACT_SCORES}, cand as {OPEN_CANDIDATES},
+        hit as (select c.*, list_has_any(regexp_split_to_array(lower(query_text), '\\s+'), string_split(fact, ' ')) as hit from cand c join qs using (store_id, query_id)),
+        listed as (select *, row_number() over (partition by store_id, query_id order by rank) as n from hit where hit)
+        select store_id, query_id, coalesce(string_agg(n || '. (' || subject || ', ' || predicate || ', ' || object || ')', chr(10) order by n), 'No associations found.') as associations
+        from qs left join listed using (store_id, query_id) group by all""",
     "accessed_passages": f"""with {MEMORY}, {PASSAGE_SCORES}, {DENSE}
         select pas.store_id, pas.passage_seq, count(dp.query_id) as access_count,
           case when count(dp.query_id) > 0 then 1706745600000 else 0 end::bigint as last_accessed_ms
@@ -486,6 +534,9 @@ ORACLES: dict[str, str] = {
     "ppr_scores": f"""with recursive {LINES}, {FACT_EDGES}, g as (select * from fe),
         seeds as (select store_id, (regexp_extract(supplier, '([0-9]+)', 1)::bigint % 8) as query_id, 'entity:' || supplier as node, count(*)::double as p from lines group by all),
         {PPR} select store_id, query_id, node, round(score, 9) as score from ppr""",
+    "passage_nodes": "select c_mktsegment as store_id, 'passage:' || o_orderkey as node from orders join customer on o_custkey = c_custkey",
+    "supplier_neighbors": f"""with {LINES}, {FACT_EDGES}, {PASSAGE_EDGES}
+        select store_id, dst, w from (select * from fe union all select * from pe) where src = 'entity:supplier#000000001'""",
     "tag_matches": f"""with {PARTS} select distinct f.query_id, p.passage_seq from fw f join pw p
         on (least(length(f.w), length(p.w)) < 3 and f.w = p.w) or (least(length(f.w), length(p.w)) >= 3 and left(f.w, 3) = left(p.w, 3))
         join fl on fl.query_id = f.query_id join pp on pp.passage_seq = p.passage_seq
@@ -510,6 +561,11 @@ ORACLES: dict[str, str] = {
     "pressure_points_one_store": f"""with recursive {TURNS}, {pairs('turns', False)},
         ex as materialized (select 0 as one, row_number() over (order by store_id, session_index, exchange_index) - 1 as pos, {UTF16.format('exchange_text')} as size from pairs),
         {fold('ex', 'one', 'pos', 20)} select pos, {TRACE} from fold""",
+    "lint_points": f"""with recursive {TURNS}, {pairs('turns', False)},
+        ex as materialized (select store_id, row_number() over (partition by store_id order by session_index, exchange_index) - 1 as pos, {UTF16.format('exchange_text')} as size from pairs),
+        {fold('ex', 'store_id', 'pos', 20)}, ev as (select store_id, pos, row_number() over (partition by store_id order by pos) as n from fold where peak_len > 4096)
+        select store_id, pos from ev where n % 3 = 0""",
+    "previous_summaries": "select doc_id, case when doc_id % 2 = 0 then string_split(text, chr(10) || chr(10))[1] else '' end as summary from documents",
     "turn_snapshots": SNAPSHOTS + " select * from snap",
     "chart_scales": SNAPSHOTS + """ select store_id, greatest(1024, max(greatest(tokens_peak, tokens_after)))::bigint as max_tokens,
         greatest(1, max(greatest(entities, facts)))::bigint as max_graph from snap group by all""",
@@ -521,6 +577,24 @@ ORACLES: dict[str, str] = {
         jw as (select *, greatest(30, floor({tokens('joined')} / 4.0 + 0.5))::bigint as target, regexp_extract_all(joined, '[a-z]{{4,}}') as ws from sj),
         jd as (select *, list_filter(ws, lambda w, i: list_position(ws, w) = i) as d from jw)
         select store_id, session_index, '[Summary of earlier conversation]' || chr(10) || array_to_string(d[1:target], ' ') as narrative from jd""",
+    "exchange_chunks": f"""with {TURNS}, {pairs('turns', True)},
+        texts as (select 'd' || doc_id as owner, text from documents
+          union all select 'x-' || store_id || '-' || session_index || '-' || exchange_index, exchange_text from pairs),
+        {chunk_tables('texts')} select owner, role, chunk_idx, chunk from chunks""",
+    "packed_contexts": f"""with {MEMORY}, {PASSAGE_SCORES}, {DENSE},
+        numbered_docs as (select lang as store_id, row_number() over (partition by lang order by doc_id) - 1 as passage_seq, text from documents),
+        found as (select q.store_id || '/' || q.query_id as query_id, q.query_text from qs q),
+        texts as (select store_id || '/' || query_id || '#' || rank as owner, text from dp join numbered_docs using (store_id, passage_seq)),
+        {chunk_tables('texts')},
+        sized as (select split_part(owner, '#', 1) as query_id, split_part(owner, '#', 2)::int as passage_idx, chunk_idx, chunk, {tokens('chunk')} as tokens from chunks),
+        scored as (select *, sum(tokens) over (partition by query_id) <= {PACK_TOKEN_BUDGET} as fits,
+          len(list_intersect(list_distinct(regexp_split_to_array(lower(query_text), '\\s+')), list_distinct(regexp_split_to_array(lower(chunk), '\\s+')))) as overlap
+          from sized join found using (query_id)),
+        ranked as (select *, row_number() over (partition by query_id order by case when fits then 0 else overlap end desc, passage_idx, chunk_idx) as rank from scored),
+        running as (select *, sum(tokens) over (partition by query_id order by rank) as used from ranked),
+        body as (select query_id, string_agg(chunk, chr(10) || chr(10) order by rank) filter (where used <= {PACK_TOKEN_BUDGET}) as context,
+          left(min_by(chunk, rank), {PACK_TOKEN_BUDGET * CHARS_PER_TOKEN}) as best from running group by all)
+        select query_id, coalesce(context, best, '{NOTHING_FOUND}') as context from found left join body using (query_id)""",
     "budget_pack": f"""with c as (select lang, doc_id, coalesce(quality, -1) as quality, {tokens('text')} as tokens from documents left join labels using (doc_id)),
         r as (select *, row_number() over w as rank, sum(tokens) over (w rows unbounded preceding) as used from c window w as (partition by lang order by quality desc, doc_id))
         select lang, doc_id, rank, tokens, used::bigint as used from r where used <= 20000""",
@@ -544,6 +618,12 @@ ORACLES: dict[str, str] = {
           case when seq < 0 then 'Note #' || seq || ' does not exist.' when not was_read then 'Cannot edit note #' || seq || ': read it first.' end as error from d""",
     "select_per_type": "select doc_id as pos, lang as question_type from (select *, row_number() over (partition by lang order by doc_id) as rn from documents) where rn <= 5",
     "question_types": "select lang as question_type, min(doc_id) as first_pos from documents group by all",
+    "dataset_projection": f"""with {TURNS} select store_id::varchar as question_id, 'chat' as question_type, 'store ' || store_id as question,
+        min_by(d, session_index) as answer, count(distinct session_index)::int as session_count from turns group by store_id""",
+    "question_detail": f"""with {TURNS} select '0' as question_id, (select min_by(d, session_index) from turns where store_id = 0) as question_date,
+        row_number() over (order by session_index) - 1 as session_index, n as turns from (select session_index, count(*) as n from turns where store_id = 0 group by all)""",
+    "dataset_turns": f"""with {TURNS} select store_id::varchar as store_id, (dense_rank() over (partition by store_id order by session_index) - 1)::int as session_index,
+        (row_number() over (partition by store_id, session_index order by pos) - 1)::int as pos, role, content, d as session_date from turns""",
     "dataset_summary": f"""with {TURNS} select store_id, count(distinct session_index) as session_count, count(*) as turns,
         arg_min(content, session_index * 1000000 + pos) as question from turns group by all""",
     "dataset_search": "select doc_id as pos, doc_id::varchar as question_id from documents where lang = 'en' and contains(lower(text), 'that') order by doc_id limit 50",
@@ -567,3 +647,6 @@ ORACLES: dict[str, str] = {
         select *, null::bigint as total_questions, 1 as running, round(coalesce(global_turns_done * 100.0 / nullif(global_total_turns, 0), 0), 9) as global_pct from st""",
 }
 ORACLES["ppr_scores_distributed"] = ORACLES["ppr_scores"]
+ORACLES["ppr_scores_heavy"] = ORACLES["ppr_scores"]
+ORACLES["knn_synonyms_blocks"] = ORACLES["knn_synonyms"]
+ORACLES["passage_ids_ranged"] = ORACLES["passage_ids"]

@@ -13,7 +13,7 @@ from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
 from ..session import materialize, spread
-from ..sources import progress
+from ..sources import dataset, progress
 from ..sources.providers import KeywordSummarizer, SharedWordFilter
 from . import inputs as src
 
@@ -48,6 +48,12 @@ def passage_ids(spark, sf):
     return rows.select("store_id", "doc_id", "passage_seq", tx.passage_key(F.col("passage_seq"), F.col("text")).alias("passage_id"))
 
 
+def passage_ids_ranged(spark, sf):
+    """The same positions from range partitions and offsets, as for groups beyond the window limit."""
+    rows = ordinals(src.document_rows(spark, sf), ["store_id"], ["doc_id"], "passage_seq", limit=10)
+    return rows.select("store_id", "doc_id", "passage_seq", tx.passage_key(F.col("passage_seq"), F.col("text")).alias("passage_id"))
+
+
 def token_estimates(spark, sf):
     docs = src.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = src.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
@@ -192,6 +198,23 @@ def ppr_scores_distributed(spark, sf):
     return out.select("store_id", "query_id", "node", r9("score").alias("score"))
 
 
+def ppr_scores_heavy(spark, sf):
+    """The loop form with heavy nodes cut into slices of at most 50 edges."""
+    edges = materialize(_entity_graph(spark, sf))
+    config = MemoryConfig(heavy_node_edges=50)
+    out = pagerank.personalized_pagerank(edges, _order_seeds(spark, sf), config=config, method="loop")
+    return out.select("store_id", "query_id", "node", r9("score").alias("score"))
+
+
+def passage_nodes(spark, sf):
+    return graph.nodes_of_type(src.order_graph(spark, sf)[1], "passage").select("store_id", "node")
+
+
+def supplier_neighbors(spark, sf):
+    """Everything next to the first supplier in every store, with the weights of the edges."""
+    return graph.neighbors(src.order_graph(spark, sf)[0], "entity:supplier#000000001")
+
+
 # ---- similarity --------------------------------------------------------------------------
 
 
@@ -206,6 +229,12 @@ def knn_synonyms(spark, sf):
     return out.select("query_id", "item_id", "rank", r9("score").alias("score"))
 
 
+def knn_synonyms_blocks(spark, sf):
+    """The same neighbours with small blocks: every store is cut into many."""
+    out = knn_join(src.vector_items(spark, sf), ["store_id"], 0.3, 10, MemoryConfig(knn_block=64))
+    return out.select("query_id", "item_id", "rank", r9("score").alias("score"))
+
+
 def similar_pairs(spark, sf):
     out = knn_join(src.vector_items(spark, sf), ["store_id"], 0.3, None)
     return out.select("query_id", "item_id", r9("score").alias("score"))
@@ -277,6 +306,12 @@ def packed_contexts(spark, sf):
     return chunking.rerank_and_pack(q.select(key.alias("query_id"), "query_text"), passages)
 
 
+def associations(spark, sf):
+    """Recognized triples of every benchmark query as a numbered list."""
+    m, q = src.document_memory(spark, sf), src.benchmark_queries(spark, sf)
+    return retrieve.format_associations(q, retrieve.recognize(m, q, SharedWordFilter()))
+
+
 def accessed_passages(spark, sf):
     """Access counters after every query's results were returned."""
     m, q = src.document_memory(spark, sf), src.benchmark_queries(spark, sf)
@@ -390,10 +425,22 @@ def pressure_points(spark, sf):
 def pressure_points_one_store(spark, sf):
     """All conversations as one store, folded block by block in parallel."""
     rows = materialize(_store_positions(spark, sf, ["everything"]).select("everything", "pos", "exchange_text"))
-    trace = pressure.pressure_trace(rows, ["everything"], "pos", config=MemoryConfig(fold_block=500))
+    trace = pressure.pressure_trace(rows, ["everything"], "pos", config=MemoryConfig(fold_block=50))
     return trace.drop("everything", "events_before")
 
 
+def lint_points(spark, sf):
+    """Every third pressure event of a store, after which topics are consolidated."""
+    trace = pressure.pressure_trace(_store_positions(spark, sf, ["store_id"]), ["store_id"], "pos")
+    return pressure.lint_points(trace).select("store_id", "pos")
+
+
+def previous_summaries(spark, sf):
+    """Summary at the head of a buffer, for every document as a buffer with and without one."""
+    kept = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(pressure.SUMMARY_HEAD), F.col("text"))).otherwise(F.col("text"))
+    return src.table(spark, sf, "documents").select("doc_id", pressure.previous_summary(kept).alias("summary"))
+
+
 def _exchange_triples(exchanges):
     raw = exchanges.select("store_id", "passage_seq", src.EXTRACTOR.column(F.col("exchange_text")).alias("x"))
     return ingest.explode_triples(raw.select("store_id", "passage_seq", F.col("x.triples").alias("triples")))
@@ -501,6 +548,23 @@ def question_types(spark, sf):
     return evaluation.question_types(_items(spark, sf))
 
 
+def dataset_projection(spark, sf):
+    return evaluation.item_summaries(src.conversation_items(spark, sf))
+
+
+def question_detail(spark, sf):
+    """Sessions and turns of the first item."""
+    detail = evaluation.question_detail(src.conversation_items(spark, sf), "0")
+    return detail.select("question_id", "question_date", F.explode("sessions").alias("s")).select(
+        "question_id", "question_date", F.col("s.session_index").cast("bigint").alias("session_index"), F.size("s.turns").cast("bigint").alias("turns")
+    )
+
+
+def dataset_turns(spark, sf):
+    """Turns of every item with the dates of their sessions."""
+    return dataset.turns_of(src.conversation_items(spark, sf))
+
+
 def dataset_summary(spark, sf):
     turns = src.conversation_turns(spark, sf)
     return turns.groupBy("store_id").agg(
@@ -589,19 +653,19 @@ def progress_fold(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_ids, passage_ids, token_estimates, text_previews, json_replies, verdicts,
+        entity_ids, passage_ids, passage_ids_ranged, token_estimates, text_previews, json_replies, verdicts,
         fact_dedupe, entity_first_seen, entity_mentions, new_facts, id_collisions, document_extraction,
         fact_edges, passage_edges, graph_nodes, out_weights, store_stats, edge_ledger,
         crowded_ledger, synonym_edges,
-        ppr_scores, ppr_scores_distributed,
-        cosine_topk, knn_synonyms, similar_pairs, minmax_scores,
+        ppr_scores, ppr_scores_distributed, ppr_scores_heavy, passage_nodes, supplier_neighbors,
+        cosine_topk, knn_synonyms, knn_synonyms_blocks, similar_pairs, minmax_scores,
         candidate_facts, filtered_candidates, recognized_triples, entity_seed_weights,
-        retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, accessed_passages,
+        retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, associations, accessed_passages,
         tag_matches, topic_list, consolidated_topics, forget_candidates, forget_cascade,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
-        turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
+        lint_points, previous_summaries, turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
-        select_per_type, question_types, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
+        select_per_type, question_types, dataset_projection, question_detail, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
         keyword_recall, recall_report, progress_frames, progress_fold,
     )
 }

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CHARS_PER_TOKEN, CHUNK_CHARS, CHUNK_OVERLAP, PACK_TOKEN_BUDGET
+from ..config import CHARS_PER_TOKEN, CHUNK_CHARS, CHUNK_OVERLAP, DEFAULT, PACK_TOKEN_BUDGET
 from ..functions.text import estimate_tokens, strip_space, utf16_left
 from ..session import ship_package
-from .groups import top_rows
+from .groups import ordinals, top_rows
+from .pressure import prefix_sums
 
 # Separators from coarse to fine, the half boundary and the empty answer.
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ")
@@ -105,14 +106,13 @@ def term_overlap(query: Column, chunk: Column) -> Column:
 
 
 def pack_ranked(chunks: DataFrame, keys: list[str], order: list[Column], budget: int = PACK_TOKEN_BUDGET) -> DataFrame:
-    """Chunks in ``order`` until the first one that overflows the budget.
+    """Chunks in ``order`` (unique per key) until the first one that overflows the budget.
 
-    A chunk costs at least one token, so only the first ``budget`` + 1 ranks can matter;
-    that bounds the running sum's window for any number of chunks.
+    Empty chunks cost nothing, so no number of ranks bounds the result; running sums go block by block.
     """
-    head = top_rows(chunks.withColumn("tokens", estimate_tokens(F.col("chunk"))), keys, order, budget + 1)
-    run = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return head.withColumn("used", F.sum("tokens").over(run)).where(F.col("used") <= budget)
+    placed = ordinals(chunks.withColumn("tokens", estimate_tokens(F.col("chunk"))), keys, order, "_pos")
+    summed = prefix_sums(placed, keys, "_pos", {"tokens": "used"}, DEFAULT.fold_block)
+    return summed.where(F.col("used") <= budget).withColumn("rank", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
 def rerank_and_pack(
