@@ -212,13 +212,7 @@ it as (
       select i, store_id, query_id, node, 0.5 * p, p, x from it where step >= 1e-6 and i < 100)
     group by all)),
 ppr as materialized (
-  select store_id, query_id, node, x as score from it
-  where x <> 0 and i = (select max(i) from it z where z.store_id = it.store_id and z.query_id = it.query_id))"""
-PPR = PPR.replace(
-    "select store_id, query_id, node, x as score from it\n  where x <> 0 and i = (select max(i) from it z where z.store_id = it.store_id and z.query_id = it.query_id))",
-    "select store_id, query_id, node, x as score from (select *, max(i) over (partition by store_id, query_id) as mi from it) where i = mi and x <> 0)",
-)
-
+  select store_id, query_id, node, x as score from (select *, max(i) over (partition by store_id, query_id) as mi from it) where i = mi and x <> 0)"""
 OPEN_CANDIDATES = (
     "(select * from (select *, row_number() over (partition by store_id, query_id order by score desc, fact_seq) as rank from fs) where rank <= 25)"
 )
@@ -650,3 +644,4 @@ ORACLES["ppr_scores_distributed"] = ORACLES["ppr_scores"]
 ORACLES["ppr_scores_heavy"] = ORACLES["ppr_scores"]
 ORACLES["knn_synonyms_blocks"] = ORACLES["knn_synonyms"]
 ORACLES["passage_ids_ranged"] = ORACLES["passage_ids"]
+ORACLES["progress_stream_frames"] = ORACLES["progress_frames"]

@@ -642,6 +642,16 @@ def progress_frames(spark, sf):
     return out.select("stream_id", "frame", F.col("event.type").alias("type"), F.col("event.globalTurnsDone").alias("turns"))
 
 
+def progress_stream_frames(spark, sf):
+    """The same frames when every stream arrives in pieces of 20 characters."""
+    text = F.col("text")
+    raw = _progress_events(spark, sf).select(
+        F.col("seq").alias("stream_id"), "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 20).cast("int"))).alias("chunk_no")
+    )
+    out = progress.parse_frames(raw.select("stream_id", "chunk_no", F.substring(text, F.col("chunk_no") * 20 + 1, F.lit(20)).alias("text")))
+    return out.select("stream_id", "frame", F.col("event.type").alias("type"), F.col("event.globalTurnsDone").alias("turns"))
+
+
 def progress_fold(spark, sf):
     raw = _progress_events(spark, sf)
     parsed = progress.parse_frames(raw.withColumnRenamed("seq", "stream_id").select("stream_id", "text"))
@@ -666,6 +676,6 @@ QUERIES = {
         lint_points, previous_summaries, turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
         select_per_type, question_types, dataset_projection, question_detail, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
-        keyword_recall, recall_report, progress_frames, progress_fold,
+        keyword_recall, recall_report, progress_frames, progress_stream_frames, progress_fold,
     )
 }

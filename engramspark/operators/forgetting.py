@@ -69,16 +69,13 @@ def remove_passages(
     weights of surviving edges and owners of surviving facts stay as they were.
     """
     key = ["store_id", "passage_seq"]
-    dead = gone.select(*key)
-    left_mentions = mentions.join(dead, key, "left_anti")
-    touched = mentions.join(dead, key, "left_semi").select("store_id", "entity").distinct()
-    orphans = touched.join(left_mentions, ["store_id", "entity"], "left_anti")
-    text = triple_text(F.col("subject"), F.col("predicate"), F.col("object"))
-    left_triples = triples.join(dead, key, "left_anti")
-    lost = (
-        triples.join(dead, key, "left_semi").select("store_id", text.alias("fact")).distinct()
-        .join(left_triples.select("store_id", text.alias("fact")), ["store_id", "fact"], "left_anti")
-    )
+    dead = gone.select(*key).distinct()
+    flagged = lambda df: df.join(dead.withColumn("_dead", F.lit(True)), key, "left")
+    unsupported = lambda df, name: df.groupBy("store_id", name).agg(F.count_if(F.col("_dead").isNull()).alias("_alive")).where("_alive = 0").drop("_alive")
+    seen, stated = flagged(mentions), flagged(triples)
+    orphans = unsupported(seen, "entity")
+    lost = unsupported(stated.withColumn("fact", triple_text(F.col("subject"), F.col("predicate"), F.col("object"))), "fact")
+    left_mentions, left_triples = (df.where(F.col("_dead").isNull()).select(*names) for df, names in ((seen, mentions.columns), (stated, triples.columns)))
     nodes = dead.select("store_id", passage_node(F.col("passage_seq")).alias("node")).unionByName(
         orphans.select("store_id", entity_node(F.col("entity")).alias("node"))
     )

@@ -87,12 +87,8 @@ def only_new(candidates: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     ``candidates(store_id, key, seq, ...)``.
     """
     rest = [c for c in candidates.columns if c not in ("store_id", key)]
-    return (
-        candidates.join(stored.select("store_id", key), ["store_id", key], "left_anti")
-        .groupBy("store_id", key)
-        .agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_r"))
-        .select("store_id", key, "_r.*")
-    )
+    once = candidates.groupBy("store_id", key).agg(F.min_by(F.struct(*rest), F.col("seq")).alias("_r"))
+    return once.join(stored.select("store_id", key).distinct(), ["store_id", key], "left_anti").select("store_id", key, "_r.*")
 
 
 def id_collisions(df: DataFrame, keys: list[str], text: str, prefix: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
+from ..operators.groups import ordinals
+from ..operators.pressure import prefix_sums
+
 EVENT = (
     "struct<type:string,questionIndex:bigint,questionId:string,questionType:string,question:string,"
     "turnsDone:bigint,totalTurns:bigint,globalTurnsDone:bigint,globalTotalTurns:bigint,"
@@ -16,20 +20,41 @@ PREFIX = "data: "
 def parse_frames(chunks: DataFrame) -> DataFrame:
     """``chunks(stream_id, text)`` to ``(stream_id, frame, event)``.
 
-    Frames end with a blank line; an unfinished tail, frames without the data prefix and
-    malformed JSON are skipped.
+    Frames end with a blank line; an unfinished tail, frames without the data prefix and malformed JSON are skipped. With a
+    column ``chunk_no`` a stream is the concatenation of its chunks, and a frame may be cut anywhere between them.
     """
-    frames = F.split("text", "\n\n")
-    whole = F.slice(frames, F.lit(1), F.size(frames) - 1)
+    if "chunk_no" in chunks.columns:
+        frames = _joined_frames(chunks)
+    else:
+        parts = F.split("text", "\n\n")
+        frames = chunks.select("stream_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("frame", "raw"))
     line = F.trim(F.col("raw"))
     return (
-        chunks.select("stream_id", F.posexplode(whole).alias("frame", "raw"))
-        .where(line.startswith(PREFIX))
+        frames.where(line.startswith(PREFIX))
         .select("stream_id", "frame", F.from_json(F.substring(line, F.lit(len(PREFIX) + 1), F.length(line)), EVENT).alias("event"))
         .where(F.col("event.type").isNotNull())
     )
 
 
+def _joined_frames(chunks: DataFrame) -> DataFrame:
+    """Numbered frames of chunked streams, without the unfinished last one of each.
+
+    The pieces of a chunk get the number of blank lines before them in the stream, summed block by block; pieces with one
+    number are one frame. A blank line that was itself cut shows when they are joined, so joined text is split again.
+    """
+    pieces = F.split("text", "\n\n")
+    placed = ordinals(chunks.select("stream_id", "chunk_no", pieces.alias("pieces"), (F.size(pieces) - 1).alias("ends")), ["stream_id"], ["chunk_no"], "_pos")
+    counted = prefix_sums(placed, ["stream_id"], "_pos", {"ends": "upto"}, DEFAULT.fold_block)
+    flat = counted.select("stream_id", "chunk_no", "ends", (F.col("upto") - F.col("ends")).alias("before"), F.posexplode("pieces").alias("i", "piece"))
+    joined = flat.groupBy("stream_id", (F.col("before") + F.col("i")).alias("n")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "piece"))), lambda s: s["piece"]), "").alias("raw"),
+        F.bool_or(F.col("i") < F.col("ends")).alias("ended"),
+    )
+    parts = F.split("raw", "\n\n")
+    whole = F.when(F.col("ended"), parts).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return ordinals(joined.select("stream_id", "n", F.posexplode(whole).alias("sub", "raw")), ["stream_id"], ["n", "sub"], "frame")
+
+
 def event_frames(events: DataFrame) -> DataFrame:
     """``(run_id, seq, frame)`` wire text of event structs."""
     return events.select("run_id", "seq", F.concat(F.lit(PREFIX), F.to_json("event"), F.lit("\n\n")).alias("frame"))
