@@ -112,18 +112,26 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b bigint): (node, root), root the smallest node. Nodes without edges are absent.
 
-    Every round takes the smallest label of the neighbours and then the label of the label; tables are written between rounds.
+    Every round hooks a node to its smallest neighbour, if that is smaller, follows the hooks four steps, and renames the ends
+    of the edges; edges inside a group vanish, so rounds shrink fast. The hooks of all rounds are composed in the end.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b")).where("a <> b").distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).selectExpr("node", "least(node, m) AS root"))
-    while True:
-        near = both.join(labels.selectExpr("node AS b", "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        step = labels.join(near, "node").selectExpr("node", "root AS old", "least(root, m) AS root")
-        jump = step.selectExpr("node AS root", "root AS far")
-        new = settle(step.join(jump, "root", "left").selectExpr("node", "old", "least(root, coalesce(far, root)) AS root"))
-        labels = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
+    ends = edges.where("a <> b").selectExpr("least(a, b) AS lo", "greatest(a, b) AS hi").distinct()
+    left, rounds = settle(ends), []
+    while not left.isEmpty():
+        hooks = left.groupBy("hi").agg(F.min("lo").alias("to"))
+        for _ in range(2):
+            further = hooks.selectExpr("hi AS to", "to AS far")
+            hooks = settle(hooks.join(further, "to", "left").selectExpr("hi", "coalesce(far, to) AS to"))
+        rounds.append(hooks)
+        low, high = hooks.selectExpr("hi AS lo", "to AS low"), hooks.selectExpr("hi", "to AS high")
+        renamed = left.join(low, "lo", "left").selectExpr("coalesce(low, lo) AS x", "hi").join(high, "hi").where("x <> high")
+        left = settle(renamed.selectExpr("least(x, high) AS lo", "greatest(x, high) AS hi").distinct())
+    labels = left.selectExpr("hi AS node", "lo AS root")
+    for hooks in reversed(rounds):
+        later = labels.selectExpr("node AS to", "root")
+        mine = hooks.join(later, "to", "left").selectExpr("hi AS node", "coalesce(root, to) AS root")
+        labels = settle(labels.join(mine, "node", "left_anti").unionByName(mine))
+    return labels.unionByName(labels.selectExpr("root AS node", "root").distinct())
 
 
 def verify_block(parts: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
