@@ -19,6 +19,7 @@ HEADLINE = (
     "ppr_scores", "cosine_topk", "knn_synonyms", "minmax_scores", "tag_matches", "consolidated_topics",
     "forget_candidates", "forget_cascade", "pressure_points", "pressure_points_one_store", "turn_snapshots",
     "exchange_chunks", "budget_pack", "notes_search", "keyword_recall", "progress_fold", "entity_ids",
+    "knn_synonyms_blocks", "progress_stream_frames",
 )
 
 
