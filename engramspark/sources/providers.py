@@ -128,7 +128,10 @@ class RemoteEmbedder:
 
 
 def clean_extraction(raw: Column, text: Column) -> Column:
-    """Normalize an extractor's answer; without one, keep the head of the text and no triples."""
+    """Normalize an extractor's answer; without one, keep the head of the text and no triples.
+
+    ``failed`` marks the texts without an answer, so that a caller can count them and ask again for those alone.
+    """
     triples = F.transform(
         F.coalesce(raw["triples"], F.array().cast("array<struct<subject:string,predicate:string,object:string>>")),
         lambda t: F.struct(
@@ -144,6 +147,7 @@ def clean_extraction(raw: Column, text: Column) -> Column:
         valid_types(raw["types"]).alias("types"),
         topics.alias("topics"),
         clamp_salience(raw["salience"]).alias("salience"),
+        raw["summary"].isNull().alias("failed"),
     )
 
 

@@ -177,6 +177,7 @@ def test_remote_providers(spark):
 
     df = spark.createDataFrame([("good",), ("bad" + "x" * 300,)], "t string")
     good, bad = df.select(RemoteExtractor(call).column(F.col("t")).alias("x")).collect()
+    assert (good.x.failed, bad.x.failed) == (False, True)
     assert good.x.summary == "S" and tuple(good.x.triples[0]) == ("bob", "likes", "tea")
     assert (good.x.types, good.x.topics, good.x.salience) == (["goal"], ["tea"], 1.0)
     assert (len(bad.x.summary), bad.x.triples, bad.x.types, bad.x.salience) == (200, [], ["fact"], 0.5)
