@@ -132,13 +132,11 @@ def train(labelled: DataFrame, settings: ConvSettings = ConvSettings()) -> ByteC
     Which texts and which of their windows are taken depends on a hash of the text alone.
     """
     h = F.xxhash64("text")
-    first = Window.partitionBy("label").orderBy("h", "text")
+    first = Window.partitionBy("label").orderBy("h", "part")
     usable = labelled.where(F.col("label").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", h)
     start = F.pmod(F.shiftright("h", 8), F.greatest(F.length("text") - settings.window, F.lit(1))).cast("int") + 1
-    rows = (
-        usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.per_label)
-        .select("label", "h", F.substring("text", start, F.lit(settings.window)).alias("part")).collect()
-    )
+    parts = usable.select("label", "h", F.substring("text", start, F.lit(settings.window)).alias("part"))
+    rows = parts.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.per_label).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["label"], r["h"]))
