@@ -6,9 +6,10 @@ the counts of the training texts fixed, a node's share of Pe in Pw tells how far
 every (context, byte) pair has one probability that mixes all depths. Contexts that training never met predict like the
 deepest one on their path that it met. A text ends with the byte 0xFF, which UTF-8 does not have, so text probabilities sum to one.
 
-Counts are tables in Spark, bottom-up for the weights and top-down for the predictions. Texts are cut into chunks
-during the scan; a chunk sends its distinct words and byte grams with their counts, gets back what it asked for, and
-scores its texts. No text is joined word by word, and no table is sent to all tasks.
+Texts are cut into chunks during the scan. A chunk sends its distinct words and byte grams with their counts, gets back what it
+asked for, and scores its texts; no text is joined word by word, and no table is sent to all tasks. The tree is dealt out
+by the last bytes of contexts: every part is weighed bottom-up in one task and predicts top-down in another, the few
+levels near the root lie in a Spark table between the two.
 """
 
 from __future__ import annotations
@@ -16,19 +17,25 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramspark.llm.shared import settle
+from engramspark.llm.shared import settle, slices
 
-DEPTH = 4
+DEPTH = 5
+SUFFIX = 3  # the tree is dealt out by the last bytes of contexts
+PARTS = 512
 CHUNK = 16 << 20  # bytes of text in a chunk
+BLOCK = 2 << 20  # bytes of text whose grams are looked at together
 BEFORE, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 
 
@@ -48,57 +55,180 @@ def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[own], sizes
 
 
-def log_gamma(x: Column) -> Column:
+def in_blocks(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``size`` bytes each, so that arrays of keys stay small."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def gram_counts(texts: list[bytes], learnt: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and how often the texts that are learnt from have them."""
+    keys, counts = [], []
+    for a, z in in_blocks(texts):
+        key, sizes = gram_keys(texts[a:z], depth)
+        codes, distinct = pd.factorize(key)
+        keys.append(distinct)
+        counts.append(np.bincount(codes, weights=np.repeat(np.array(learnt[a:z], dtype=np.float32), sizes), minlength=len(distinct)))
+    if not keys:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(code, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Compressed numbers: bytes of equal significance stand together."""
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unplanes(blob: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+
+
+def part_of(keys: np.ndarray, suffix: int, parts: int) -> np.ndarray:
+    """Which part of the tree a key belongs to: a hash of the last ``suffix`` bytes of its context."""
+    near = (keys >> 8 & (1 << 8 * suffix) - 1).astype(np.uint64)
+    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x >= 1/2: Stirling's series at x + 8."""
     y = x + 8
     low = functools.reduce(lambda a, b: a * b, [x + i for i in range(8)])
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(low)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
-def node_tables(grams: DataFrame, depth: int) -> DataFrame:
-    """key -> log10 of its probability. ``grams``: key, n (training count, 0 if only other texts have it)."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
-    byte, context = F.expr("key & 255"), F.expr("shiftright(key, 8)")
-    bits = grams.select("key", "n", context.alias("context"), byte.alias("byte"), step).select(
-        "key", "n", "context", F.expr("shiftleft(1, k) | shiftright(byte, 8 - k)").alias("node"), F.expr("shiftright(byte, 7 - k) & 1").alias("bit")
-    )
-    estimate = log_gamma(F.col("n0") + 0.5) + log_gamma(F.col("n1") + 0.5) - log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
-    level = bits.groupBy("context", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    levels = [settle(level.withColumn("pe", estimate).withColumns({"pw": F.col("pe"), "stop": F.lit(1.0)}))]
-    for d in range(depth - 1, -1, -1):
-        mask = (1 << (8 * d)) - 1
-        up = levels[-1].groupBy(F.expr(f"context & {mask}L").alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        up = up.withColumn("pe", estimate).withColumn("top", F.greatest("pe", "below"))
-        up = up.withColumn("pw", F.col("top") + F.log(F.exp(F.col("pe") - F.col("top")) + F.exp(F.col("below") - F.col("top"))) - math.log(2))
-        levels.append(settle(up.select("context", "node", "n0", "n1", "pe", "pw", (1 / (1 + F.exp(F.least(F.col("below") - F.col("pe"), F.lit(700.0))))).alias("stop"))))
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+def estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
+
+
+@dataclass
+class Level:
+    """Nodes of one depth: id (context << 8 | binary node) ascending, counts, ln Pw, share of Pe in Pw, place of each node's parent one depth up."""
+
+    id: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    pw: np.ndarray
+    stop: np.ndarray
+    up: np.ndarray | None = None
+
+
+def weigh(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ln Pw, share of Pe in Pw) of nodes with the summed ln Pw of their deeper contexts; None at the deepest."""
+    pe = estimate(n0, n1)
+    if below is None:
+        return pe, np.ones(len(pe))
+    return np.logaddexp(pe, below) - math.log(2), 1 / (1 + np.exp(np.minimum(below - pe, 700)))
+
+
+class Tree:
+    """The part of a context tree above some keys, from ``depth`` up to ``suffix``."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, suffix: int):
+        byte, context = keys & 255, keys >> 8
+        step = np.arange(8)[:, None]
+        node = (1 << step) | (byte >> (8 - step))
+        ids, self.at = np.unique((context << 8 | node).ravel(), return_inverse=True)
+        self.bit = (byte >> (7 - step) & 1).astype(bool)
+        ones, every = self.bit.ravel() * np.tile(counts, 8), np.tile(counts, 8)
+        n1 = np.bincount(self.at, weights=ones, minlength=len(ids))
+        n0 = np.bincount(self.at, weights=every, minlength=len(ids)) - n1
+        self.levels = [Level(ids, n0, n1, *weigh(n0, n1, None))]
+        for d in range(depth - 1, suffix - 1, -1):
+            child = self.levels[-1]
+            near = (child.id >> 8 & (1 << 8 * d) - 1) << 8 | child.id & 255
+            ids, child.up = np.unique(near, return_inverse=True)
+            n0, n1, below = (np.bincount(child.up, weights=v, minlength=len(ids)) for v in (child.n0, child.n1, child.pw))
+            self.levels.append(Level(ids, n0, n1, *weigh(n0, n1, below)))
+
+    def logs(self, mass: np.ndarray, rest: np.ndarray, p1: np.ndarray) -> np.ndarray:
+        """log10 probability of every key, given what has been mixed down to the top level (in its order)."""
+        for level in self.levels[-2::-1]:
+            one = (level.n1 + 0.5) / (level.n0 + level.n1 + 1)
+            mass, rest, p1 = mass[level.up], rest[level.up], p1[level.up]
+            p1 = np.where(level.n0 + level.n1 > 0, mass + rest * one, p1)
+            mass, rest = mass + rest * level.stop * one, rest * (1 - level.stop)
+        p = p1[self.at].reshape(8, -1)
+        return np.log10(np.where(self.bit, p, 1 - p)).sum(axis=0)
+
+
+def merged_keys(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct))
+
+
+def predictions(grams: DataFrame, depth: int, suffix: int) -> DataFrame:
+    """``grams`` (t, place: part of the tree, data: keys, more: training counts) to (t, place, data: log10 probabilities, same order).
+
+    The parts weigh their nodes up to ``suffix``; from there to the root the tree is a table of Spark, bounded by the alphabet; on
+    the way down the parts take over again.
+    """
+
+    def grown(table: pa.Table) -> tuple[Tree, list[np.ndarray]]:
+        keys = [np.cumsum(unplanes(b, "<i8")) for b in table.column("data").to_pylist()]
+        counts = [unplanes(b, "<u4").astype(float) for b in table.column("more").to_pylist()]
+        distinct, n = merged_keys(keys, counts)
+        tree = Tree(distinct, n, depth, suffix)
+        return tree, [np.searchsorted(distinct, k) for k in keys]
+
+    def weights(table: pa.Table) -> pa.Table:
+        top = grown(table)[0].levels[-1]
+        return pa.table({"context": top.id >> 8, "node": top.id & 255, "n0": top.n0, "n1": top.n1, "pw": top.pw, "stop": top.stop, "place": np.full(len(top.id), table.column("place")[0].as_py())})
+
+    columns = "context bigint, node bigint, n0 double, n1 double, pw double, stop double"
+    levels = [settle(grams.groupBy("place").applyInArrow(weights, f"{columns}, place bigint"))]
+
+    def lighter(batches):
+        for b in batches:
+            n0, n1, below = (b.column(i).to_numpy() for i in (2, 3, 4))
+            pw, stop = weigh(n0, n1, below)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(pw), pa.array(stop)], names=["context", "node", "n0", "n1", "pw", "stop"])
+
+    for d in range(suffix - 1, -1, -1):
+        near = F.expr(f"context & {(1 << 8 * d) - 1}L").alias("context")
+        sums = levels[-1].groupBy(near, "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+        levels.append(settle(sums.mapInArrow(lighter, columns)))
+    one, met = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1), F.col("n0") + F.col("n1") > 0
     path = levels[-1].select("context", "node", (F.col("stop") * one).alias("mass"), (1 - F.col("stop")).alias("rest"), one.alias("p1"))
-    for d in range(1, depth + 1):
-        mask = (1 << (8 * (d - 1))) - 1
+    for d in range(1, suffix + 1):
         above = path.selectExpr("context AS up", "node", "mass", "rest", "p1")
-        here = levels[depth - d].withColumn("up", F.expr(f"context & {mask}L")).join(above, ["up", "node"])
-        met = F.col("n0") + F.col("n1") > 0
+        here = levels[suffix - d].withColumn("up", F.expr(f"context & {(1 << 8 * (d - 1)) - 1}L")).join(above, ["up", "node"])
         path = here.select(
             "context", "node", (F.col("mass") + F.col("rest") * F.col("stop") * one).alias("mass"), (F.col("rest") * (1 - F.col("stop"))).alias("rest"),
-            F.when(met, F.col("mass") + F.col("rest") * one).otherwise(F.col("p1")).alias("p1"),
+            F.when(met, F.col("mass") + F.col("rest") * one).otherwise(F.col("p1")).alias("p1"), *(["place"] if d == suffix else []),
         )
-    chance = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return bits.select("key", "context", "node", "bit").join(path.select("context", "node", "p1"), ["context", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("value"))
 
+    def answers(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree, places = grown(left)
+        context, node, mass, rest, p1 = (right.column(c).to_numpy() for c in ("context", "node", "mass", "rest", "p1"))
+        order = np.argsort(context << 8 | node)
+        logs = tree.logs(mass[order], rest[order], p1[order]).astype("<f4")
+        return pa.table({"t": left.column("t"), "place": left.column("place"), "data": pa.array([planes(logs[x]) for x in places], pa.binary())})
 
-def chunk_words(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.lower().split() for t in texts]
+    return grams.groupBy("place").cogroup(path.groupBy("place")).applyInArrow(answers, "t bigint, place bigint, data binary")
 
 
-def requests(source: DataFrame, depth: int, chunk: int) -> DataFrame:
-    """Per chunk t: its texts (kind 0), distinct words in order (1; the end of a text is the empty word) and distinct gram keys in order (2), n: training count."""
+def requests(source: DataFrame, depth: int, suffix: int, parts: int, chunk: int) -> DataFrame:
+    """Per chunk t: its texts (kind 0), distinct words in order with training counts (1; the end of a text is the empty word), and
+    for every part of the tree the chunk's distinct keys in order with training counts (2).
+    """
     kind = source.schema["id"].dataType.simpleString()
 
     def cut(batches):
         held: list[tuple] = []
         size = number = 0
         part = TaskContext.get().partitionId()
-        for b in batches:
+        for b in slices(batches):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = (row[2] or "").encode()
                 held.append((row[0], row[1], text))
@@ -111,34 +241,34 @@ def requests(source: DataFrame, depth: int, chunk: int) -> DataFrame:
 
     def emit(t, held, ids):
         texts = [x[2] for x in held]
-        train, every = Counter(), set()
-        for (_, out, _), words in zip(held, chunk_words(texts), strict=True):
-            every.update(words)
-            if not out:
-                train.update(words)
-                train[b""] += 1
-        words = sorted(every | {b""})
-        keys, sizes = gram_keys(texts, depth)
-        codes, distinct = pd.factorize(keys)
-        counts = np.bincount(codes, weights=np.repeat([not x[1] for x in held], sizes), minlength=len(distinct)).astype(np.int64)
-        order = np.argsort(distinct)
+        train, every = Counter(), {b""}
+        for (_, out, text) in held:
+            (every if out else train).update(text.lower().split())
+        train[b""] += sum(not x[1] for x in held)
+        words = sorted(every | train.keys())
+        keys, counts = gram_counts(texts, [not x[1] for x in held], depth)
+        part = part_of(keys, suffix, parts)
+        order = np.argsort(part, kind="stable")
+        places, starts = np.unique(part[order], return_index=True)
+        groups = np.split(order, starts[1:])
         pack = zstandard.ZstdCompressor(level=1).compress
         for rows in (
-            (0, [x[0] for x in held], [x[1] for x in held], list(map(pack, texts)), None, None),
-            (1, None, None, words, None, [train[w] for w in words]),
-            (2, None, None, None, distinct[order], counts[order]),
+            (0, None, [x[0] for x in held], [x[1] for x in held], list(map(pack, texts)), None, None),
+            (1, np.arange(len(words)), None, None, words, None, [train[w] for w in words]),
+            (2, places, None, None, [planes(np.diff(keys[g], prepend=0)) for g in groups], [planes(counts[g].astype("<u4")) for g in groups], None),
         ):
-            n = max(len(c) for c in rows[1:] if c is not None)
-            full = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(rows[1:], (ids, pa.bool_(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            n = len(rows[4])
+            kinds = (pa.int64(), ids, pa.bool_(), pa.binary(), pa.binary(), pa.int64())
+            full = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t)), pa.array(np.full(n, rows[0], dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)), *full],
-                names=["t", "kind", "place", "id", "held_out", "data", "key", "n"],
+                [pa.array(np.full(n, t)), pa.array(np.full(n, rows[0], dtype=np.int32)), *full],
+                names=["t", "kind", "place", "id", "held_out", "data", "more", "n"],
             )
 
-    return source.mapInArrow(cut, f"t bigint, kind int, place int, id {kind}, held_out boolean, data binary, key bigint, n bigint")
+    return source.mapInArrow(cut, f"t bigint, kind int, place bigint, id {kind}, held_out boolean, data binary, more binary, n bigint")
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CHUNK, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``bits_per_byte``.
 
     The model learns from the texts for which ``held_out`` is not true, all of them and whole; ``score`` is its log10 probability of
@@ -149,44 +279,57 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CH
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    asked = settle(requests(source, depth, chunk))
+    suffix = min(SUFFIX, depth)
+    asked = settle(requests(source, depth, suffix, parts, chunk))
     word = Window.partitionBy("data")
     words = settle(asked.where("kind = 1").select("t", "place", "n", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("chunks")))
     total, distinct = words.agg(F.sum("n"), F.round(F.sum(F.when(F.col("c") > 0, 1 / F.col("chunks"))))).first()
     total, distinct = int(total or 0), int(distinct or 0)
-    grams = asked.where("kind = 2").select("t", "place", "key", "n")
-    table = node_tables(settle(grams.groupBy("key").agg(F.sum("n").alias("n"))), depth)
-    answers = words.select("t", F.lit(1).alias("kind"), "place", F.col("c").cast("double").alias("value")).unionByName(
-        grams.join(table, "key").select("t", F.lit(2).alias("kind"), "place", "value")
+    grams = predictions(asked.where("kind = 2").select("t", "place", "data", "more"), depth, suffix)
+    # a word that no other chunk has is counted in its own
+    answers = words.where("chunks > 1").select("t", "place", F.col("c").cast("double").alias("c"), F.lit(None).cast("binary").alias("data")).unionByName(
+        grams.select("t", "place", F.lit(None).cast("double").alias("c"), "data")
     )
     texts = asked.where("kind = 0").select("t", "id", "held_out", "data")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         data = [unpack(x) for x in left.column("data").to_pylist()]
-        kinds, place, value = (right.column(c).to_numpy() for c in ("kind", "place", "value"))
-        values = {}
-        for k in (1, 2):
-            values[k] = np.empty(int((kinds == k).sum()))
-            values[k][place[kinds == k]] = value[kinds == k]
-        split = chunk_words(data)
-        vocabulary = sorted(set().union(*split) | {b""})
-        rate = np.log10((values[1] + 0.1) / (total + 0.1 * (distinct + 1)))
-        known = dict(zip(vocabulary, zip(rate.tolist(), (values[1] > 0).tolist(), strict=True), strict=True))
-        base, n_known = [], []
-        end = known[b""]
-        for ws in split:
-            found = [known[w] for w in ws]
-            base.append(math.fsum(r for r, _ in found) + end[0])
-            n_known.append(sum(k for _, k in found) + end[1])
-        keys, sizes = gram_keys(data, depth)
-        codes, distinct_keys = pd.factorize(keys)
-        by_code = np.empty(len(distinct_keys))
-        by_code[np.argsort(distinct_keys)] = values[2]
-        sums = np.add.reduceat(by_code[codes], np.cumsum(sizes) - sizes)
-        n = len(data)
+        learnt = [not x for x in left.column("held_out").to_pylist()]
+        is_word = pc.is_valid(right.column("c"))
+        shared, parted = right.filter(is_word), right.filter(pc.invert(is_word))
+        train, every = Counter(), {b""}
+        for text, own in zip(data, learnt, strict=True):
+            (train if own else every).update(text.lower().split())
+        vocabulary = sorted(every | train.keys())
+        counts = np.fromiter(map(train.__getitem__, vocabulary), dtype=float, count=len(vocabulary))
+        counts[0] = sum(learnt)  # the end of a text
+        counts[shared.column("place").to_numpy()] = shared.column("c").to_numpy()
+        rate, known = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1))), counts > 0
+        at = dict(zip(vocabulary, range(len(vocabulary)), strict=True)).__getitem__
+        n_tokens, n_known, base = [], [], []
+        for text in data:
+            words_of = text.lower().split()
+            i = np.fromiter(map(at, words_of), dtype=np.int64, count=len(words_of))
+            n_tokens.append(len(i) + 1)
+            n_known.append(int(known[i].sum() + known[0]))
+            base.append(float(rate[i].sum() + rate[0]))
+        blocks = []
+        for a, z in in_blocks(data):
+            key, size = gram_keys(data[a:z], depth)
+            codes, own = pd.factorize(key)
+            blocks.append((codes.astype(np.int32), own, size))
+        keys = np.unique(np.concatenate([own for _, own, _ in blocks]))
+        logs, part = np.empty(len(keys)), part_of(keys, suffix, parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        for place, blob in zip(parted.column("place").to_pylist(), parted.column("data").to_pylist(), strict=True):
+            logs[order[ends[place] : ends[place + 1]]] = unplanes(blob, "<f4")
+        sums = [np.add.reduceat(logs[np.searchsorted(keys, own)][codes], np.cumsum(size) - size) for codes, own, size in blocks]
+        sizes = [size for _, _, size in blocks]
+        sums, sizes, n = np.concatenate(sums), np.concatenate(sizes), len(data)
         return pa.table({
-            "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
+            "id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base, pa.float64()),
             "score": pa.array(sums), "bits_per_byte": pa.array(-sums / math.log10(2) / sizes),
         })

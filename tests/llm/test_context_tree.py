@@ -80,7 +80,7 @@ def held():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
 
 
-@pytest.mark.parametrize(("depth", "chunk"), [(2, 300), (4, 1 << 20)])
+@pytest.mark.parametrize(("depth", "chunk"), [(2, 300), (5, 200), (4, 1 << 20)])
 def test_against_recursion(spark, depth, chunk):
     rows = [(i, t) for i, t in enumerate([
         None, "", "a", "the cat sat on the mat", "the cat sat on the hat", "The  Cat\nsat", "été à la plage", "zzzzzzzz", "the cat sat on the mat", "\0 x",
@@ -108,8 +108,8 @@ def test_documents_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = score(docs, held()).collect()
     assert len(rows) == 1000
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
     assert score(docs.limit(0), held()).count() == 0
     odd = docs.limit(3).union(docs.limit(3)).selectExpr("IF(doc_id = 1, null, doc_id) AS doc_id", "text")
     assert score(odd, held()).count() == 6
