@@ -1,6 +1,7 @@
 """Packing: exact round trip of ids, gapless offsets, near the lower bound."""
 
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from engramspark.llm.pattern_packing import best_fit, fit_counts, pack, patterns, piece_lengths, plan
+from engramspark.llm.pattern_packing import best_fit, fit_counts, pack, patterns, piece_lengths, plan, text_ids
 
 NAME = "byte_bpe_50k.json"
 
@@ -19,6 +20,14 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path(NAME))
 
 
+def test_ids_of_random_strings(library):
+    mine, r = text_ids(public_tokenizers.path(NAME)), random.Random(5)
+    alphabet = [*"ab  \n\t'sé1²½٣_-.<|>中\u0085\u180e \x1c\x1f\xa0　À\u200b", "<|endoftext|>", "'ll", "  ", " the", "tion", ".,", "x" * 400, "ab" * 600]
+    for _ in range(5000):
+        s = "".join(r.choice(alphabet) for _ in range(r.randint(0, 30)))
+        assert np.frombuffer(mine.ids(s), dtype="<u4").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def check(rows, texts, library, slack):
     """texts: one for each row of the input, by id."""
     total, spans = 0, defaultdict(list)
