@@ -77,8 +77,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
             scale = now.join(targets[m].withColumnRenamed("value", m), m, "left").select(
                 m, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("scale")
             )
-            fitted = fitted.join(scale, m).withColumn("fit", F.col("fit") * F.col("scale")).drop("scale")
-        fitted = settle(fitted.select(*MARGINS, "w", "fit"))
+            # written margin by margin: plans stay small on the driver
+            fitted = settle(fitted.join(scale, m).select(*MARGINS, "w", (F.col("fit") * F.col("scale")).alias("fit")))
     return fitted
 
 
