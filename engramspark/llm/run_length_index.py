@@ -98,13 +98,15 @@ class RunLengthIndex:
     def sort(text: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         """Ranks of prefixes of doubling length, and the suffix order.
 
-        Below 2^21 symbols two ranks and a place fit one number, and numbers sort many times faster than places by number.
+        Below 2^21 symbols two ranks and a place fit one number, and numbers sort many times faster than places by number. From
+        there on ranks pass 21 bits: two ranks of up to 31 bits are a number, and places are sorted by it.
         """
         n, width, packed = len(text), 1, len(text) < 1 << 21
+        bits = 21 if packed else 32
         rank = (text + 1).astype(np.int32)
         ranks = [(1, rank)]
         while True:
-            key = rank.astype(np.int64) << 21
+            key = rank.astype(np.int64) << bits
             key[: n - width] |= rank[width:] + np.int64(ranks[-1] is not ranks[0])
             if packed:
                 key = key << 21 | np.arange(n)

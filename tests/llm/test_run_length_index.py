@@ -4,9 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from engramspark.llm.run_length_index import RunLengthIndex, long_repeats, merged, remove_repeats, without
+from engramspark.llm.run_length_index import RunLengthIndex, long_repeats, merged, remove_repeats, repeated_windows, without
 
 
 def brute(texts, length, with_text=False):
@@ -55,6 +56,26 @@ def sample(seed):
     return texts
 
 
+def test_index_of_millions_of_symbols():
+    """One passage, whole or in part, in thousands of surroundings: ranks pass 21 bits long before they are all different."""
+    r, length = np.random.default_rng(5), 120
+    draw = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage, strings = draw(200), []
+    for _ in range(3900):
+        a, z = sorted(r.integers(0, 201, 2)) if r.random() < 0.5 else (0, 200)
+        strings.append(draw(int(r.integers(250, 350))) + passage[a:z] + draw(int(r.integers(250, 350))))
+    assert sum(map(len, strings)) > 2_800_000
+    codes = np.array([hash(s[i : i + length]) for s in strings for i in range(len(s) - length + 1)])
+    _, place, times = np.unique(codes, return_inverse=True, return_counts=True)
+    hit, at, want = times[place] > 1, 0, []
+    for i, s in enumerate(strings):
+        n = len(s) - length + 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[at : at + n], [0]])))
+        want += [(i, a, b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        at += n
+    assert list(repeated_windows(strings, [True] * len(strings), length)) == want
+
+
 @pytest.mark.parametrize(("seed", "hot", "chunk"), [(1, 4000, 1 << 20), (2, 2, 1 << 20), (3, 1, 100), (4, 4000, 50)])
 def test_small_windows(spark, seed, hot, chunk):
     texts = sample(seed)
