@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ SIZE = 64
 SPREAD = re.compile(r"(?<!\S)(?:\w[ .\-_*~/]{1,2}){3,}\w(?!\w)")
 TRIPLE = re.compile(r"(\w)\1\1")
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…#%&*$|=-_/~"
+PLAIN_EDGES = "".join(c for c in EDGES if c not in LOOK_ALIKE)
 CACHED_TOKENS = 600_000
 
 
@@ -130,10 +132,27 @@ def restored(token: str, model: CharModel) -> str:
     return decode(noisy, model) if any(map(str.isalpha, noisy)) else ""
 
 
+def readings(token: str, model: CharModel) -> list[str]:
+    """The words that a lower-case token without white space may stand for; none if it has no letter.
+
+    Look-alikes at an edge may belong to the word or be marks beside it, so the token is read with and without those of each edge.
+    """
+    first = restored(token, model)
+    if not first:
+        return []
+    word = token.strip(EDGES)
+    front, back = token.partition(word)[::2]
+    front, back = front.lstrip(PLAIN_EDGES), back.rstrip(PLAIN_EDGES)
+    if not front and not back:
+        return [first]
+    others = (decode(a + word + b, model) for a in dict.fromkeys(("", front)) for b in dict.fromkeys(("", back)) if a or b or not word.isalpha())
+    return list(dict.fromkeys([first, *filter(None, others)]))
+
+
 def restore_text(text: str, model: CharModel) -> str:
-    """All words of a text as restored; letters spread over single characters come as a word at the end."""
+    """All readings of the words of a text; letters spread over single characters come as a word at the end."""
     low = text.lower()
-    words = [restored(t, model) for t in low.split()]
+    words = [w for t in low.split() for w in readings(t, model)]
     words += [decode(m[0], model) for m in SPREAD.finditer(low)]
     return " ".join(w for w in words if w)
 
@@ -143,14 +162,14 @@ def word_features(word: str) -> list[str]:
 
 
 class TextFeatures(dict):
-    """Token -> what ``value`` makes of its restored word, remembered; starts anew when full."""
+    """Token -> what ``value`` makes of each of its readings, remembered; starts anew when full."""
 
     def __init__(self, model: CharModel, value):
         super().__init__()
         self.model, self.value = model, value
 
     def __missing__(self, token: str):
-        v = self.value(restored(token, self.model))
+        v = tuple(map(self.value, readings(token, self.model)))
         if len(token) <= 64:
             if len(self) >= CACHED_TOKENS:
                 self.clear()
@@ -160,7 +179,7 @@ class TextFeatures(dict):
     def of(self, text: str) -> set:
         """Distinct values in a text."""
         low = text.lower()
-        found = set(map(self.__getitem__, set(low.split())))
+        found = set(chain.from_iterable(map(self.__getitem__, set(low.split()))))
         found.update(self.value(decode(m[0], self.model)) for m in SPREAD.finditer(low))
         return found
 

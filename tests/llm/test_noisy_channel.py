@@ -52,6 +52,26 @@ def test_restored_words(chars, noisy, word):
     assert word in restore_text(f"the {noisy} people", chars).split()
 
 
+@pytest.mark.parametrize(("noisy", "word"), [
+    ("$tupid", "stupid"), ("!diot", "idiot"), ("|oser", "loser"), ("(lown", "clown"), ("(l0wn", "clown"), ("$cum", "scum"), ("worthles$", "worthless"),
+    ("stupid$$$", "stupid"), ("\"$tupid!!", "stupid"), ("(idiot)", "idiot"), ("m0ron!", "moron"), ("**scum**", "scum"),
+])
+def test_look_alikes_at_an_edge(chars, noisy, word):
+    assert word in restore_text(f"the {noisy} people", chars).split()
+
+
+def test_disguise_at_an_edge_is_scored(spark):
+    clean = [f"good little tree number {i} the people" for i in range(300)]
+    docs = spark.createDataFrame(
+        [(i, t + " you stupid worthless scum" * (i % 2)) for i, t in enumerate(clean)]
+        + [(1000, "good tree $tupid people"), (1001, "good tree worthles$ people"), (1002, "good tree $cum people"), (1003, "good tree! (people) *number*")],
+        "doc_id bigint, text string",
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity(docs, labels, fold).where("doc_id >= 1000").collect()}
+    assert min(scores[1000], scores[1001], scores[1002]) > 10 * scores[1003]
+
+
 def test_clean_words_stay(chars):
     assert restore_text("Good tree, little people.", chars) == "good tree little people"
     assert restore_text("12 345 +1 (22)", chars) == "" == restore_text("", chars)
