@@ -29,7 +29,7 @@ class ConvSettings:
     epochs: int = 6
     batch: int = 64
     rate: float = 0.01
-    per_label: int = 800  # labelled texts, one window of each: the bound of the training sample
+    per_label: int = 800  # different labelled texts, one window of each: the bound of the training sample
     seed: int = 7
 
 
@@ -127,15 +127,15 @@ def cut(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def train(labelled: DataFrame, settings: ConvSettings = ConvSettings()) -> ByteConv | None:
-    """Fit on one window of at most ``per_label`` texts per label. ``labelled``: text, label. None without any usable row.
+    """Fit on one window of at most ``per_label`` different texts per label. ``labelled``: text, label. None without any usable row.
 
-    Which texts and which of their windows are taken depends on a hash of the text alone.
+    Which texts and which of their windows are taken depends on a hash of the text alone. Copies of a text count once.
     """
     h = F.xxhash64("text")
     first = Window.partitionBy("label").orderBy("h", "part")
     usable = labelled.where(F.col("label").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", h)
     start = F.pmod(F.shiftright("h", 8), F.greatest(F.length("text") - settings.window, F.lit(1))).cast("int") + 1
-    parts = usable.select("label", "h", F.substring("text", start, F.lit(settings.window)).alias("part"))
+    parts = usable.select("label", "h", F.substring("text", start, F.lit(settings.window)).alias("part")).distinct()
     rows = parts.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.per_label).collect()
     if not rows:
         return None

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramspark.llm.byte_conv import ByteConv, ConvSettings, cut, identify
+from engramspark.llm.byte_conv import ByteConv, ConvSettings, cut, identify, train
 
 
 def fold():
@@ -44,6 +44,18 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    words = spark.range(300).selectExpr("concat('text number ', id, ' of many') AS text", "'en' AS label")
+    first = words.orderBy(F.xxhash64("text")).first().text  # its copies would fill all places
+    copies = spark.range(5000).select(F.lit(first).alias("text"), F.lit("en").alias("label"))
+    other = spark.range(50).selectExpr("concat('der Text ', id) AS text", "'de' AS label")
+    seen = []
+    monkeypatch.setattr(ByteConv, "fit", lambda self, codes, target: seen.append((codes, target)))
+    assert train(words.unionByName(copies).unionByName(other), ConvSettings(per_label=200)).labels == ["de", "en"]
+    codes, target = seen[0]
+    assert [len(np.unique(codes[target == k], axis=0)) for k in (0, 1)] == [50, 200] == np.bincount(target).tolist()
+
+
 def test_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "IF(doc_id % 3 = 0, null, lang) AS lang", "1 AS label")
     extra = spark.createDataFrame([(9000, None), (9001, ""), (9002, "12 34 ++"), (None, "the and of " * 40_000), (9001, "")], "doc_id bigint, text string")
