@@ -269,7 +269,7 @@ def toxicity(
 
     ``labels`` has the id and the label 0 or 1; null labels are left out, of several labels of an id the larger counts. At most
     ``sample`` texts of each label are learnt from, those with the smallest hash of their id, and none for whose id ``held_out`` is
-    true. Null and empty texts get the score of a text without signs; without labels of both kinds every score is 0. A
+    true; of several rows of an id, the text with the smallest hash. Null and empty texts get the score of a text without signs; without labels of both kinds every score is 0. A
     score depends on the text alone. Repeated rows, null ids and further columns do no harm.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -280,7 +280,8 @@ def toxicity(
     first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     picked = settle(once.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id", "label"))
     # at most 2 * sample ids: small enough to go to every task, so texts need no shuffle
-    labelled = source.where("NOT held_out").join(F.broadcast(picked), "id").select("text", "label").withColumn("key", F.monotonically_increasing_id())
+    found = source.where("NOT held_out").join(F.broadcast(picked), "id").groupBy("id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("one"))
+    labelled = found.select("one.text", "one.label").withColumn("key", F.monotonically_increasing_id())
     toxic = train(settle(labelled.select("key", "text", "label")), chars)
 
     def run(batches):

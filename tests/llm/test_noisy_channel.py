@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from engramspark.llm import noisy_channel
 from engramspark.llm.noisy_channel import OTHER, SYMBOL, CharModel, decode, fit_logistic, options, restore_text, toxicity, trigram_counts
 
 WORDS = "the idiot is a clown and a loser who was worthless pathetic stupid moron trash scum disgusting people little good tree " * 30
@@ -72,6 +73,15 @@ def test_disguise_at_an_edge_is_scored(spark):
     assert min(scores[1000], scores[1001], scores[1002]) > 10 * scores[1003]
 
 
+def test_repeated_ids_are_one_text_each_in_the_sample(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("IF(id < 40, id, 1) AS doc_id", "concat('text ', id) AS text").unionByName(spark.sql("SELECT 2L AS doc_id, CAST(null AS string) AS text"))
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(noisy_channel, "train", lambda labelled, model: seen.append(labelled.collect()))
+    toxicity(docs, labels, lambda i: i < 0).count()
+    assert len(seen[0]) == len({r.key for r in seen[0]}) == 40 and sum(r.label for r in seen[0]) == 20
+
+
 def test_clean_words_stay(chars):
     assert restore_text("Good tree, little people.", chars) == "good tree little people"
     assert restore_text("12 345 +1 (22)", chars) == "" == restore_text("", chars)
