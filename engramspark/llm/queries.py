@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramspark.llm import byte_conv, context_tree, line_quality, mixing, noisy_channel, pattern_packing, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import byte_conv, context_tree, line_quality, mixing, noisy_channel, pattern_packing, role_repair, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged conversation repaired to the role grammar by weighted edits."""
+    return role_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_raking": op2_raking,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_length_index": op8_run_length_index,
     "op9_superminhash": op9_superminhash,
     "op10_line_quality": op10_line_quality,
+    "op13_role_repair": op13_role_repair,
 }
