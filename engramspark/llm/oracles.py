@@ -90,6 +90,36 @@ def mixing_ctes(source: str, settings: MixSettings = MixSettings()) -> str:
       FROM known k JOIN rated r ON k.src = r.source AND k.lng = r.lang AND k.topic = r.topic)"""
 
 
+BLOCK_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL
+), total AS (
+  SELECT count(*) AS nd, sum(len(terms))::BIGINT AS lt FROM d WHERE len(terms) > 0
+), held AS (
+  SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), parts AS (
+  SELECT r, doc_id, term,
+         floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+           * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nd) // lt)))) AS part
+  FROM tf JOIN df USING (term), total
+), scores AS (
+  SELECT item_id, r, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op2_raking": f"""
     WITH {mixing_ctes("documents")}
@@ -98,4 +128,5 @@ ORACLES: dict[str, str] = {
     WITH {line_quality_ctes("documents")}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_kept_lines,
            line_chars, kept_chars FROM judged""",
+    "op11_block_search": BLOCK_SEARCH,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramspark.llm import byte_conv, context_tree, line_quality, mixing, noisy_channel, pattern_packing, pii_boosting, role_repair, run_length_index, superminhash, token_counts, winnowing
+from engramspark.llm import block_search, byte_conv, context_tree, line_quality, mixing, noisy_channel, pattern_packing, pii_boosting, role_repair, run_length_index, superminhash, token_counts, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by blocked posting lists."""
+    return block_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: strict patterns and boosted candidates."""
     return pii_boosting.find(table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_run_length_index": op8_run_length_index,
     "op9_superminhash": op9_superminhash,
     "op10_line_quality": op10_line_quality,
+    "op11_block_search": op11_block_search,
     "op12_pii_boosting": op12_pii_boosting,
     "op13_role_repair": op13_role_repair,
 }
