@@ -166,6 +166,21 @@ def digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def common_seeds(source: DataFrame, length: int, gram: int) -> DataFrame:
+    """Seeds of more than one segment. Counted before segments are digested: most segments are alone and never leave their task."""
+
+    def run(batches):
+        for b in slices(batches, 200):
+            found: dict[int, int] = {}
+            for text in b.column(2).to_pylist():
+                for seed, *_ in segments_of((text or "").encode(), length, gram):
+                    found[seed] = found.get(seed, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["seed", "times"])
+
+    counted = source.mapInArrow(run, "seed bigint, times bigint").groupBy("seed").agg(F.sum("times").alias("times"))
+    return counted.where("times > 1").select(F.col("seed").alias("key"), F.lit(True).alias("common"))
+
+
 def seed_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
     """Segments of all texts: seed, id, h, first, n (windows), s1, s2 (segment content and seed offset), m (times in the text).
 
@@ -221,7 +236,10 @@ def long_repeats(
     source = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"), rest.alias("rest"))
     kind = source.schema["id"].dataType.simpleString()
     with_rest = lambda ddl: T.StructType([*T.StructType.fromDDL(ddl).fields, source.schema["rest"]])
-    rows = settle(seed_rows(source.drop("rest"), length, gram))
+    texts = source.drop("rest")
+    # local rows have no seed and are dealt by their text
+    rows = seed_rows(texts, length, gram).withColumn("key", F.coalesce("seed", "h")).join(common_seeds(texts, length, gram), "key", "left")
+    rows = settle(rows.where("seed IS NULL OR common").drop("key", "common"))
     parts = rows.where("seed IS NOT NULL").groupBy("seed", "s1", "s2").agg(F.sum("m").alias("m"), F.min(F.struct("id", "h", "first")).alias("rep"))
     seeds = parts.groupBy("seed").agg(F.count(F.lit(1)).alias("segments"), F.min("m").alias("least"), F.sum("m").alias("total")).where("total > 1")
     live = parts.join(seeds, "seed").selectExpr("seed", "s1", "s2", "m > 1 AS twice", "segments", "segments > 1 AND least = 1 AS mixed", "rep")
@@ -331,11 +349,11 @@ def long_repeats(
     return out.drop(*dropped).withColumnRenamed("id", id_col)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their long repeats, with the columns of the input; those with nothing left go.
 
     A column ``n_chars`` is set to the new number of code points if the input has one.
     """
-    found = long_repeats(docs, length, id_col=id_col, text_col=text_col, with_text=True, carry=[c for c in docs.columns if c != text_col])
+    found = long_repeats(docs, length, gram, id_col=id_col, text_col=text_col, with_text=True, carry=[c for c in docs.columns if c != text_col])
     new = {text_col: F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return found.where("kept_text <> ''").select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])

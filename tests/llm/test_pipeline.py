@@ -29,7 +29,7 @@ def test_stages(spark):
     groups = near_brute([r[:2] for r in cleaned], 5, 80)
     single = [r for r in cleaned if groups[r[0]][2]]
     assert got[1] == {r[0]: r[1] for r in single}
-    cut = [(r[0], x[4], *r[2:]) for r, x in zip(single, repeats_brute([r[1] for r in single], 400, with_text=True), strict=True) if x[4]]
+    cut = [(r[0], x[4], *r[2:]) for r, x in zip(single, repeats_brute([r[1] for r in single], corpus_pipeline.REPEAT_BYTES, with_text=True), strict=True) if x[4]]
     assert got[2] == {r[0]: r[1] for r in cut}
     kept = {r[0] for r in mixing_brute(cut) if r[6]}
     assert got[3] == {r[0]: r[1] for r in cut if r[0] in kept}
