@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from engramspark.llm import line_quality, mixing, pattern_packing, run_length_index, superminhash
 from engramspark.session import ensure_checkpoint_dir
 
+#: A passage of more than 50 words has at least this many bytes, but for one in a hundred of those in the given texts.
+REPEAT_BYTES = 230
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line-first quality rules: failing lines and rejected documents go."""
@@ -27,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Run-length index: bytes covered by a 400-byte string that also starts elsewhere go."""
-    return run_length_index.remove_repeats(docs, length=400)
+    """Run-length index: bytes covered by a string of REPEAT_BYTES that also starts elsewhere go."""
+    return run_length_index.remove_repeats(docs, length=REPEAT_BYTES, gram=32)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
