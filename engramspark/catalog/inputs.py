@@ -66,7 +66,7 @@ def order_passages(spark: SparkSession, sf: str) -> DataFrame:
         .join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("c_mktsegment").alias("store_id"), F.col("o_orderkey").alias("passage_seq"),
-            F.least(F.lit(1.0), F.col("o_totalprice") / 1_000_000).alias("salience"),
+            "o_orderdate", F.least(F.lit(1.0), F.col("o_totalprice") / 1_000_000).alias("salience"),
             placed.alias("timestamp_ms"),
             F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("bigint").alias("access_count"),
             F.when(F.col("o_orderstatus") == "F", placed + month).otherwise(0).cast("bigint").alias("last_accessed_ms"),

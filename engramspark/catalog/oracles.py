@@ -34,8 +34,8 @@ tri as materialized (
   select store_id, passage_seq, line * 2 as ord, customer as subject, 'bought' as predicate, part as object from lines
   union all select store_id, passage_seq, line * 2 + 1, part, 'supplied by', supplier from lines),
 seen as materialized (
-  select store_id, passage_seq, subject as entity, ((passage_seq << 20) + ord) << 1 as seq from tri
-  union all select store_id, passage_seq, object, (((passage_seq << 20) + ord) << 1) + 1 from tri)"""
+  select store_id, passage_seq, subject as entity, ((passage_seq << 25) + ord) << 1 as seq from tri
+  union all select store_id, passage_seq, object, (((passage_seq << 25) + ord) << 1) + 1 from tri)"""
 
 FACT_EDGES = """
 fe as materialized (
@@ -62,13 +62,13 @@ tri as materialized (
   from rk a join rk b on a.store_id = b.store_id and a.passage_seq = b.passage_seq and b.r = a.r + 1
   where a.r <= 5),
 seen as materialized (
-  select store_id, passage_seq, subject as entity, ((passage_seq << 20) + ord) << 1 as seq from tri
-  union all select store_id, passage_seq, object, (((passage_seq << 20) + ord) << 1) + 1 from tri),
+  select store_id, passage_seq, subject as entity, ((passage_seq << 25) + ord) << 1 as seq from tri
+  union all select store_id, passage_seq, object, (((passage_seq << 25) + ord) << 1) + 1 from tri),
 ent as materialized (
   select store_id, entity, min(seq) as entity_seq, min(passage_seq) as first_passage_seq from seen group by all),
 fact as materialized (
   select store_id, subject || ' ' || predicate || ' ' || object as fact,
-         min((passage_seq << 20) + ord) as fact_seq, min(passage_seq) as owner_seq,
+         min((passage_seq << 25) + ord) as fact_seq, min(passage_seq) as owner_seq,
          any_value(subject) as subject, any_value(predicate) as predicate, any_value(object) as object
   from tri group by store_id, fact)"""
 
@@ -183,6 +183,84 @@ led as materialized (
 
 LEDGER = ledger(0.8, 10)
 
+
+def lives(capacity: int) -> str:
+    """``held`` after each flush and ``life`` of every passage of ``pp(store_id, passage_seq, flush, flush_ms, salience, since, acc_ms)``."""
+    return f"""
+fl as materialized (
+  select store_id, flush, any_value(flush_ms) as flush_ms, row_number() over (partition by store_id order by flush) as n from pp group by store_id, flush),
+pn as materialized (select pp.*, n from pp join fl using (store_id, flush)),
+held(n, store_id, passage_seq, flush, flush_ms, salience, since, acc_ms) as (
+  select distinct 0::bigint, store_id, null::bigint, null::bigint, null::bigint, null::double, null::bigint, null::bigint from pp
+  union all
+  select n, store_id, passage_seq, flush, flush_ms, salience, since, acc_ms from (
+    select c.*, row_number() over (partition by c.store_id order by
+        (1.0 - salience) * ln(1.0 + (f.flush_ms - since) / 3600000.0)
+        - case when acc_ms > c.flush_ms and acc_ms <= f.flush_ms then 1.0 / (1.0 + (f.flush_ms - acc_ms) / 3600000.0) else 0.0 end,
+        passage_seq desc) as r
+    from (
+      select n + 1 as n, store_id, passage_seq, flush, flush_ms, salience, since, acc_ms from held where passage_seq is not null
+      union all
+      select p.n, p.store_id, p.passage_seq, p.flush, p.flush_ms, p.salience, p.since, p.acc_ms
+      from pn p join (select distinct store_id, n from held) h on p.store_id = h.store_id and p.n = h.n + 1) c
+    join fl f on f.store_id = c.store_id and f.n = c.n)
+  where r <= {capacity}),
+last as (select store_id, passage_seq, max(n) as n from held where passage_seq is not null group by all),
+life as materialized (
+  select p.store_id, p.passage_seq, p.flush as born, case when l.n is null then p.flush else f.flush end as died
+  from pn p left join last l on l.store_id = p.store_id and l.passage_seq = p.passage_seq
+  left join fl f on f.store_id = p.store_id and f.n = l.n + 1)"""
+
+
+def lived(name: str, rows: str, key: str) -> str:
+    """Lives of ``key`` as unions of the lives of the passages in ``rows(store_id, key, passage_seq, seq)``."""
+    return f"""
+{name}_s as (select r.store_id, {key}, seq, passage_seq, born, coalesce(died, 9223372036854775807) as died from {rows} r join life using (store_id, passage_seq)),
+{name}_n as (select *, case when born > max(died) over (partition by store_id, {key} order by born, seq rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from {name}_s),
+{name}_p as (select *, sum(fresh) over (partition by store_id, {key} order by born, seq rows unbounded preceding) as part from {name}_n),
+{name} as materialized (
+  select store_id, {key}, min(born) as born, nullif(max(died), 9223372036854775807) as died, min(seq) as seq, min(passage_seq) as since
+  from {name}_p group by store_id, {key}, part)"""
+
+
+ORDER_LIVES = """
+pp as materialized (
+  select c_mktsegment as store_id, o_orderkey as passage_seq, (year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 as flush,
+         epoch_ms(date_trunc('month', o_orderdate) + interval 1 month) as flush_ms, least(1.0, o_totalprice / 1000000)::double as salience,
+         epoch_ms(o_orderdate) as since, case when o_orderstatus = 'F' then epoch_ms(o_orderdate) + 2592000000 end as acc_ms
+  from orders join customer on o_custkey = c_custkey),""" + lives(200)
+
+DOC_LIVES = """
+pp as materialized (
+  select store_id, passage_seq, passage_seq // 10 as flush, (passage_seq // 10 + 1) * 36000000 as flush_ms, salience::double as salience,
+         (passage_seq // 10 + 1) * 36000000 as since, null::bigint as acc_ms from pas),""" + lives(40) + "," + lived("el", "seen", "entity")
+
+REMOVALS = SIMILAR + """,
+uel as materialized (
+  select el.*, m.last as until from el left join (select store_id, born as died, max(passage_seq) as last from life group by all) m using (store_id, died)),
+intro as (select distinct store_id, since as t from uel),
+ranked as (
+  select e.store_id, e.a, e.b, e.score, i.t, la.since as a_since, lb.since as b_since, lb.died as b_died,
+         row_number() over (partition by e.store_id, e.a, i.t order by e.score desc, lb.seq) as r
+  from ed e join uel la on la.store_id = e.store_id and la.entity = e.a and la.died is null
+  join uel lb on lb.store_id = e.store_id and lb.entity = e.b
+  join intro i on i.store_id = e.store_id and i.t >= greatest(la.since, lb.since) and (lb.until is null or i.t <= lb.until)
+  where e.score >= 0.5),
+syn as materialized (select store_id, a, b, any_value(score) as score, max(t) as set_at from ranked where r <= 2 and b_died is null group by all),
+sets as materialized (
+  select store_id, src, dst, max(score) as s, max(set_at) as t from (
+    select store_id, a as src, b as dst, score, set_at from syn union all select store_id, b, a, score, set_at from syn) group by all),
+ends as materialized (
+  select store_id, subject as src, object as dst, passage_seq from tri union all select store_id, object, subject, passage_seq from tri),
+adds as (
+  select e.store_id, e.src, e.dst, count(*)::double as n
+  from ends e join uel x on x.store_id = e.store_id and x.entity = e.src and x.died is null
+  join uel y on y.store_id = e.store_id and y.entity = e.dst and y.died is null
+  left join sets s on s.store_id = e.store_id and s.src = e.src and s.dst = e.dst
+  where e.passage_seq >= greatest(x.since, y.since) and (s.t is null or e.passage_seq > s.t) group by all),
+led as materialized (
+  select store_id, 'entity:' || src as src, 'entity:' || dst as dst, coalesce(s, 0) + coalesce(n, 0) as w from adds full join sets using (store_id, src, dst))"""
+
 RECALL = """
 ext as (select store_id, query_id, min(score) as lo, max(score) as hi from fs group by all),
 cand as materialized (select * from {cand} ),
@@ -462,9 +540,9 @@ ORACLES: dict[str, str] = {
         case when event_id % 3 = 2 then null else (props->>'$.k')::bigint end as k from events""",
     "verdicts": "select doc_id, quality::int as correct from labels",
     "fact_dedupe": f"""with {LINES}, f as (
-        select store_id, subject || ' ' || predicate || ' ' || object as fact, min((passage_seq << 20) + ord) as fact_seq,
+        select store_id, subject || ' ' || predicate || ' ' || object as fact, min((passage_seq << 25) + ord) as fact_seq,
           any_value(subject) as subject, any_value(predicate) as predicate, any_value(object) as object from tri group by store_id, fact)
-        select store_id, fact, 'fact-' || {fnv('fact')} as fact_id, subject, predicate, object, fact_seq >> 20 as owner_seq, fact_seq from f""",
+        select store_id, fact, 'fact-' || {fnv('fact')} as fact_id, subject, predicate, object, fact_seq >> 25 as owner_seq, fact_seq from f""",
     "entity_first_seen": f"""with {LINES}, e as (select store_id, entity, min(seq) as entity_seq, min(passage_seq) as first_passage_seq from seen group by all)
         select *, 'entity-' || {fnv('entity')} as entity_id from e""",
     "entity_mentions": f"with {LINES} select store_id, entity, count(distinct passage_seq) as passages from seen group by all",
@@ -544,6 +622,17 @@ ORACLES: dict[str, str] = {
     "forget_candidates": f"""with {EVENT_PASSAGES} select store_id, passage_seq, round(forget_score, 9) as forget_score from (
         select *, row_number() over (partition by store_id order by forget_score, passage_seq desc) as rn from fscore) where rn > 200""",
     "forget_cascade": CASCADE,
+    "passage_lifetimes": f"with recursive {ORDER_LIVES} select store_id, passage_seq, born, died from life",
+    "entity_lifetimes": f"with recursive {MEMORY}, {DOC_LIVES} select store_id, entity, born, died, since as first_passage_seq from el",
+    "memory_sizes": f"""with recursive {LINES}, {ORDER_LIVES},
+        kept as materialized (select store_id, n, passage_seq from held where passage_seq is not null),
+        men as materialized (select distinct store_id, entity, passage_seq from seen),
+        ft as materialized (select distinct store_id, subject || ' ' || predicate || ' ' || object as fact, passage_seq from tri)
+        select fl.store_id, fl.flush, p.passages, coalesce(e.entities, 0) as entities, coalesce(f.facts, 0) as facts from fl
+        join (select store_id, n, count(*) as passages from kept group by all) p using (store_id, n)
+        left join (select store_id, n, count(distinct entity) as entities from kept join men using (store_id, passage_seq) group by all) e using (store_id, n)
+        left join (select store_id, n, count(distinct fact) as facts from kept join ft using (store_id, passage_seq) group by all) f using (store_id, n)""",
+    "ledger_removals": f"with recursive {MEMORY}, {DOC_LIVES}, {REMOVALS} select store_id, src, dst, round(w, 9) as w from led",
     "paired_exchanges": f"with {TURNS}, {pairs('turns', True)} select * from pairs",
     "paired_without_system": f"""with {TURNS}, nt as (select * replace (row_number() over (partition by store_id, session_index order by pos) - 1 as pos) from turns where role <> 'system'),
         {pairs('nt', False)} select * from pairs""",

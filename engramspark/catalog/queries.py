@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MemoryConfig
 from ..functions import text as tx
 from ..functions.vector import min_max_normalize
-from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, notepad, pagerank, pressure, tags
+from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, tags
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
@@ -392,6 +392,52 @@ def forget_cascade(spark, sf):
     return stats.join(weight, "store_id")
 
 
+def _order_lives(spark, sf):
+    """Orders flushed month by month, shipped ones read again 30 days after they were placed."""
+    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1
+    next_month = F.unix_date(F.add_months(F.trunc("o_orderdate", "month"), 1)).cast("bigint") * 86_400_000
+    orders = src.order_passages(spark, sf)
+    passages = orders.select("store_id", "passage_seq", "salience", "timestamp_ms", month.cast("bigint").alias("flush"), next_month.alias("flush_ms"))
+    seen = orders.where("access_count > 0").select("store_id", "passage_seq", F.col("last_accessed_ms").alias("at_ms"))
+    return passages, materialize(lifetimes.passage_lifetimes(passages, seen))
+
+
+def passage_lifetimes(spark, sf):
+    """When each order entered and left its segment's memory of bounded capacity."""
+    return _order_lives(spark, sf)[1]
+
+
+def memory_sizes(spark, sf):
+    """Passages, entities and facts of each segment's memory after every month."""
+    passages, lives = _order_lives(spark, sf)
+    triples = src.order_triples(spark, sf)
+    return lifetimes.sizes(
+        passages, passages=lives, entities=lifetimes.entity_lifetimes(triples, lives), facts=lifetimes.fact_lifetimes(triples, lives)
+    )
+
+
+def _document_lives(spark, sf):
+    """The documents indexed ten at a time into memories of forty, with two neighbours per entity."""
+    m, config = src.document_memory(spark, sf), MemoryConfig(max_passages=40, synonymy_top_k=2, synonymy_threshold=0.5)
+    flush = F.floor(F.col("passage_seq") / 10).cast("bigint")
+    passages = m.passages.select("store_id", "passage_seq", "salience", flush.alias("flush"), ((flush + 1) * 36_000_000).alias("flush_ms"))
+    lives = materialize(lifetimes.passage_lifetimes(passages.withColumn("timestamp_ms", F.col("flush_ms")), config=config))
+    return m, lives, materialize(lifetimes.entity_lifetimes(m.triples, lives)), config
+
+
+def entity_lifetimes(spark, sf):
+    """Every life of every entity of the documents."""
+    lives = _document_lives(spark, sf)[2]
+    return lives.select("store_id", "entity", "born", "died", F.shiftright("seq", ingest.ORD_BITS + 1).alias("first_passage_seq"))
+
+
+def ledger_removals(spark, sf):
+    """Entity edges of the documents after the last of many forgettings."""
+    m, lives, entities, config = _document_lives(spark, sf)
+    edges = lifetimes.ledger_with_removals(m.triples, m.entities.select("store_id", "entity", "vec"), entities, lives, config)
+    return edges.select("store_id", "src", "dst", r9("w").alias("w"))
+
+
 # ---- conversations -----------------------------------------------------------------------
 
 
@@ -672,6 +718,7 @@ QUERIES = {
         candidate_facts, filtered_candidates, recognized_triples, entity_seed_weights,
         retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, associations, accessed_passages,
         tag_matches, topic_list, consolidated_topics, forget_candidates, forget_cascade,
+        passage_lifetimes, entity_lifetimes, memory_sizes, ledger_removals,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
         lint_points, previous_summaries, turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,

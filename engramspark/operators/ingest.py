@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_id, triple_text
 
-ORD_BITS = 20
+#: Bits of a triple's place in its passage. An array of triples of three strings takes 64 bytes each and Spark's rows end at 2 GB, so
+#: no array has more than 2^25; passages of a store may number up to 2^37.
+ORD_BITS = 25
 
 
 def occurrence_seq(passage_seq: str = "passage_seq", ordinal: str = "ord"):
