@@ -53,10 +53,11 @@ pe as materialized (
 def keyword_tables(source: str) -> str:
     """Extraction of the keyword stand-in over ``source(store_id, passage_seq, text)``."""
     return f"""
-w as (select store_id, passage_seq, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as w from {source}),
+w as (select store_id, passage_seq, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{4,}}')) as w from {source}),
 wc as (select store_id, passage_seq, w, count(*) as c from w group by all),
 rk as materialized (
-  select *, row_number() over (partition by store_id, passage_seq order by c desc, w) as r from wc),
+  select *, row_number() over (partition by store_id, passage_seq order by c desc, w) as r,
+         sum(c) over (partition by store_id, passage_seq) as total from wc),
 tri as materialized (
   select a.store_id, a.passage_seq, a.r - 1 as ord, a.w as subject, 'relates to' as predicate, b.w as object
   from rk a join rk b on a.store_id = b.store_id and a.passage_seq = b.passage_seq and b.r = a.r + 1
@@ -87,7 +88,7 @@ pas as materialized (
          coalesce(s.topics, []) as topics,
          coalesce(s.words, 0) / greatest(1, coalesce(s.total, 0)) as salience
   from doc d left join (
-    select store_id, passage_seq, string_agg(w, ' ' order by r) filter (where r <= 12) as summary,
+    select store_id, passage_seq, string_agg(w, ' ' order by r) filter (where r <= ceil(total / 4.0)) as summary,
            list(w order by r) filter (where r <= 5) as topics, count(*) as words, sum(c) as total
     from rk group by all) s on d.store_id = s.store_id and d.passage_seq = s.passage_seq)"""
 
@@ -184,6 +185,30 @@ led as materialized (
 LEDGER = ledger(0.8, 10)
 
 
+def rolling(source: str) -> str:
+    """Fold of ``source(store_id, session_index, exchange_index, exchange_text)`` with the keyword stand-in as summarizer."""
+    prev = "case when starts_with(peak, '[Summary]') then string_split(substr(peak, 11), chr(10) || chr(10))[1] else '' end"
+    ws = r"regexp_extract_all(lower(peak), '[\p{L}\p{Nl}\p{No}]{4,}')"
+    short = (
+        f"array_to_string(list_concat(list_filter(string_split({prev}, ' ')[1:10], lambda w: w <> ''), "
+        f"list_filter({ws}, lambda w, i: list_position({ws}, w) = i)[1:greatest(8, {UTF16.format('peak')} // 64)]), ' ')"
+    )
+    return f"""
+walk as (
+  select store_id, session_index, -1::bigint as exchange_index, ''::varchar as held, ''::varchar as peak, ''::varchar as buffer, false as summarized, 0::bigint as events, null::varchar as summary
+  from (select distinct store_id, session_index from {source})
+  union all
+  select store_id, session_index, exchange_index, held, peak, case when over then '[Summary]' || chr(10) || summary else peak end, over, events, case when over then summary end
+  from (select *, case when over then {short} else '' end as summary from (
+    select *, {UTF16.format('peak')} > 4096 as over from (
+      select s.store_id, s.session_index, s.exchange_index, w.buffer as held, case when w.buffer = '' then s.exchange_text else w.buffer || chr(10) || chr(10) || s.exchange_text end as peak,
+             w.events + w.summarized::bigint as events
+      from walk w join {source} s on s.store_id = w.store_id and s.session_index = w.session_index and s.exchange_index = w.exchange_index + 1)))),
+rolled as materialized (
+  select store_id, session_index, exchange_index, {tokens('held')} as tokens_before, {tokens('peak')} as tokens_peak, {tokens('buffer')} as tokens_after,
+         summarized, events as events_before, summary from walk where exchange_index >= 0)"""
+
+
 def lives(capacity: int) -> str:
     """``held`` after each flush and ``life`` of every passage of ``pp(store_id, passage_seq, flush, flush_ms, salience, since, acc_ms)``."""
     return f"""
@@ -447,6 +472,34 @@ snap as (
   from held h)""",
 ])
 
+ROLLED = TURNS + "," + pairs("turns", True) + "," + rolling("pairs")
+
+REMEMBERED = "with recursive " + ",".join([
+    ROLLED,
+    """
+ex as materialized (select *, row_number() over (partition by store_id order by session_index, exchange_index) - 1 as passage_seq from pairs),
+unit as materialized (
+  select store_id, session_index, events_before, row_number() over (partition by store_id order by session_index, events_before) - 1 as flush, max(passage_seq) as newest
+  from rolled join ex using (store_id, session_index, exchange_index) group by store_id, session_index, events_before),
+turn as materialized (select * from rolled join ex using (store_id, session_index, exchange_index) join unit using (store_id, session_index, events_before))""",
+    keyword_tables("(select store_id, passage_seq, exchange_text as text from ex)"),
+    """
+pp as materialized (
+  select t.store_id, t.passage_seq, t.flush, (t.newest + 1) * 60000 as flush_ms, coalesce(s.salience, 0)::double as salience, (t.newest + 1) * 60000 as since, null::bigint as acc_ms
+  from turn t left join (select store_id, passage_seq, count(*) / sum(c) as salience from rk group by all) s using (store_id, passage_seq))""",
+    lives(12),
+    """
+kept as materialized (select h.store_id, fl.flush, h.passage_seq from held h join fl using (store_id, n) where h.passage_seq is not null),
+size as materialized (
+  select k.store_id, k.flush, count(distinct k.passage_seq) as passages, count(distinct s.entity) as entities,
+         count(distinct t.subject || ' ' || t.predicate || ' ' || t.object) as facts
+  from kept k left join seen s using (store_id, passage_seq) left join tri t using (store_id, passage_seq) group by all),
+snap as (
+  select t.store_id, t.session_index, t.passage_seq as turn_index, tokens_before, tokens_peak, tokens_after, summarized, t.summary,
+         coalesce(z.passages, 0) as passages, coalesce(z.entities, 0) as entities, coalesce(z.facts, 0) as facts
+  from turn t left join size z on z.store_id = t.store_id and z.flush = t.flush - case when t.summarized then 0 else 1 end)""",
+])
+
 PARTS = """
 pp as materialized (select p_partkey as passage_seq, lower(p_type) as type, p_name, p_brand, lower(p_type) as t from part),
 pt as materialized (select passage_seq, unnest([replace(p_name, ' ', '-'), p_brand, t]) as topic from pp),
@@ -650,14 +703,16 @@ ORACLES: dict[str, str] = {
         select store_id, pos from ev where n % 3 = 0""",
     "previous_summaries": "select doc_id, case when doc_id % 2 = 0 then string_split(text, chr(10) || chr(10))[1] else '' end as summary from documents",
     "turn_snapshots": SNAPSHOTS + " select * from snap",
+    "rolling_pressure": f"with recursive {ROLLED} select * from rolled",
+    "remembered_snapshots": REMEMBERED + " select * from snap",
     "chart_scales": SNAPSHOTS + """ select store_id, greatest(1024, max(greatest(tokens_peak, tokens_after)))::bigint as max_tokens,
         greatest(1, max(greatest(entities, facts)))::bigint as max_graph from snap group by all""",
     "compact_summaries": f"""with {TURNS}, {pairs('turns', False)},
         xw as (select store_id, session_index, exchange_index, greatest(30, floor({tokens('exchange_text')} / 4.0 + 0.5))::bigint as target,
-          regexp_extract_all(lower(exchange_text), '[a-z]{{4,}}') as ws from pairs),
+          regexp_extract_all(lower(exchange_text), '\\p{{L}}{{4,}}') as ws from pairs),
         xd as (select *, list_filter(ws, lambda w, i: list_position(ws, w) = i) as d from xw),
         sj as (select store_id, session_index, string_agg(array_to_string(d[1:target], ' '), chr(10) || chr(10) order by exchange_index) as joined from xd group by all),
-        jw as (select *, greatest(30, floor({tokens('joined')} / 4.0 + 0.5))::bigint as target, regexp_extract_all(joined, '[a-z]{{4,}}') as ws from sj),
+        jw as (select *, greatest(30, floor({tokens('joined')} / 4.0 + 0.5))::bigint as target, regexp_extract_all(lower(joined), '\\p{{L}}{{4,}}') as ws from sj),
         jd as (select *, list_filter(ws, lambda w, i: list_position(ws, w) = i) as d from jw)
         select store_id, session_index, '[Summary of earlier conversation]' || chr(10) || array_to_string(d[1:target], ' ') as narrative from jd""",
     "exchange_chunks": f"""with {TURNS}, {pairs('turns', True)},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MemoryConfig
 from ..functions import text as tx
 from ..functions.vector import min_max_normalize
-from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, tags
+from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, rolling, tags
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
@@ -498,6 +498,20 @@ def turn_snapshots(spark, sf):
     return evaluate.turn_snapshots(exchanges, triples, SUMMARY_TEXT)
 
 
+def rolling_pressure(spark, sf):
+    """The fold of every session with summaries that take up the one before."""
+    pairs = conversation.pair_turns(src.conversation_turns(spark, sf), with_date=True)
+    return rolling.rolling_trace(pairs, conversation.SESSION_KEYS, "exchange_index")
+
+
+def remembered_snapshots(spark, sf):
+    """Snapshots of memories of twelve passages that forget at every flush."""
+    exchanges = materialize(evaluate.session_exchanges(src.conversation_turns(spark, sf)))
+    raw = exchanges.select("store_id", "passage_seq", src.EXTRACTOR.column(F.col("exchange_text")).alias("x"))
+    extracted = materialize(raw.select("store_id", "passage_seq", "x.triples", "x.salience"))
+    return evaluate.remembered_snapshots(exchanges, extracted, config=MemoryConfig(max_passages=12))
+
+
 def chart_scales(spark, sf):
     return evaluation.chart_scales(turn_snapshots(spark, sf), ["store_id"])
 
@@ -720,7 +734,7 @@ QUERIES = {
         tag_matches, topic_list, consolidated_topics, forget_candidates, forget_cascade,
         passage_lifetimes, entity_lifetimes, memory_sizes, ledger_removals,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
-        lint_points, previous_summaries, turn_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
+        lint_points, previous_summaries, turn_snapshots, rolling_pressure, remembered_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
         select_per_type, question_types, dataset_projection, question_detail, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
         keyword_recall, recall_report, progress_frames, progress_stream_frames, progress_fold,

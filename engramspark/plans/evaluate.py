@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
 from ..functions.text import verdict_is_correct
+from ..operators import lifetimes, rolling
 from ..operators.conversation import SESSION_KEYS, pair_turns
 from ..operators.groups import ordinals
-from ..operators.ingest import build_entities, build_facts
+from ..operators.ingest import build_entities, build_facts, explode_triples
 from ..operators.pressure import SUMMARY_HEAD, prefix_sums, pressure_trace
 from ..session import materialize
 from ..sources.providers import Embedder, Extractor, Judge, TripleFilter
@@ -89,6 +90,46 @@ def turn_snapshots(
     )
 
 
+def flush_numbers(exchanges: DataFrame, trace: DataFrame, step_ms: int) -> DataFrame:
+    """``(store_id, passage_seq, flush, flush_ms)``: with which flush an exchange is indexed, and when, if an exchange takes ``step_ms``.
+
+    Pending exchanges are indexed at the next pressure event of their session, or at its end.
+    """
+    keys = list(SESSION_KEYS)
+    placed = exchanges.select(*keys, "exchange_index", "passage_seq").join(trace.select(*keys, "exchange_index", "events_before"), [*keys, "exchange_index"])
+    units = placed.groupBy(*keys, "events_before").agg(((F.max("passage_seq") + 1) * step_ms).alias("flush_ms"))
+    numbered = ordinals(units, ["store_id"], ["session_index", "events_before"], "flush")
+    return placed.join(numbered, [*keys, "events_before"]).select("store_id", "passage_seq", "flush", "flush_ms")
+
+
+def remembered_snapshots(
+    exchanges: DataFrame, extracted: DataFrame, summarize: rolling.Rolling = rolling.keyword_rolling,
+    config: MemoryConfig = DEFAULT, step_ms: int = 60_000,
+) -> DataFrame:
+    """Buffer tokens, summary and memory size after every exchange, with real summaries and forgetting at every flush.
+
+    ``exchanges`` from ``session_exchanges``; ``extracted(store_id, passage_seq, triples, salience)`` of every exchange. A session's end
+    is flushed after its last exchange was recorded, as what it indexes shows from the next session on.
+    """
+    trace = materialize(rolling.rolling_trace(exchanges, SESSION_KEYS, "exchange_index", summarize))
+    flushes = materialize(flush_numbers(exchanges, trace, step_ms))
+    passages = extracted.select("store_id", "passage_seq", "salience").join(flushes, ["store_id", "passage_seq"])
+    lives = materialize(lifetimes.passage_lifetimes(passages.withColumn("timestamp_ms", F.col("flush_ms")), config=config))
+    triples = explode_triples(extracted.select("store_id", "passage_seq", "triples"))
+    size = lifetimes.sizes(
+        flushes, passages=lives, entities=lifetimes.entity_lifetimes(triples, lives), facts=lifetimes.fact_lifetimes(triples, lives)
+    )
+    keys = list(SESSION_KEYS)
+    shown = exchanges.select(*keys, "exchange_index", "passage_seq").join(trace, [*keys, "exchange_index"]).join(
+        flushes.select("store_id", "passage_seq", "flush"), ["store_id", "passage_seq"]
+    ).withColumn("flush", F.col("flush") - F.when(F.col("summarized"), 0).otherwise(1))
+    counts = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("passages", "entities", "facts")]
+    return shown.join(size, ["store_id", "flush"], "left").select(
+        "store_id", "session_index", F.col("passage_seq").alias("turn_index"),
+        "tokens_before", "tokens_peak", "tokens_after", "summarized", "summary", *counts,
+    )
+
+
 class EvalRun(NamedTuple):
     memory: Memory
     results: DataFrame

@@ -152,14 +152,19 @@ def clean_extraction(raw: Column, text: Column) -> Column:
 
 
 class KeywordExtractor:
-    """Chains the text's most frequent words into triples; a stand-in for model extraction."""
+    """Chains the text's most frequent words into triples; a stand-in for model extraction.
 
-    WORD = "[a-z]{4,}"
-    SUMMARY_WORDS, ENTITIES, TOPICS = 12, 6, 5
+    The summary has a quarter of the words, so it grows with the text. Triples and topics are at most five each: that is what the
+    extraction contract asks of a model for one exchange.
+    """
+
+    WORD = r"[^\W\d_]{4,}"  # letters of any script
+    # Fixed values of the extraction contract.
+    COMPRESSION, ENTITIES, TOPICS = 4, 6, 5
     PREDICATE = "relates to"
 
     def column(self, text: Column) -> Column:
-        word, n_sum, n_ent, n_top = re.compile(self.WORD), self.SUMMARY_WORDS, self.ENTITIES, self.TOPICS
+        word, share, n_ent, n_top = re.compile(self.WORD), self.COMPRESSION, self.ENTITIES, self.TOPICS
         predicate = self.PREDICATE
 
         @F.pandas_udf(EXTRACTION)
@@ -167,11 +172,11 @@ class KeywordExtractor:
             rows = []
             for t in texts:
                 counts = Counter(word.findall(t or ""))
-                ranked = sorted(counts, key=lambda w: (-counts[w], w))[:n_sum]
+                ranked = sorted(counts, key=lambda w: (-counts[w], w))
                 ents = ranked[:n_ent]
                 types = [k for k, mark in (("event", "0123456789"), ("goal", "?")) if any(c in (t or "") for c in mark)]
                 rows.append((
-                    " ".join(ranked),
+                    " ".join(ranked[: -(-counts.total() // share)]),
                     [{"subject": a, "predicate": predicate, "object": b} for a, b in zip(ents, ents[1:])],
                     types, ranked[:n_top], len(counts) / max(1, counts.total()),
                 ))
@@ -211,7 +216,7 @@ class KeywordSummarizer:
     """Stand-in summary: the text's distinct words of four or more letters, as many as tokens allowed."""
 
     def column(self, text: Column, target_tokens: Column) -> Column:
-        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{4,})"), 1))
+        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{4,})"), 1))
         return F.array_join(F.slice(words, F.lit(1), target_tokens.cast("int")), " ")
 
 
