@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..operators import graph, ingest
 from ..operators.groups import ordinals
 from ..plans.index import Memory, index_exchanges
 from ..plans.retrieve import embed_queries
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.providers import HashEmbedder, KeywordExtractor
 
 EMBEDDER, EXTRACTOR = HashEmbedder(), KeywordExtractor()
@@ -149,6 +152,25 @@ def conversation_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def document_dataset(spark: SparkSession, sf: str) -> str:
+    """Documents as benchmark items in JSON array files, ascending by id from file to file; returns their shared folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/dataset-{uuid.uuid4().hex}"
+    turn = F.array(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+    item = F.to_json(F.struct(F.col("doc_id").cast("string").alias("question_id"), F.col("lang").alias("question_type"), turn.alias("haystack_sessions")))
+    rows = table(spark, sf, "documents").select("doc_id", item.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value")
+
+    def as_array(batches):
+        mark = "["
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([("," if i or mark == "," else "[") + v for i, v in enumerate(b.column(0).to_pylist())], pa.string())], names=["value"])
+            mark = "," if b.num_rows else mark
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    rows.mapInArrow(as_array, "value string").write.text(path)
+    return path
+
+
 def document_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as dated notes of one notepad per source; every seventh length is undated."""
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

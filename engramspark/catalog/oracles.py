@@ -588,6 +588,8 @@ ORACLES: dict[str, str] = {
     "token_estimates": f"""with t as (select 'document' as kind, doc_id as id, {tokens('text')} as tokens from documents
         union all select 'page', page_id, {tokens('html')} from pages)
         select kind, id, tokens, greatest(30, floor(tokens / 4.0 + 0.5)::bigint)::bigint as target_tokens from t""",
+    "dataset_loaded": """select row_number() over (order by doc_id) - 1 as pos, doc_id::varchar as question_id, lang as question_type,
+        md5(text) as content_md5 from documents""",
     "text_previews": "select doc_id, left(text, 60) || case when length(text) > 60 then '...' else '' end as preview from documents",
     "json_replies": """select event_id, case when event_id % 3 = 2 then 'no json here' else props end as body,
         case when event_id % 3 = 2 then null else (props->>'$.k')::bigint end as k from events""",

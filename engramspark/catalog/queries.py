@@ -620,6 +620,13 @@ def question_detail(spark, sf):
     )
 
 
+def dataset_loaded(spark, sf):
+    """Array files of items, cut anywhere and numbered in file order."""
+    turn = F.col("haystack_sessions")[0][0]["content"]
+    items = dataset.load_dataset(spark, src.document_dataset(spark, sf))
+    return items.select("pos", "question_id", "question_type", F.md5(turn).alias("content_md5"))
+
+
 def dataset_turns(spark, sf):
     """Turns of every item with the dates of their sessions."""
     return dataset.turns_of(src.conversation_items(spark, sf))
@@ -736,7 +743,7 @@ QUERIES = {
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
         lint_points, previous_summaries, turn_snapshots, rolling_pressure, remembered_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
-        select_per_type, question_types, dataset_projection, question_detail, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
+        select_per_type, question_types, dataset_projection, question_detail, dataset_loaded, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
         keyword_recall, recall_report, progress_frames, progress_stream_frames, progress_fold,
     )
 }

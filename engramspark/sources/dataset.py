@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_array import array_elements
 
 TURN = "struct<role:string,content:string,has_answer:boolean>"
 ITEM = (
@@ -27,12 +28,15 @@ def dataset_path(folder: str, dataset: str = "oracle") -> str:
 
 
 def load_dataset(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Items of a JSON array file, or of JSON lines, which split across tasks.
+    """Items of JSON array files (or one object of items), or of JSON lines; either way a file splits across tasks.
 
-    Sessions may be lists of turns or objects with numbered keys; both become
-    ``array<array<turn>>``. ``pos`` keeps the file order.
+    Sessions may be lists of turns or objects with numbered keys; both become ``array<array<turn>>``. ``pos`` is the place in the file,
+    dense from 0; with JSON lines it only keeps their order. Files of one folder follow each other by name.
     """
-    raw = spark.read.schema(ITEM).json(path, multiLine=not lines)
+    if lines:
+        raw = spark.read.schema(ITEM).json(path).withColumn("pos", F.monotonically_increasing_id())
+    else:
+        raw = array_elements(spark, path).select("pos", F.from_json("json", ITEM).alias("x")).select("x.*", "pos")
     as_list = lambda s: F.from_json(s, f"array<{TURN}>")
     as_object = lambda s: F.transform(
         F.array_sort(
@@ -45,7 +49,7 @@ def load_dataset(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         F.from_json("haystack_sessions", "array<string>"),
         lambda s: F.when(F.ltrim(s).startswith("["), as_list(s)).otherwise(as_object(s)),
     )
-    return raw.withColumn("haystack_sessions", sessions).withColumn("pos", F.monotonically_increasing_id())
+    return raw.withColumn("haystack_sessions", sessions)
 
 
 def turns_of(items: DataFrame) -> DataFrame:
