@@ -260,6 +260,26 @@ pp as materialized (
   select store_id, passage_seq, passage_seq // 10 as flush, (passage_seq // 10 + 1) * 36000000 as flush_ms, salience::double as salience,
          (passage_seq // 10 + 1) * 36000000 as since, null::bigint as acc_ms from pas),""" + lives(40) + "," + lived("el", "seen", "entity")
 
+ALIASES = ",".join([
+    DOCS, keyword_tables("doc"), PASSAGES,
+    """
+uses as materialized (select store_id, topic, count(*) as n from (select store_id, lower(unnest(topics)) as topic from pas) where topic <> '' group by all),
+vt as materialized (select distinct topic as k, topic as text from uses)""",
+    vectors("vt"),
+    """
+alike as materialized (
+  select x.k as a, y.k as b from v x join v y on x.dim = y.dim join nv nx on nx.k = x.k join nv ny on ny.k = y.k
+  where x.k <> y.k group by x.k, y.k having sum(x.x * y.x) / (any_value(nx.n) * any_value(ny.n)) >= 0.7),
+reach as (
+  select s.store_id, a as topic, b as other from alike join uses s on s.topic = a join uses t on t.topic = b and t.store_id = s.store_id
+  union
+  select r.store_id, r.topic, l.b from reach r join alike l on l.a = r.other join uses t on t.topic = l.b and t.store_id = r.store_id),
+part as (select store_id, topic, least(topic, min(other)) as root from reach group by store_id, topic),
+best as (
+  select store_id, root, first(topic order by n desc, length(topic), topic) as canonical from part join uses using (store_id, topic) group by store_id, root),
+alias as materialized (select store_id, topic as alias, canonical from part join best using (store_id, root) where topic <> canonical)""",
+])
+
 REMOVALS = SIMILAR + """,
 uel as materialized (
   select el.*, m.last as until from el left join (select store_id, born as died, max(passage_seq) as last from life group by all) m using (store_id, died)),
@@ -674,6 +694,14 @@ ORACLES: dict[str, str] = {
           unnest([1, 2, 3]) as i from part),
         d as (select passage_seq, topic, min(i) as i from t group by all)
         select passage_seq, string_agg(topic, '|' order by i) as topics from d group by all""",
+    "topic_aliases": f"with recursive {ALIASES} select * from alias",
+    "merged_topics": f"""with recursive {ALIASES},
+        many as (select store_id from uses group by all having count(*) >= 3),
+        t as (select store_id, passage_seq, unnest(topics) as topic, generate_subscripts(topics, 1) as i from pas),
+        r as (select t.store_id, passage_seq, i, coalesce(case when m.store_id is not null then canonical end, topic) as topic
+          from t left join alias a on a.store_id = t.store_id and a.alias = lower(topic) left join many m on m.store_id = t.store_id),
+        d as (select store_id, passage_seq, topic, min(i) as i from r group by all)
+        select pas.store_id, pas.passage_seq, coalesce(string_agg(topic, '|' order by i), '') as topics from pas left join d using (store_id, passage_seq) group by all""",
     "forget_candidates": f"""with {EVENT_PASSAGES} select store_id, passage_seq, round(forget_score, 9) as forget_score from (
         select *, row_number() over (partition by store_id order by forget_score, passage_seq desc) as rn from fscore) where rn > 200""",
     "forget_cascade": CASCADE,

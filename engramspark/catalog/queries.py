@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import MemoryConfig
 from ..functions import text as tx
 from ..functions.vector import min_max_normalize
-from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, rolling, tags
+from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, rolling, tags, topics
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
 from ..plans import evaluate, retrieve
@@ -361,6 +361,18 @@ def consolidated_topics(spark, sf):
     )
 
 
+def topic_aliases(spark, sf):
+    """Topics of the documents that a chain of similar names links, and the name each group elects."""
+    return topics.similar_aliases(src.document_memory(spark, sf).passages, src.EMBEDDER, 0.7)
+
+
+def merged_topics(spark, sf):
+    """Topics of every document after merging them under the elected names."""
+    p = materialize(src.document_memory(spark, sf).passages.select("store_id", "passage_seq", "topics"))
+    merged = tags.consolidate_topics(p, topics.similar_aliases(p, src.EMBEDDER, 0.7))
+    return merged.select("store_id", "passage_seq", F.array_join("topics", "|").alias("topics"))
+
+
 # ---- forgetting --------------------------------------------------------------------------
 
 
@@ -738,7 +750,7 @@ QUERIES = {
         cosine_topk, knn_synonyms, knn_synonyms_blocks, similar_pairs, minmax_scores,
         candidate_facts, filtered_candidates, recognized_triples, entity_seed_weights,
         retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, associations, accessed_passages,
-        tag_matches, topic_list, consolidated_topics, forget_candidates, forget_cascade,
+        tag_matches, topic_list, consolidated_topics, topic_aliases, merged_topics, forget_candidates, forget_cascade,
         passage_lifetimes, entity_lifetimes, memory_sizes, ledger_removals,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
         lint_points, previous_summaries, turn_snapshots, rolling_pressure, remembered_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
