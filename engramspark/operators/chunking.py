@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CHARS_PER_TOKEN, CHUNK_CHARS, CHUNK_OVERLAP, DEFAULT, PACK_TOKEN_BUDGET
 from ..functions.text import estimate_tokens, strip_space, utf16_left
 from ..session import ship_package
+from ..sources.providers import term_overlap
 from .groups import ordinals, top_rows
 from .pressure import prefix_sums
 
@@ -99,12 +100,6 @@ def chunk_exchanges(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def term_overlap(query: Column, chunk: Column) -> Column:
-    """Deterministic stand-in relevance: number of distinct query words in the chunk."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
-    return F.size(F.array_intersect(words(query), words(chunk))).cast("double")
-
-
 def pack_ranked(chunks: DataFrame, keys: list[str], order: list[Column], budget: int = PACK_TOKEN_BUDGET) -> DataFrame:
     """Chunks in ``order`` (unique per key) until the first one that overflows the budget.
 

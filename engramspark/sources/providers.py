@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    clamp_salience, normalize_entity, strip_space, utf16_left, valid_types,
+    clamp_salience, display_triple, normalize_entity, strip_space, utf16_left, valid_types,
 )
 
 EXTRACTION = (
@@ -253,6 +253,76 @@ class SharedWordFilter:
         return F.filter(flags, lambda i: i.isNotNull()).cast("array<int>")
 
 
+class RemoteTripleFilter:
+    """``call(query, lines) -> positions`` for candidates numbered from 1; a failed call, or at most two candidates, keeps all."""
+
+    KEEP_ALL = 2
+
+    def __init__(self, call: Callable[[str, list[str]], list[int]]):
+        self.call = call
+
+    def positions(self, query: Column, candidates: Column) -> Column:
+        call, few = self.call, self.KEEP_ALL
+        lines = F.transform(candidates, lambda t, i: display_triple(i + 1, t["subject"], t["predicate"], t["object"]))
+
+        @F.pandas_udf("array<int>")
+        def choose(queries: pd.Series, listed: pd.Series) -> pd.Series:
+            def one(q, found):
+                if len(found) <= few:
+                    return None
+                try:
+                    return [int(i) for i in with_retry(call, q, list(found))]
+                except Exception:
+                    return None
+
+            return pd.Series([one(q, found) for q, found in zip(queries, listed)], dtype=object)
+
+        return choose(query, lines)
+
+
+class RemoteReranker:
+    """``call(query, chunks) -> scores`` as a scorer of ``chunking.rerank_and_pack``; chunks of one query in a batch share a call."""
+
+    def __init__(self, call: Callable[[str, list[str]], list[float]], batch: int = 1000):
+        self.call, self.batch = call, batch
+
+    def __call__(self, query: Column, chunk: Column) -> Column:
+        call, batch = self.call, self.batch
+
+        @F.pandas_udf("double")
+        def score(queries: pd.Series, chunks: pd.Series) -> pd.Series:
+            out = pd.Series(0.0, index=queries.index)
+            for q, at in queries.groupby(queries, sort=False).groups.items():
+                for i in range(0, len(at), batch):
+                    part = at[i : i + batch]
+                    out.loc[part] = [float(x) for x in with_retry(call, q, chunks.loc[part].tolist())]
+            return out
+
+        return score(query, chunk)
+
+
+class RemoteJudge:
+    """``call(question, expected, answer) -> reply``, read by ``verdict_is_correct``; a failed call judges the answer wrong."""
+
+    def __init__(self, call: Callable[[str, str, str], str]):
+        self.call = call
+
+    def reply(self, question: Column, expected: Column, answer: Column) -> Column:
+        call = self.call
+
+        @F.pandas_udf("string")
+        def judge(questions: pd.Series, wanted: pd.Series, given: pd.Series) -> pd.Series:
+            def one(*row):
+                try:
+                    return with_retry(call, *row)
+                except Exception:
+                    return "INCORRECT"
+
+            return pd.Series([one(*row) for row in zip(questions, wanted, given)], dtype=object)
+
+        return judge(question, expected, answer)
+
+
 class ContainsJudge:
     """Stand-in verdict: the answer contains the expected text."""
 
@@ -260,13 +330,20 @@ class ContainsJudge:
         return F.when(F.contains(F.lower(answer), F.lower(expected)), F.lit("CORRECT")).otherwise(F.lit("INCORRECT"))
 
 
+def term_overlap(query: Column, chunk: Column) -> Column:
+    """Stand-in relevance: number of distinct query words in the chunk."""
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+    return F.size(F.array_intersect(words(query), words(chunk))).cast("double")
+
+
 class ProviderRegistry:
     """The three model tiers plus the embedding, extraction and rerank connectors by name."""
 
     def __init__(self, **providers):
         self._providers = {
             "embedder": HashEmbedder(), "extractor": KeywordExtractor(),
-            "triple_filter": KeepAll(), "summarizer": KeywordSummarizer(), "judge": ContainsJudge(), **providers,
+            "triple_filter": KeepAll(), "summarizer": KeywordSummarizer(), "judge": ContainsJudge(),
+            "reranker": term_overlap, **providers,
         }
 
     def __getitem__(self, name: str):

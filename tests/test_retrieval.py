@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
+from engramspark.functions.text import verdict_is_correct
+from engramspark.operators import chunking
 from engramspark.plans import agent, evaluate, index, retrieve
 from engramspark.sources.providers import (
-    ContainsJudge, HashEmbedder, KeywordExtractor, ProviderRegistry, RemoteEmbedder, RemoteExtractor, with_retry,
+    ContainsJudge, HashEmbedder, KeywordExtractor, ProviderRegistry, RemoteEmbedder, RemoteExtractor, RemoteJudge,
+    RemoteReranker, RemoteTripleFilter, with_retry,
 )
 
 TEXTS = [
@@ -185,3 +188,28 @@ def test_remote_providers(spark):
     assert [r[0] for r in df.limit(1).select(e.column(F.col("t"), "query")).collect()] == [[4.0, 1.0]]
     with pytest.raises(KeyError):
         ProviderRegistry()["nope"]
+
+
+def test_remote_filter_judge_and_reranker(spark):
+    def choose(query, lines):
+        if query == "bad":
+            raise RuntimeError("down")
+        return [i + 1 for i, line in enumerate(lines) if query in line]
+
+    triple = lambda s: {"subject": s, "predicate": "has", "object": "x"}
+    df = spark.createDataFrame(
+        [(1, "tea", [triple(s) for s in ("tea", "mug", "green tea")]), (2, "bad", [triple(s) for s in "abc"]), (3, "tea", [triple("a"), triple("b")])],
+        "id int, q string, c array<struct<subject:string,predicate:string,object:string>>")
+    got = df.select("id", RemoteTripleFilter(choose).positions(F.col("q"), F.col("c")).alias("p")).collect()
+    assert {r.id: r.p for r in got} == {1: [1, 3], 2: None, 3: None}
+    qa = spark.createDataFrame([("q", "tea", "green tea"), ("q", "tea", "coffee"), ("bad", "tea", "tea")], "q string, e string, a string")
+    judge = RemoteJudge(lambda q, e, a: {"bad": None}[q] if q == "bad" else "CORRECT" if e in a else "INCORRECT")
+    broken = RemoteJudge(lambda q, e, a: 1 / 0)
+    replies = qa.select(verdict_is_correct(judge.reply(F.col("q"), F.col("e"), F.col("a"))).alias("v"), verdict_is_correct(broken.reply(F.col("q"), F.col("e"), F.col("a"))).alias("w")).collect()
+    assert [r.v for r in replies][:2] == [True, False] and not any(r.w for r in replies)
+    passages = spark.createDataFrame([(1, i, "y " * 1500 + f"n{i}") for i in range(4)], "query_id int, passage_idx int, text string")
+    queries = spark.createDataFrame([(1, "which")], "query_id int, query_text string")
+    scorer = RemoteReranker(lambda q, chunks: [float(c[-1]) if c[-1].isdigit() else -1.0 for c in chunks])
+    packed = chunking.rerank_and_pack(queries, passages, scorer, budget=300).first().context
+    assert packed.endswith("n3") or packed.split("\n\n")[0].endswith("n3")
+    assert ProviderRegistry()["reranker"] is not None
