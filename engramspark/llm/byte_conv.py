@@ -4,6 +4,10 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, t
 All widths are one matrix product: a narrower filter has zero weights for the bytes it does not see. The network is fitted on
 a bounded sample of labelled windows; it is applied to every window of every text, and a text's probabilities are the mean
 over its windows weighted by their bytes.
+
+A text has as many windows as its bytes need; they go through the network in batches of fixed size, so length costs time only. Samples
+with equal hashes are ordered by their windows. An empty table gives no rows, and without learned values every
+prediction is ``und``.
 """
 
 from __future__ import annotations

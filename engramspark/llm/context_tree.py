@@ -8,8 +8,12 @@ deepest one on their path that it met. A text ends with the byte 0xFF, which UTF
 
 Texts are cut into chunks during the scan. A chunk sends its distinct words and byte grams with their counts, gets back what it
 asked for, and scores its texts; no text is joined word by word, and no table is sent to all tasks. The tree is dealt out
-by the last bytes of contexts: every part is weighed bottom-up in one task and predicts top-down in another, the few
-levels near the root lie in a Spark table between the two.
+by the last bytes of contexts: counts of chunks are merged in rounds, small shares are weighed bottom-up and predict top-down, the
+few levels near the root lie in a Spark table between the two, and predictions meet the chunks' questions as a stream.
+
+A very long text is a chunk of its own: its grams are arrays of several 8-byte numbers per byte while it is counted,
+which bounds the texts a worker can take. Words and
+grams have no order that could tie. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +40,15 @@ SUFFIX = 3  # the tree is dealt out by the last bytes of contexts
 PARTS = 512
 CHUNK = 16 << 20  # bytes of text in a chunk
 BLOCK = 2 << 20  # bytes of text whose grams are looked at together
+
+
+@dataclass(frozen=True)
+class Dealing:
+    share: int = 50_000  # distinct keys weighed at a time
+    fan: int = 32  # blobs of a part merged at a time
+    salt: int = 512  # chunks that share one copy of a part's predictions
+
+
 BEFORE, END = 0xFE, 0xFF  # bytes that UTF-8 does not have
 
 
@@ -93,10 +106,10 @@ def unplanes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def part_of(keys: np.ndarray, suffix: int, parts: int) -> np.ndarray:
-    """Which part of the tree a key belongs to: a hash of the last ``suffix`` bytes of its context."""
+def part_of(keys: np.ndarray, suffix: int, parts: int, bits: int = 40) -> np.ndarray:
+    """Which part of the tree a key belongs to: a hash of the last ``suffix`` bytes of its context, its upper ``bits`` aside."""
     near = (keys >> 8 & (1 << 8 * suffix) - 1).astype(np.uint64)
-    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts
+    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(bits) & np.uint64(0xFFFF)).astype(np.int64) % parts
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -162,31 +175,63 @@ class Tree:
         return np.log10(np.where(self.bit, p, 1 - p)).sum(axis=0)
 
 
-def merged_keys(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(at, weights=np.concatenate(counts), minlength=len(distinct))
+def merged_grams(grams: DataFrame, suffix: int, chunks: int, dealing: Dealing) -> DataFrame:
+    """Training counts of all chunks: (place, sub, data, more), one row per small share of the tree.
+
+    A task merges about ``fan`` blobs of a part, over as many rounds as the number of chunks needs, so no group grows with the corpus;
+    in the end a part is split by the same suffixes until a share has about ``share`` distinct keys.
+    """
+
+    def merge(table: pa.Table, last: bool) -> pa.Table:
+        keys = [np.cumsum(unplanes(b, "<i8")) for b in table.column("data").to_pylist()]
+        counts = [unplanes(b, "<u8") for b in table.column("more").to_pylist()]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts).astype(float), minlength=len(distinct)).astype("<u8")
+        place, slot = (table.column(c)[0].as_py() for c in ("place", "slot"))
+        subs = part_of(distinct, suffix, -(-len(distinct) // dealing.share) if last else 1, 24)
+        order = np.argsort(subs, kind="stable")
+        names, starts = np.unique(subs[order], return_index=True)
+        groups = np.split(order, starts[1:])
+        return pa.table({
+            "place": pa.array([place] * len(groups), pa.int64()), "slot": pa.array(names if last else [slot], pa.int64()),
+            "data": pa.array([planes(np.diff(distinct[g], prepend=0)) for g in groups], pa.binary()), "more": pa.array([planes(n[g]) for g in groups], pa.binary()),
+        })
+
+    def merging(last: bool):
+        return lambda table: merge(table, last)
+
+    schema, rows, left = "place bigint, slot bigint, data binary, more binary", grams.withColumn("slot", F.xxhash64("t")), chunks
+    while True:
+        left = -(-left // dealing.fan)
+        slots = rows.select("place", F.pmod("slot", F.lit(max(left, 1))).alias("slot"), "data", "more")
+        last = left <= 1
+        rows = slots.groupBy("place", "slot").applyInArrow(merging(last), schema)
+        if last:
+            return settle(rows.withColumnRenamed("slot", "sub"))
 
 
-def predictions(grams: DataFrame, depth: int, suffix: int) -> DataFrame:
+def predictions(grams: DataFrame, depth: int, suffix: int, chunks: int, dealing: Dealing) -> DataFrame:
     """``grams`` (t, place: part of the tree, data: keys, more: training counts) to (t, place, data: log10 probabilities, same order).
 
-    The parts weigh their nodes up to ``suffix``; from there to the root the tree is a table of Spark, bounded by the alphabet; on
-    the way down the parts take over again.
+    Shares of the tree weigh their nodes up to ``suffix``; from there to the root the tree is a table of Spark, bounded by the alphabet;
+    on the way down the shares take over again. What they predict is laid beside the chunks' keys, part by part, as a stream.
     """
 
-    def grown(table: pa.Table) -> tuple[Tree, list[np.ndarray]]:
-        keys = [np.cumsum(unplanes(b, "<i8")) for b in table.column("data").to_pylist()]
-        counts = [unplanes(b, "<u4").astype(float) for b in table.column("more").to_pylist()]
-        distinct, n = merged_keys(keys, counts)
-        tree = Tree(distinct, n, depth, suffix)
-        return tree, [np.searchsorted(distinct, k) for k in keys]
+    def grown(data: bytes, more: bytes) -> tuple[np.ndarray, Tree]:
+        keys = np.cumsum(unplanes(data, "<i8"))
+        return keys, Tree(keys, unplanes(more, "<u8").astype(float), depth, suffix)
 
-    def weights(table: pa.Table) -> pa.Table:
-        top = grown(table)[0].levels[-1]
-        return pa.table({"context": top.id >> 8, "node": top.id & 255, "n0": top.n0, "n1": top.n1, "pw": top.pw, "stop": top.stop, "place": np.full(len(top.id), table.column("place")[0].as_py())})
+    def weights(batches):
+        for b in batches:
+            for place, sub, data, more in zip(*(b.column(c) for c in ("place", "sub", "data", "more")), strict=True):
+                top = grown(data.as_py(), more.as_py())[1].levels[-1]
+                n = len(top.id)
+                columns = (top.id >> 8, top.id & 255, top.n0, top.n1, top.pw, top.stop, np.full(n, place.as_py()), np.full(n, sub.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "node", "n0", "n1", "pw", "stop", "place", "sub"])
 
+    shares = merged_grams(grams, suffix, chunks, dealing)
     columns = "context bigint, node bigint, n0 double, n1 double, pw double, stop double"
-    levels = [settle(grams.groupBy("place").applyInArrow(weights, f"{columns}, place bigint"))]
+    levels = [settle(shares.mapInArrow(weights, f"{columns}, place bigint, sub bigint"))]
 
     def lighter(batches):
         for b in batches:
@@ -205,17 +250,43 @@ def predictions(grams: DataFrame, depth: int, suffix: int) -> DataFrame:
         here = levels[suffix - d].withColumn("up", F.expr(f"context & {(1 << 8 * (d - 1)) - 1}L")).join(above, ["up", "node"])
         path = here.select(
             "context", "node", (F.col("mass") + F.col("rest") * F.col("stop") * one).alias("mass"), (F.col("rest") * (1 - F.col("stop"))).alias("rest"),
-            F.when(met, F.col("mass") + F.col("rest") * one).otherwise(F.col("p1")).alias("p1"), *(["place"] if d == suffix else []),
+            F.when(met, F.col("mass") + F.col("rest") * one).otherwise(F.col("p1")).alias("p1"), *(["place", "sub"] if d == suffix else []),
         )
 
-    def answers(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree, places = grown(left)
+    def predicted(left: pa.Table, right: pa.Table) -> pa.Table:
+        tree = grown(left.column("data")[0].as_py(), left.column("more")[0].as_py())[1]
         context, node, mass, rest, p1 = (right.column(c).to_numpy() for c in ("context", "node", "mass", "rest", "p1"))
         order = np.argsort(context << 8 | node)
-        logs = tree.logs(mass[order], rest[order], p1[order]).astype("<f4")
-        return pa.table({"t": left.column("t"), "place": left.column("place"), "data": pa.array([planes(logs[x]) for x in places], pa.binary())})
+        logs = planes(tree.logs(mass[order], rest[order], p1[order]).astype("<f4"))
+        return pa.table({"place": left.column("place"), "keys": left.column("data"), "logs": pa.array([logs], pa.binary())})
 
-    return grams.groupBy("place").cogroup(path.groupBy("place")).applyInArrow(answers, "t bigint, place bigint, data binary")
+    known = shares.groupBy("place", "sub").cogroup(path.groupBy("place", "sub")).applyInArrow(predicted, "place bigint, keys binary, logs binary")
+    salts = max(1, -(-chunks // dealing.salt))
+    copies = known.select("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), F.lit(None).cast("bigint").alias("t"), "keys", "logs")
+    asked = grams.select("place", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("bigint").alias("salt"), "t", F.col("data").alias("keys"), F.lit(None).cast("binary").alias("logs"))
+
+    def answers(batches):
+        """Rows of a part: first what the tree predicts, then what the chunks ask."""
+        place, shares_of, keys, logs = None, [], None, None
+        for b in batches:
+            out: list[tuple] = []
+            for i in range(b.num_rows):
+                at, t, data, values = (b.column(c)[i].as_py() for c in ("place", "t", "keys", "logs"))
+                if t is None:
+                    if keys is not None or at != place:
+                        place, shares_of, keys = at, [], None
+                    shares_of.append((np.cumsum(unplanes(data, "<i8")), unplanes(values, "<f4")))
+                    continue
+                if keys is None:
+                    keys, logs = (np.concatenate([s[j] for s in shares_of]) for j in (0, 1))
+                    order = np.argsort(keys)
+                    keys, logs, shares_of = keys[order], logs[order], []
+                out.append((t, at, planes(logs[np.searchsorted(keys, np.cumsum(unplanes(data, "<i8")))])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["t", "place", "data"])
+
+    dealt = copies.unionByName(asked).repartition("place", "salt").sortWithinPartitions("place", "salt", F.col("t").isNotNull())
+    return dealt.mapInArrow(answers, "t bigint, place bigint, data binary")
 
 
 def requests(source: DataFrame, depth: int, suffix: int, parts: int, chunk: int) -> DataFrame:
@@ -255,7 +326,7 @@ def requests(source: DataFrame, depth: int, suffix: int, parts: int, chunk: int)
         for rows in (
             (0, None, [x[0] for x in held], [x[1] for x in held], list(map(pack, texts)), None, None),
             (1, np.arange(len(words)), None, None, words, None, [train[w] for w in words]),
-            (2, places, None, None, [planes(np.diff(keys[g], prepend=0)) for g in groups], [planes(counts[g].astype("<u4")) for g in groups], None),
+            (2, places, None, None, [planes(np.diff(keys[g], prepend=0)) for g in groups], [planes(counts[g].astype("<u8")) for g in groups], None),
         ):
             n = len(rows[4])
             kinds = (pa.int64(), ids, pa.bool_(), pa.binary(), pa.binary(), pa.int64())
@@ -268,7 +339,7 @@ def requests(source: DataFrame, depth: int, suffix: int, parts: int, chunk: int)
     return source.mapInArrow(cut, f"t bigint, kind int, place bigint, id {kind}, held_out boolean, data binary, more binary, n bigint")
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CHUNK, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CHUNK, parts: int = PARTS, id_col: str = "doc_id", text_col: str = "text", dealing: Dealing = Dealing()) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``bits_per_byte``.
 
     The model learns from the texts for which ``held_out`` is not true, all of them and whole; ``score`` is its log10 probability of
@@ -285,7 +356,8 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CH
     words = settle(asked.where("kind = 1").select("t", "place", "n", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("chunks")))
     total, distinct = words.agg(F.sum("n"), F.round(F.sum(F.when(F.col("c") > 0, 1 / F.col("chunks"))))).first()
     total, distinct = int(total or 0), int(distinct or 0)
-    grams = predictions(asked.where("kind = 2").select("t", "place", "data", "more"), depth, suffix)
+    chunks = asked.where("kind = 1").select("t").distinct().count()
+    grams = predictions(asked.where("kind = 2").select("t", "place", "data", "more"), depth, suffix, chunks, dealing)
     # a word that no other chunk has is counted in its own
     answers = words.where("chunks > 1").select("t", "place", F.col("c").cast("double").alias("c"), F.lit(None).cast("binary").alias("data")).unionByName(
         grams.select("t", "place", F.lit(None).cast("double").alias("c"), "data")

@@ -4,6 +4,9 @@ Every line is judged by itself: markup and separators (navigation, tables), shou
 boilerplate phrases, and repetition of an earlier line. Failing lines go; a document that loses too much of its text
 with them goes as a whole. Documents too short or too repetitive fail before that. Everything is computed inside the row
 that holds the text, so there is no shuffle, and nothing depends on how often a text or a source occurs.
+
+A very long text is judged whole; its lines and words are arrays inside the row, which Spark bounds at 2 GB. Repeated lines of one
+text: the first stays. An empty table gives no rows.
 """
 
 from __future__ import annotations

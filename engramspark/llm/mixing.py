@@ -7,6 +7,9 @@ staying at 1. A document is kept if a hash of its id falls below its cell's rate
 
 Only the cells take part in the fitting. Sums are formed before every shuffle, so a source that holds a third of all rows
 is one number per task.
+
+Very long texts are only measured (length, a few substrings), never cut. Ids with equal hashes fall on the same side of a rate; repeated
+rows do too. An empty table has no cells and gives no rows.
 """
 
 from __future__ import annotations

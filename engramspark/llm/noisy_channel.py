@@ -7,6 +7,9 @@ costs of the channel. The restored words of a text, whole and by their first let
 
 Trigram counts are taken over all texts; their table is bounded by the alphabet. The logistic model is fitted on a
 bounded sample of labelled texts. Restored tokens are remembered per Python worker in dictionaries of bounded size.
+
+A text is read whole, token by token; what is held beside it are its distinct features, and a lattice is as long as one token. Empty
+tables of documents give no rows; without labels of both kinds all scores are 0. Of equally cheap paths the first in the order of the search stays.
 """
 
 from __future__ import annotations

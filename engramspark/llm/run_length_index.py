@@ -11,6 +11,9 @@ index over all segments of a batch of seeds is built in the task:
   every position, how long a match it has anywhere else (its matching statistic).
 
 A window is a repeat if the statistic at its start reaches ``length``.
+
+Texts are taken whole; seeds of one text need about 32 bytes per byte (638 MB for 20 MB measured), which bounds the texts a worker can
+take. Equal hashes in a window: the rightmost, in every text alike. An empty table gives no rows.
 """
 
 from __future__ import annotations

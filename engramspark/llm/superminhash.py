@@ -8,6 +8,9 @@ set take a level together.
 Equal sets are one class from the start. Classes that share a band are candidates; candidate clusters are found as
 connected components of stars, never as pairs. Inside a cluster, signatures are compared in blocks, likely links between
 different components are confirmed on the full shingle sets, and only a forest of confirmed links leaves the task.
+
+A very long text is one set of hashes in the task that reads it (944 MB at the peak for 20 MB and 2.9 million words measured) and in each
+one that confirms a link of it, which bounds the texts a worker can take. Equal hashes count as equal shingles. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,9 @@
 All k-grams of code points get a rolling polynomial hash modulo 2^64. In every window of w consecutive hashes the smallest is
 chosen, the rightmost one if several are equal, and its position is kept. Two texts that share any passage of
 w + k - 1 code points therefore share a chosen hash. Hashing and windows are array operations on one text at a time.
+
+Texts are taken whole: hashes are made in blocks, and a text needs about 36 bytes per code point while it is windowed (714 MB for 20
+million measured), which bounds the texts a worker can take. Equal hashes in a window: the rightmost. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from functools import cache
 import pytest
 from pyspark.sql import functions as F
 
-from engramspark.llm.context_tree import score
+from engramspark.llm.context_tree import Dealing, score
 
 
 def brute(rows, depth, held):
@@ -80,15 +80,15 @@ def held():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
 
 
-@pytest.mark.parametrize(("depth", "chunk"), [(2, 300), (5, 200), (4, 1 << 20)])
-def test_against_recursion(spark, depth, chunk):
+@pytest.mark.parametrize(("depth", "chunk", "dealing"), [(2, 300, Dealing()), (5, 200, Dealing(share=7, fan=2, salt=2)), (4, 1 << 20, Dealing(share=20))])
+def test_against_recursion(spark, depth, chunk, dealing):
     rows = [(i, t) for i, t in enumerate([
-        None, "", "a", "the cat sat on the mat", "the cat sat on the hat", "The  Cat\nsat", "été à la plage", "zzzzzzzz", "the cat sat on the mat", "\0 x",
+        None, "", "a", "the cat sat on the mat", "the cat sat on the hat", "The  Cat\nsat", "été à la plage", "zzzzzzzz", "the cat sat on the mat", "\0 x", "the cat sat on a long mat " * 90,
         "on the mat the cat sat", "qqq unseen wörds", *(f"number {i % 3} of the list" for i in range(30)),
     ])]
     assert any(crc(i) for i, _ in rows)
     docs = spark.createDataFrame([(i, t, "x", 2) for i, t in rows], "doc_id bigint, text string, data string, n int").repartition(3)
-    got = {r.doc_id: tuple(r)[1:7] for r in score(docs, held(), depth=depth, chunk=chunk).collect()}
+    got = {r.doc_id: tuple(r)[1:7] for r in score(docs, held(), depth=depth, chunk=chunk, dealing=dealing).collect()}
     want = brute(rows, depth, crc)
     assert got.keys() == want.keys()
     for i in want:
