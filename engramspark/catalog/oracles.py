@@ -735,6 +735,12 @@ ORACLES: dict[str, str] = {
     "turn_snapshots": SNAPSHOTS + " select * from snap",
     "rolling_pressure": f"with recursive {ROLLED} select * from rolled",
     "remembered_snapshots": REMEMBERED + " select * from snap",
+    "bounded_memories": REMEMBERED + f""", {lived('fl_', "(select store_id, subject || ' ' || predicate || ' ' || object as fact, passage_seq, ord as seq from tri)", 'fact')},
+        {lived('el', 'seen', 'entity')}
+        select store_id, passages, entities, facts, passages + entities as graph_nodes, owners from (
+          select store_id, count(*) as passages from life where died is null group by all)
+        join (select store_id, count(*) as entities from el where died is null group by all) using (store_id)
+        join (select store_id, count(*) as facts, sum(since)::bigint as owners from fl_ where died is null group by all) using (store_id)""",
     "chart_scales": SNAPSHOTS + """ select store_id, greatest(1024, max(greatest(tokens_peak, tokens_after)))::bigint as max_tokens,
         greatest(1, max(greatest(entities, facts)))::bigint as max_graph from snap group by all""",
     "compact_summaries": f"""with {TURNS}, {pairs('turns', False)},

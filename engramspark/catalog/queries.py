@@ -11,7 +11,7 @@ from ..functions.vector import min_max_normalize
 from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, rolling, tags, topics
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
-from ..plans import evaluate, retrieve
+from ..plans import evaluate, index, retrieve
 from ..session import materialize, spread
 from ..sources import dataset, progress
 from ..sources.providers import KeywordSummarizer, SharedWordFilter
@@ -524,6 +524,20 @@ def remembered_snapshots(spark, sf):
     return evaluate.remembered_snapshots(exchanges, extracted, config=MemoryConfig(max_passages=12))
 
 
+def bounded_memories(spark, sf):
+    """Sizes of conversation memories that held twelve passages at most while they were filled, and who owns their facts."""
+    exchanges = materialize(evaluate.session_exchanges(src.conversation_turns(spark, sf)))
+    everything = index.index_exchanges(
+        exchanges.select("store_id", "session_index", "exchange_index", F.col("exchange_text").alias("text")),
+        ["session_index", "exchange_index"], src.EXTRACTOR, src.EMBEDDER, link=False,
+    )
+    trace = rolling.rolling_trace(exchanges, conversation.SESSION_KEYS, "exchange_index")
+    flushes = materialize(evaluate.flush_numbers(exchanges, materialize(trace), 60_000))
+    m = index.bounded_memory(everything, flushes, config=MemoryConfig(max_passages=12))
+    owners = m.facts.groupBy("store_id").agg(F.sum("owner_seq").alias("owners"))
+    return m.stats().join(owners, "store_id")
+
+
 def chart_scales(spark, sf):
     return evaluation.chart_scales(turn_snapshots(spark, sf), ["store_id"])
 
@@ -753,7 +767,7 @@ QUERIES = {
         tag_matches, topic_list, consolidated_topics, topic_aliases, merged_topics, forget_candidates, forget_cascade,
         passage_lifetimes, entity_lifetimes, memory_sizes, ledger_removals,
         paired_exchanges, paired_without_system, turn_pair_counts, pressure_points, pressure_points_one_store,
-        lint_points, previous_summaries, turn_snapshots, rolling_pressure, remembered_snapshots, chart_scales, compact_summaries, exchange_chunks, budget_pack,
+        lint_points, previous_summaries, turn_snapshots, rolling_pressure, remembered_snapshots, bounded_memories, chart_scales, compact_summaries, exchange_chunks, budget_pack,
         notes_format, notes_index, notes_search, notepad_stats, notes_cited, notes_edited,
         select_per_type, question_types, dataset_projection, question_detail, dataset_loaded, dataset_turns, dataset_summary, dataset_search, accuracy_by_type, overview_stats,
         keyword_recall, recall_report, progress_frames, progress_stream_frames, progress_fold,

@@ -154,11 +154,16 @@ def entity_lifetimes(triples: DataFrame, lifetimes: DataFrame) -> DataFrame:
 
 
 def fact_lifetimes(triples: DataFrame, lifetimes: DataFrame) -> DataFrame:
-    """``(store_id, fact, born, died, seq, owner_seq)``: one row per life; the first passage of a life owns the fact."""
+    """``(store_id, fact, born, died, seq, owner_seq, subject, predicate, object)``: one row per life.
+
+    The first passage of a life owns the fact and supplies its split.
+    """
     fact = triple_text(F.col("subject"), F.col("predicate"), F.col("object"))
-    stated = triples.select("store_id", F.col("passage_seq").cast("bigint").alias("passage_seq"), fact.alias("fact"), F.struct(occurrence_seq().alias("seq"), F.col("passage_seq").cast("bigint").alias("owner_seq")).alias("at"))
+    seq = F.col("passage_seq").cast("bigint")
+    at = F.struct(occurrence_seq().alias("seq"), seq.alias("owner_seq"), "subject", "predicate", "object")
+    stated = triples.select("store_id", seq.alias("passage_seq"), fact.alias("fact"), at.alias("at"))
     stated = stated.groupBy("store_id", "passage_seq", "fact").agg(F.min("at").alias("at"))
-    return islands(_spans(stated, lifetimes), ["store_id", "fact"], "at").select("store_id", "fact", "born", "died", "at.seq", "at.owner_seq")
+    return islands(_spans(stated, lifetimes), ["store_id", "fact"], "at").select("store_id", "fact", "born", "died", "at.*")
 
 
 def held(lives: DataFrame, flush: Column | int | None = None) -> DataFrame:

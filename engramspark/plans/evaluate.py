@@ -16,7 +16,7 @@ from ..operators.ingest import build_entities, build_facts, explode_triples
 from ..operators.pressure import SUMMARY_HEAD, prefix_sums, pressure_trace
 from ..session import materialize
 from ..sources.providers import Embedder, Extractor, Judge, TripleFilter
-from .index import Memory, index_exchanges
+from .index import Memory, bounded_memory, index_exchanges
 from .retrieve import embed_queries, format_results, retrieve
 
 FALLBACK_ANSWER = "I'm having trouble recalling. Could you rephrase?"
@@ -144,17 +144,24 @@ def run_evaluation(
     answer: "callable[[Column, Column], Column] | None" = None,
     triple_filter: TripleFilter | None = None,
     config: MemoryConfig = DEFAULT,
+    summarize: rolling.Rolling = rolling.keyword_rolling,
+    step_ms: int = 60_000,
 ) -> EvalRun:
     """Index every item's sessions as its own store, retrieve, answer and judge in one job.
 
+    Exchanges are indexed when ``summarize`` replaces their buffer or their session ends, and each such flush forgets down to
+    capacity, one exchange lasting ``step_ms``.
+
     ``items(question_id, question_type, question, answer)``. ``answer(question, context)``
     builds the reply column; by default the retrieved context itself.
     """
     exchanges = materialize(session_exchanges(turns))
     memory = index_exchanges(
         exchanges.select("store_id", "session_index", "exchange_index", F.col("exchange_text").alias("text")),
-        ["session_index", "exchange_index"], extractor, embedder, config=config,
+        ["session_index", "exchange_index"], extractor, embedder, config=config, link=False,
     )
+    trace = materialize(rolling.rolling_trace(exchanges, SESSION_KEYS, "exchange_index", summarize))
+    memory = bounded_memory(memory, materialize(flush_numbers(exchanges, trace, step_ms)), config=config)
     asked = items.select(
         F.col("question_id").alias("store_id"), F.col("question_id").alias("query_id"),
         F.col("question").alias("query_text"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
 from ..functions.text import passage_key, utf16_left
-from ..operators import forgetting, graph, ingest
+from ..operators import forgetting, graph, ingest, lifetimes
 from ..operators.groups import ordinals
 from ..session import materialize, ship_package, spread
 from ..sources.providers import Embedder, Extractor
@@ -94,10 +94,11 @@ def index_exchanges(
     embedder: Embedder,
     timestamp_ms: str | None = None,
     config: MemoryConfig = DEFAULT,
+    link: bool = True,
 ) -> Memory:
     """Index ``exchanges(store_id, *order, text)`` in ``order``, numbered from 0 per store.
 
-    The stored and embedded passage text is the extractor's summary. Provider results are
+    Without ``link`` there are no edges, for a memory that is cut by ``bounded_memory`` next. The stored and embedded passage text is the extractor's summary. Provider results are
     written out once, so no later stage repeats a model call.
     """
     ship_package(exchanges.sparkSession)
@@ -127,5 +128,32 @@ def index_exchanges(
     )
     mentions = ingest.build_mentions(triples)
     entities = materialize(entities)
-    edges, nodes = link_graph(triples, mentions, entities, passages, config)
-    return Memory(passages, triples, facts, entities, mentions, materialize(edges), nodes)
+    if link:
+        edges, nodes = link_graph(triples, mentions, entities, passages, config)
+        return Memory(passages, triples, facts, entities, mentions, materialize(edges), nodes)
+    none = mentions.select("store_id", F.col("entity").alias("src"), F.col("entity").alias("dst"), F.lit(0.0).alias("w")).limit(0)
+    return Memory(passages, triples, facts, entities, mentions, none, graph.graph_nodes(entities, passages))
+
+
+def bounded_memory(memory: Memory, flushes: DataFrame, accesses: DataFrame | None = None, config: MemoryConfig = DEFAULT) -> Memory:
+    """What is left of ``memory`` if its passages were indexed flush by flush and every flush forgot down to capacity.
+
+    ``memory`` has all passages that were ever indexed, ``flushes(store_id, passage_seq, flush, flush_ms)`` says when, with later
+    passages in later flushes. Equals indexing and forgetting step by step: a fact or entity that came back counts from then on,
+    and edges lost with a node stay lost.
+    """
+    key = ["store_id", "passage_seq"]
+    stamped = memory.passages.drop("timestamp_ms").join(flushes.select(*key, "flush", F.col("flush_ms").alias("timestamp_ms")), key)
+    stamped = materialize(stamped)
+    lives = materialize(lifetimes.passage_lifetimes(stamped.withColumn("flush_ms", F.col("timestamp_ms")), accesses, config))
+    entity_lives = materialize(lifetimes.entity_lifetimes(memory.triples, lives))
+    kept = materialize(lifetimes.held(lives).select(*key))
+    left = lambda df: df.join(kept, key, "left_semi")
+    passages, triples, mentions = left(stamped).select(*memory.passages.columns), left(memory.triples), left(memory.mentions)
+    seen = lifetimes.held(entity_lives).select("store_id", "entity", F.col("seq").alias("entity_seq"), F.shiftright("seq", ingest.ORD_BITS + 1).alias("first_passage_seq"))
+    entities = memory.entities.drop("entity_seq", "first_passage_seq").join(seen, ["store_id", "entity"]).select(*memory.entities.columns)
+    stated = lifetimes.held(lifetimes.fact_lifetimes(memory.triples, lives)).drop("born", "died").withColumnRenamed("seq", "fact_seq")
+    facts = memory.facts.drop("subject", "predicate", "object", "owner_seq", "fact_seq").join(stated, ["store_id", "fact"]).select(*memory.facts.columns)
+    ledger = lifetimes.ledger_with_removals(memory.triples, memory.entities.select("store_id", "entity", "vec"), entity_lives, lives, config)
+    edges = ledger.unionByName(graph.passage_edges(mentions))
+    return Memory(passages, triples, facts, entities, mentions, materialize(edges), graph.graph_nodes(entities, passages))

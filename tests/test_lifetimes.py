@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
-from engramspark.operators import lifetimes
+from engramspark.operators import graph, ingest, lifetimes
+from engramspark.plans import index
 
 HOUR = 3_600_000
 
@@ -106,11 +108,11 @@ def case(request, spark):
     a = spark.createDataFrame(log, "store_id string, passage_seq bigint, at_ms bigint")
     e = spark.createDataFrame([(s, n, [float(x) for x in v]) for s in "xy" for n, v in vectors.items()], "store_id string, entity string, vec array<double>")
     lives = lifetimes.passage_lifetimes(p, a, config).cache()
-    return config, p, t, e, lives, after, sims
+    return config, p, t, e, lives, after, sims, a
 
 
 def test_every_flush(case):
-    config, p, t, _, lives, after, _ = case
+    config, p, t, _, lives, after, *_ = case
     entities, facts = lifetimes.entity_lifetimes(t, lives).cache(), lifetimes.fact_lifetimes(t, lives).cache()
     assert lives.count() == p.count()
     counted = {(r.store_id, r.flush): r for r in lifetimes.sizes(p, passages=lives, entities=entities, facts=facts).collect()}
@@ -127,13 +129,31 @@ def test_every_flush(case):
 
 
 def test_edges_in_the_end(case):
-    config, _, t, e, lives, _, sims = case
+    config, _, t, e, lives, _, sims, _ = case
     entities = lifetimes.entity_lifetimes(t, lives)
     got = {(r.store_id, r.src, r.dst): round(r.w, 6) for r in lifetimes.ledger_with_removals(t, e, entities, lives, config).collect()}
     want = {(s, f"entity:{a}", f"entity:{b}"): round(w, 6) for s, sim in sims.items() for a, row in sim.graph.items() for b, w in row.items()}
     assert got == want
 
 
+def test_memory_after_the_last_flush(case):
+    config, p, t, e, _, after, sims, log = case
+    passages = p.select("store_id", "passage_seq", F.lit("").alias("passage_id"), F.lit("").alias("text"), F.array().cast("array<string>").alias("types"), "salience", "timestamp_ms")
+    entities = ingest.build_entities(t).join(e, ["store_id", "entity"])
+    none = t.select("store_id", F.col("subject").alias("src"), F.col("object").alias("dst"), F.lit(0.0).alias("w")).limit(0)
+    full = index.Memory(passages, t, ingest.build_facts(t).withColumn("vec", F.lit(None)), entities, ingest.build_mentions(t), none, graph.graph_nodes(entities, passages))
+    m = index.bounded_memory(full, p.select("store_id", "passage_seq", "flush", "flush_ms"), log, config)
+    for store, sim in sims.items():
+        mine = lambda df: df.where(f"store_id = '{store}'").collect()  # noqa: E731, B023
+        assert {r.passage_seq for r in mine(m.passages)} == set(sim.passages)
+        assert {r.entity for r in mine(m.entities)} == set(sim.entities)
+        assert {r.fact: r.owner_seq for r in mine(m.facts)} == sim.facts
+        assert {(r.entity, r.passage_seq) for r in mine(m.mentions)} == {(x, s) for x, seqs in sim.entities.items() for s in seqs}
+        want = {(f"entity:{a}", f"entity:{b}"): round(w, 6) for a, row in sim.graph.items() for b, w in row.items()}
+        want |= {k: 1.0 for x, seqs in sim.entities.items() for s in seqs for k in ((f"entity:{x}", f"passage:{s}"), (f"passage:{s}", f"entity:{x}"))}
+        assert {(r.src, r.dst): round(r.w, 6) for r in mine(m.edges)} == want
+
+
 def test_long_flush_and_no_rows(spark):
     """A flush far beyond capacity is cut as it streams; empty tables give empty results."""
     schema = "store_id string, flush int, flush_ms bigint, passage_seq bigint, salience double, timestamp_ms bigint"
