@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUFFER_TOKEN_LIMIT
 from ..functions.text import compression_target, estimate_tokens
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 # Fixed value: the line a summary of summaries starts with.
 EARLIER = "[Summary of earlier conversation]\n"
@@ -30,17 +30,24 @@ def summarize_exchanges(exchanges: DataFrame, summarizer, text: str = "exchange_
     return exchanges.withColumn("summary", summarizer.column(F.col(text), compression_target(F.col(text))))
 
 
-def summarize_summaries(summaries: DataFrame, keys: Sequence[str], pos: str, summarizer) -> DataFrame:
-    """One narrative per key (a flush or session) from its exchange summaries in order.
+def summarize_summaries(summaries: DataFrame, keys: Sequence[str], pos: str, summarizer, fan: int = 64) -> DataFrame:
+    """One narrative per key (a flush or session) from its exchange summaries, ``pos`` from 0 giving their order.
 
-    A flush holds what fits one buffer, so its summaries join into one prompt.
+    At most ``fan`` consecutive summaries join into one prompt; a longer session is summarized in rounds, so no prompt and no value
+    grows with it. Every round is written once and its calls are not repeated.
     """
     ship_package(summaries.sparkSession)
-    joined = summaries.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(pos, "summary"))), lambda s: s["summary"]), "\n\n"
-        ).alias("joined")
-    )
-    return joined.select(
-        *keys, F.concat(F.lit(EARLIER), summarizer.column(F.col("joined"), compression_target(F.col("joined")))).alias("narrative")
-    )
+    level = summaries.select(*keys, F.col(pos).cast("bigint").alias("_at"), "summary")
+    left = (level.agg(F.max("_at")).first()[0] or 0) + 1
+    while True:
+        left = -(-left // fan)
+        block = F.floor(F.col("_at") / fan).cast("bigint").alias("_at")
+        joined = level.groupBy(*keys, block).agg(
+            F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct(level["_at"].alias("i"), "summary"))), lambda s: s["summary"]), "\n\n"
+            ).alias("joined")
+        )
+        level = joined.select(*keys, "_at", summarizer.column(F.col("joined"), compression_target(F.col("joined"))).alias("summary"))
+        if left <= 1:
+            return level.select(*keys, F.concat(F.lit(EARLIER), "summary").alias("narrative"))
+        level = materialize(level)
