@@ -661,6 +661,14 @@ ORACLES: dict[str, str] = {
         hit as (select c.*, list_has_any(regexp_split_to_array(lower(query_text), '\\s+'), string_split(fact, ' ')) as hit from cand c join qs using (store_id, query_id))
         select store_id, query_id, row_number() over (partition by store_id, query_id order by rank) - 1 as pos, subject, predicate, object
         from hit where hit""",
+    "carried_seeds": f"""with {MEMORY}, {FACT_SCORES}, cand as {OPEN_CANDIDATES},
+        hit as (select c.*, list_has_any(regexp_split_to_array(lower(query_text), '\\s+'), string_split(fact, ' ')) as hit from cand c join qs using (store_id, query_id)),
+        rt as (select store_id, query_id, row_number() over (partition by store_id, query_id order by rank) - 1 as pos, subject, predicate, object from hit where hit),
+        ops as (select store_id, 3 * query_id as op_no, case when query_id % 3 <> 0 then 'recognize' else 'recall' end as kind from qs
+          union all select store_id, 3 * query_id + 1, 'recall' from qs),
+        sourced as (select *, max(case when kind = 'recognize' then op_no end) over (partition by store_id order by op_no) as source_op from ops)
+        select s.store_id, op_no, source_op, pos, subject, predicate, object
+        from sourced s join rt on rt.store_id = s.store_id and rt.query_id * 3 = source_op where kind = 'recall'""",
     "entity_seed_weights": f"with {MEMORY}, {FACT_SCORES}, {RECALL.format(cand=OPEN_CANDIDATES)} select store_id, query_id, node, round(p, 7) as p from es",
     "retrieved_passages": recall_sql(OPEN_CANDIDATES, "", ""),
     "filtered_retrieval": recall_sql(LIMITED_CANDIDATES, FILTERS, "join ok using (store_id, query_id, passage_seq)"),

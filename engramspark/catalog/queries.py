@@ -11,7 +11,7 @@ from ..functions.vector import min_max_normalize
 from ..operators import chunking, compact, conversation, evaluation, forgetting, graph, ingest, lifetimes, notepad, pagerank, pressure, rolling, tags, topics
 from ..operators.groups import ordinals
 from ..operators.similarity import knn_join, score_blocks, top_k
-from ..plans import evaluate, index, retrieve
+from ..plans import call_log, evaluate, index, retrieve
 from ..session import materialize, spread
 from ..sources import dataset, progress
 from ..sources.providers import KeywordSummarizer, SharedWordFilter
@@ -256,6 +256,16 @@ def recognized_triples(spark, sf):
     return retrieve.recognize(m, q, SharedWordFilter())
 
 
+def carried_seeds(spark, sf):
+    """Two calls per benchmark query in every store: most recognize and then recall, every third recalls with what went before."""
+    m, q = src.document_memory(spark, sf), src.benchmark_queries(spark, sf)
+    first = F.struct((F.col("query_id") * 3).alias("op_no"), F.when(F.col("query_id") % 3 != 0, "recognize").otherwise("recall").alias("kind"))
+    calls = F.explode(F.array(first, F.struct((F.col("query_id") * 3 + 1).alias("op_no"), F.lit("recall").alias("kind"))))
+    log = materialize(q.select("store_id", calls.alias("o"), "query_text", "vec", "type_filter", "topic_filter").select("store_id", "o.*", "query_text", "vec", "type_filter", "topic_filter"))
+    found = retrieve.recognize(m, log.where("kind = 'recognize'").withColumnRenamed("op_no", "query_id"), SharedWordFilter())
+    return call_log.carried_triples(call_log.seed_sources(log.select("store_id", "op_no", "kind"), block=50), found.withColumnRenamed("query_id", "op_no"))
+
+
 def candidate_facts(spark, sf):
     m, q = src.document_memory(spark, sf), src.benchmark_queries(spark, sf)
     return retrieve.candidate_facts(m, q).select(*STORE_QUERY, F.col("item_id").alias("fact"), "rank", r9("score").alias("score"))
@@ -762,7 +772,7 @@ QUERIES = {
         crowded_ledger, synonym_edges,
         ppr_scores, ppr_scores_distributed, ppr_scores_heavy, passage_nodes, supplier_neighbors,
         cosine_topk, knn_synonyms, knn_synonyms_blocks, similar_pairs, minmax_scores,
-        candidate_facts, filtered_candidates, recognized_triples, entity_seed_weights,
+        candidate_facts, filtered_candidates, recognized_triples, carried_seeds, entity_seed_weights,
         retrieved_passages, filtered_retrieval, dense_passages, answer_contexts, packed_contexts, associations, accessed_passages,
         tag_matches, topic_list, consolidated_topics, topic_aliases, merged_topics, forget_candidates, forget_cascade,
         passage_lifetimes, entity_lifetimes, memory_sizes, ledger_removals,
