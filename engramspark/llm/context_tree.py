@@ -311,30 +311,32 @@ def requests(source: DataFrame, depth: int, suffix: int, parts: int, chunk: int)
             yield from emit(part << 32 | number, held, b.schema.field(0).type)
 
     def emit(t, held, ids):
+        for rows in columns(held):
+            n = len(rows[4])
+            kinds = (pa.int64(), ids, pa.bool_(), pa.binary(), pa.binary(), pa.int64())
+            full = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, t)), pa.array(np.full(n, rows[0], dtype=np.int32)), *full],
+                names=["t", "kind", "place", "id", "held_out", "data", "more", "n"],
+            )
+
+    def columns(held):
+        """The chunk's rows kind by kind, so that words are gone when grams are counted."""
         texts = [x[2] for x in held]
+        yield 0, None, [x[0] for x in held], [x[1] for x in held], list(map(zstandard.ZstdCompressor(level=1).compress, texts)), None, None
         train, every = Counter(), {b""}
-        for (_, out, text) in held:
+        for _, out, text in held:
             (every if out else train).update(text.lower().split())
         train[b""] += sum(not x[1] for x in held)
         words = sorted(every | train.keys())
+        yield 1, np.arange(len(words)), None, None, words, None, [train[w] for w in words]
+        del train, every, words
         keys, counts = gram_counts(texts, [not x[1] for x in held], depth)
         part = part_of(keys, suffix, parts)
         order = np.argsort(part, kind="stable")
         places, starts = np.unique(part[order], return_index=True)
         groups = np.split(order, starts[1:])
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for rows in (
-            (0, None, [x[0] for x in held], [x[1] for x in held], list(map(pack, texts)), None, None),
-            (1, np.arange(len(words)), None, None, words, None, [train[w] for w in words]),
-            (2, places, None, None, [planes(np.diff(keys[g], prepend=0)) for g in groups], [planes(counts[g].astype("<u8")) for g in groups], None),
-        ):
-            n = len(rows[4])
-            kinds = (pa.int64(), ids, pa.bool_(), pa.binary(), pa.binary(), pa.int64())
-            full = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(rows[1:], kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, t)), pa.array(np.full(n, rows[0], dtype=np.int32)), *full],
-                names=["t", "kind", "place", "id", "held_out", "data", "more", "n"],
-            )
+        yield 2, places, None, None, [planes(np.diff(keys[g], prepend=0)) for g in groups], [planes(counts[g].astype("<u8")) for g in groups], None
 
     return source.mapInArrow(cut, f"t bigint, kind int, place bigint, id {kind}, held_out boolean, data binary, more binary, n bigint")
 
@@ -386,6 +388,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, chunk: int = CH
             n_tokens.append(len(i) + 1)
             n_known.append(int(known[i].sum() + known[0]))
             base.append(float(rate[i].sum() + rate[0]))
+        del train, every, vocabulary, at
         blocks = []
         for a, z in in_blocks(data):
             key, size = gram_keys(data[a:z], depth)
