@@ -159,7 +159,8 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(base, [*keys, "_block"])
+    # as many rows as groups, which no driver should build a broadcast of; the window below needs the same partitions
+    out = cut.join(base.hint("merge"), [*keys, "_block"])
     for v, name in values.items():
         out = out.withColumn(name, F.col(f"_b_{v}") + F.sum(v).over(inside))
     return out.drop("_block", *[f"_b_{v}" for v in values])

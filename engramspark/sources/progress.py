@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..operators.groups import ordinals
 from ..operators.pressure import prefix_sums
+from ..session import materialize
 
 EVENT = (
     "struct<type:string,questionIndex:bigint,questionId:string,questionType:string,question:string,"
@@ -15,6 +16,8 @@ EVENT = (
     "totalQuestions:bigint,completed:bigint,total:bigint,message:string>"
 )
 PREFIX = "data: "
+#: Longest stream that is put together from its chunks in one row.
+JOINED_CHARS = 4_000_000
 
 
 def parse_frames(chunks: DataFrame) -> DataFrame:
@@ -26,8 +29,7 @@ def parse_frames(chunks: DataFrame) -> DataFrame:
     if "chunk_no" in chunks.columns:
         frames = _joined_frames(chunks)
     else:
-        parts = F.split("text", "\n\n")
-        frames = chunks.select("stream_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("frame", "raw"))
+        frames = _whole_frames(chunks)
     line = F.trim(F.col("raw"))
     return (
         frames.where(line.startswith(PREFIX))
@@ -36,23 +38,39 @@ def parse_frames(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _whole_frames(streams: DataFrame) -> DataFrame:
+    parts = F.split("text", "\n\n")
+    return streams.select("stream_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("frame", "raw"))
+
+
 def _joined_frames(chunks: DataFrame) -> DataFrame:
     """Numbered frames of chunked streams, without the unfinished last one of each.
 
-    The pieces of a chunk get the number of blank lines before them in the stream, summed block by block; pieces with one
-    number are one frame. A blank line that was itself cut shows when they are joined, so joined text is split again.
+    Streams within ``JOINED_CHARS`` (counted first) are put together. In longer ones the pieces of a chunk get the number of
+    blank lines before them, summed block by block, and pieces with one number are one frame. Line ends pair up from the first
+    of a run on, so an odd one at the end of a chunk moves to the next chunk, and no blank line is cut.
     """
-    pieces = F.split("text", "\n\n")
-    placed = ordinals(chunks.select("stream_id", "chunk_no", pieces.alias("pieces"), (F.size(pieces) - 1).alias("ends")), ["stream_id"], ["chunk_no"], "_pos")
-    counted = prefix_sums(placed, ["stream_id"], "_pos", {"ends": "upto"}, DEFAULT.fold_block)
-    flat = counted.select("stream_id", "chunk_no", "ends", (F.col("upto") - F.col("ends")).alias("before"), F.posexplode("pieces").alias("i", "piece"))
-    joined = flat.groupBy("stream_id", (F.col("before") + F.col("i")).alias("n")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "piece"))), lambda s: s["piece"]), "").alias("raw"),
+    stream = ["stream_id"]
+    if (chunks.groupBy(*stream).agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0) <= JOINED_CHARS:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda s: s["text"])
+        return _whole_frames(chunks.groupBy(*stream).agg(F.array_join(texts, "").alias("text")))
+    sums = lambda df, keys, values: prefix_sums(df, keys, "_pos", values, DEFAULT.fold_block)
+    placed = ordinals(chunks.select("stream_id", "chunk_no", F.coalesce("text", F.lit("")).alias("text")), stream, ["chunk_no"], "_pos")
+    tail = F.length("text") - F.length(F.regexp_replace("text", "\n+\\z", ""))
+    placed = materialize(placed.withColumn("tail", tail).withColumn("solid", (F.col("tail") < F.length("text")).cast("int")))
+    earlier = placed.select("stream_id", (F.col("_pos") + 1).alias("_pos"), F.col("tail").alias("run"), F.col("solid").alias("cut"))
+    runs = placed.join(earlier.hint("merge"), ["stream_id", "_pos"], "left").fillna(0, ["run", "cut"])
+    runs = sums(sums(runs, stream, {"cut": "run_no"}), ["stream_id", "run_no"], {"run": "held"})
+    got = F.col("held") % 2
+    left = (F.when(F.col("solid") == 0, got).otherwise(0) + F.col("tail")) % 2
+    mended = F.concat(F.repeat(F.lit("\n"), got.cast("int")), "text")
+    mended = F.substring(mended, F.lit(1), (F.length(mended) - left).cast("int"))
+    cut = runs.select("stream_id", "_pos", F.split(mended, "\n\n").alias("pieces")).withColumn("ends", F.size("pieces") - 1)
+    flat = sums(cut, stream, {"ends": "upto"}).select("stream_id", "_pos", "ends", (F.col("upto") - F.col("ends")).alias("before"), F.posexplode("pieces").alias("i", "piece"))
+    return flat.groupBy("stream_id", (F.col("before") + F.col("i")).alias("frame")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "piece"))), lambda s: s["piece"]), "").alias("raw"),
         F.bool_or(F.col("i") < F.col("ends")).alias("ended"),
-    )
-    parts = F.split("raw", "\n\n")
-    whole = F.when(F.col("ended"), parts).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1))
-    return ordinals(joined.select("stream_id", "n", F.posexplode(whole).alias("sub", "raw")), ["stream_id"], ["n", "sub"], "frame")
+    ).where("ended").drop("ended")
 
 
 def event_frames(events: DataFrame) -> DataFrame:
