@@ -1,9 +1,13 @@
 """Plans and results of steps that once grew faster than their input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engramspark.config import DEFAULT
+from engramspark.config import DEFAULT, MemoryConfig
+from engramspark.functions.vector import min_max_normalize
+from engramspark.operators import similarity
+from engramspark.operators.similarity import scaled_scores, score_blocks
 from engramspark.sources import progress
 
 
@@ -20,3 +24,34 @@ def test_chunked_streams_broadcast_nothing_per_stream(spark, chars, size, monkey
     rows = got.collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, want.collect())) and len(rows) == 40
     assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scaled_scores_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 2, i, i, None if i == 7 else [] if i == 8 else rng.normal(size=4).tolist()) for i in range(60)]
+    items = spark.createDataFrame(rows, "store_id int, item_id bigint, seq bigint, vec array<double>")
+    queries = items.select("store_id", F.col("item_id").alias("query_id"), "vec")
+    config = MemoryConfig(query_block=4, item_block=9)
+    out = scaled_scores(queries, items, ["store_id"], config)
+    raw = score_blocks(queries, items, ["store_id"], None, config).select("store_id", "query_id", "item_id", "score")
+    want = {(r.query_id, r.item_id): r.s for r in min_max_normalize(raw, ["store_id", "query_id"], "score", "s").collect()}
+    got = {(r.query_id, r.item_id): r.score for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) == 29 * 30 + 30 * 30
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]  # nothing moves once the pairs are made
+
+
+def test_copies_of_vectors_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ITEM_BLOCKS", 2, raising=False)
+    monkeypatch.setattr(similarity, "KNN_BLOCKS", 3, raising=False)
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(1, i, i, rng.normal(size=4).tolist()) for i in range(120)], "store_id int, item_id bigint, seq bigint, vec array<double>")
+    queries = items.select("store_id", F.col("item_id").alias("query_id"), "vec")
+    config = MemoryConfig(query_block=4, item_block=9, knn_block=8)
+    assert score_blocks(queries, items, ["store_id"], 1, config).count() <= 2 * 120  # one winner per block of items
+    base = items.select("store_id", "item_id", "seq", "vec")
+    assert similarity._block_pairs(base, ["store_id"], -1.0, config).count() <= 120 * 12  # before: a copy for each of 15 blocks or more
+    whole = MemoryConfig(knn_block=1000)
+    few, one = (sorted((r.query_id, r["rank"], r.item_id) for r in similarity.knn_join(items, ["store_id"], 0.1, 5, c).collect()) for c in (config, whole))
+    assert few == one
