@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators.groups import ordinals
 from ..session import materialize
 
@@ -68,7 +69,7 @@ def array_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).where(F.length(F.regexp_replace("json", r"\s", "")) > 0)
     number = F.when(F.col("key").rlike("^(0|[1-9][0-9]{0,8})$"), F.col("key").cast("bigint"))
     found = found.select("json", F.lit(0).alias("all"), F.struct("file", number.isNull().alias("named"), number.alias("number"), "element").alias("place"))
-    return ordinals(found, ["all"], ["place"], "pos").select("pos", "json")
+    return ordinals(found, ["all"], ["place"], "pos", DEFAULT.ordinal_wide_rows).select("pos", "json")
 
 
 def _few(df: DataFrame, limit: int = 200_000) -> bool:

@@ -8,7 +8,11 @@ from engramspark.config import DEFAULT, MemoryConfig
 from engramspark.functions.vector import min_max_normalize
 from engramspark.operators import similarity
 from engramspark.operators.similarity import scaled_scores, score_blocks
-from engramspark.sources import progress
+from engramspark.catalog import queries
+from engramspark.operators.groups import ordinals
+from engramspark.plans import index
+from engramspark.sources import json_array, progress
+from engramspark.sources.providers import KeywordExtractor
 
 
 @pytest.mark.parametrize("chars,size", [(10**6, 3), (0, 1), (0, 3), (0, 4)])
@@ -55,3 +59,32 @@ def test_copies_of_vectors_are_bounded(spark, monkeypatch):
     whole = MemoryConfig(knn_block=1000)
     few, one = (sorted((r.query_id, r["rank"], r.item_id) for r in similarity.knn_join(items, ["store_id"], 0.1, 5, c).collect()) for c in (config, whole))
     assert few == one
+
+
+def test_positions_of_wide_rows_and_null_groups_need_no_window_of_a_group(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "a", i) for i in range(30)], "store_id string, n int")
+    got = ordinals(rows, ["store_id"], ["n"], "pos", limit=5).collect()
+    want = {n: i for key in (0, 1) for i, n in enumerate(n for n in range(30) if (n % 3 == 0) == (key == 0))}
+    assert {r.n: r.pos for r in got} == want
+    monkeypatch.setattr(json_array, "DEFAULT", DEFAULT.override(ordinal_wide_rows=1), raising=False)
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"k":{i}}}' for i in range(9)) + "]")
+    out = json_array.array_elements(spark, str(tmp_path / "a.json"))
+    assert [r.json for r in out.orderBy("pos").collect()] == [f'{{"k":{i}}}' for i in range(9)]
+    assert "row_number" not in out._jdf.queryExecution().toString()
+
+
+def test_summaries_need_no_embedding(spark):
+    class Refusing:
+        def column(self, text, input_type="document"):
+            raise AssertionError("embedded")
+
+    docs = spark.createDataFrame([(1, 0, "alpha beta gamma delta"), (1, 1, "beta omega")], "store_id int, at int, text string")
+    memory = index.LazyMemory(docs, ["at"], KeywordExtractor(), Refusing())
+    assert [r.passage_seq for r in memory.summaries.orderBy("passage_seq").collect()] == [0, 1]
+    with pytest.raises(AssertionError):
+        memory.passages
+
+
+def test_passage_ids_move_no_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 5000, "en")], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(queries._document_heads(spark, str(tmp_path)).first()["text"]) == 50
