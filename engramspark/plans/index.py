@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,26 +58,6 @@ class Memory:
         return Memory(**{n: spark.read.parquet(f"{path}/{n}") for n in Memory.__dataclass_fields__})
 
 
-def embed_tables(
-    passages: DataFrame, entities: DataFrame, facts: DataFrame, embedder: Embedder
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One embedding pass over summaries, entity names and facts together."""
-    texts = (
-        passages.select("store_id", F.lit("p").alias("kind"), F.col("passage_seq").alias("at"), "text")
-        .unionByName(entities.select("store_id", F.lit("e").alias("kind"), F.col("entity_seq").alias("at"), F.col("entity").alias("text")))
-        .unionByName(facts.select("store_id", F.lit("f").alias("kind"), F.col("fact_seq").alias("at"), F.col("fact").alias("text")))
-    )
-    done = materialize(texts.select("store_id", "kind", "at", embedder.column(F.col("text")).alias("vec")))
-
-    def attach(df: DataFrame, kind: str, at: str) -> DataFrame:
-        mine = done.where(F.col("kind") == kind).select("store_id", F.col("at").alias(at), "vec")
-        return df.join(mine, ["store_id", at])
-
-    return (
-        attach(passages, "p", "passage_seq"), attach(entities, "e", "entity_seq"), attach(facts, "f", "fact_seq"),
-    )
-
-
 def link_graph(
     triples: DataFrame, mentions: DataFrame, entities: DataFrame, passages: DataFrame,
     config: MemoryConfig = DEFAULT,
@@ -101,38 +82,89 @@ def index_exchanges(
     Without ``link`` there are no edges, for a memory that is cut by ``bounded_memory`` next. The stored and embedded passage text is the extractor's summary. Provider results are
     written out once, so no later stage repeats a model call.
     """
-    ship_package(exchanges.sparkSession)
-    stamp = F.col(timestamp_ms) if timestamp_ms else F.lit(0)
-    # extraction runs where the texts are read; only its narrow results are moved to be numbered
-    read = materialize(
-        spread(exchanges).select(
-            "store_id", *order, stamp.cast("bigint").alias("timestamp_ms"),
-            utf16_left(F.col("text"), 50).alias("head"), extractor.column(F.col("text")).alias("x"),
+    m = LazyMemory(exchanges, order, extractor, embedder, timestamp_ms, config)
+    if link:
+        return Memory(m.passages, m.triples, m.facts, m.entities, m.mentions, m.edges, m.nodes)
+    none = m.mentions.select("store_id", F.col("entity").alias("src"), F.col("entity").alias("dst"), F.lit(0.0).alias("w")).limit(0)
+    return Memory(m.passages, m.triples, m.facts, m.entities, m.mentions, none, m.nodes)
+
+
+class LazyMemory:
+    """The tables of ``index_exchanges``, each built and written out when it is first asked for.
+
+    A caller that reads only facts pays for no graph, one that reads only ``summaries`` (passages without ``vec``) for no
+    embedding. Texts are extracted once, and every passage, entity and fact is embedded once.
+    """
+
+    def __init__(
+        self, exchanges: DataFrame, order: list[str], extractor: Extractor, embedder: Embedder,
+        timestamp_ms: str | None = None, config: MemoryConfig = DEFAULT,
+    ):
+        self._exchanges, self._order, self._timestamp = exchanges, order, timestamp_ms
+        self._extractor, self._embedder, self._config = extractor, embedder, config
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        ship_package(self._exchanges.sparkSession)
+        stamp = F.col(self._timestamp) if self._timestamp else F.lit(0)
+        # extraction runs where the texts are read; only its results are moved to be numbered
+        read = materialize(
+            spread(self._exchanges).select(
+                "store_id", *self._order, stamp.cast("bigint").alias("timestamp_ms"),
+                utf16_left(F.col("text"), 50).alias("head"), self._extractor.column(F.col("text")).alias("x"),
+            )
         )
-    )
-    numbered = ordinals(read, ["store_id"], order, "passage_seq")
-    got = materialize(
-        numbered.select(
-            "store_id", "passage_seq", passage_key(F.col("passage_seq"), F.col("head")).alias("passage_id"),
-            "timestamp_ms", "x",
+        numbered = ordinals(read, ["store_id"], self._order, "passage_seq", self._config.ordinal_wide_rows)
+        return materialize(
+            numbered.select(
+                "store_id", "passage_seq", passage_key(F.col("passage_seq"), F.col("head")).alias("passage_id"),
+                "timestamp_ms", "x",
+            )
         )
-    )
-    passages = got.select(
-        "store_id", "passage_seq", "passage_id", F.col("x.summary").alias("text"), "x.types", "x.topics",
-        "x.salience", "timestamp_ms", F.lit(0).cast("bigint").alias("access_count"),
-        F.lit(0).cast("bigint").alias("last_accessed_ms"),
-    )
-    triples = ingest.explode_triples(got.select("store_id", "passage_seq", F.col("x.triples").alias("triples")))
-    passages, entities, facts = embed_tables(
-        passages, ingest.build_entities(triples), ingest.build_facts(triples), embedder
-    )
-    mentions = ingest.build_mentions(triples)
-    entities = materialize(entities)
-    if link:
-        edges, nodes = link_graph(triples, mentions, entities, passages, config)
-        return Memory(passages, triples, facts, entities, mentions, materialize(edges), nodes)
-    none = mentions.select("store_id", F.col("entity").alias("src"), F.col("entity").alias("dst"), F.lit(0.0).alias("w")).limit(0)
-    return Memory(passages, triples, facts, entities, mentions, none, graph.graph_nodes(entities, passages))
+
+    def _embedded(self, df: DataFrame, text: str) -> DataFrame:
+        return materialize(df.withColumn("vec", self._embedder.column(F.col(text))))
+
+    @cached_property
+    def summaries(self) -> DataFrame:
+        return self._read.select(
+            "store_id", "passage_seq", "passage_id", F.col("x.summary").alias("text"), "x.types", "x.topics",
+            "x.salience", "timestamp_ms", F.lit(0).cast("bigint").alias("access_count"),
+            F.lit(0).cast("bigint").alias("last_accessed_ms"),
+        )
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        return self._embedded(self.summaries, "text")
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return ingest.explode_triples(self._read.select("store_id", "passage_seq", F.col("x.triples").alias("triples")))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._embedded(ingest.build_facts(self.triples), "fact")
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return self._embedded(ingest.build_entities(self.triples), "entity")
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return materialize(ingest.build_mentions(self.triples))
+
+    @cached_property
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
+        edges, nodes = link_graph(self.triples, self.mentions, self.entities, self.summaries, self._config)
+        return materialize(edges), nodes
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._graph[0]
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return graph.graph_nodes(self.entities, self.summaries)
 
 
 def bounded_memory(memory: Memory, flushes: DataFrame, accesses: DataFrame | None = None, config: MemoryConfig = DEFAULT) -> Memory:
