@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engramspark.config import DEFAULT, MemoryConfig
 from engramspark.functions.vector import min_max_normalize
-from engramspark.operators import similarity
+from engramspark.operators import graph, pagerank, similarity
 from engramspark.operators.similarity import scaled_scores, score_blocks
 from engramspark.catalog import queries
 from engramspark.operators.groups import ordinals
@@ -88,3 +88,32 @@ def test_summaries_need_no_embedding(spark):
 def test_passage_ids_move_no_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "x" * 5000, "en")], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert len(queries._document_heads(spark, str(tmp_path)).first()["text"]) == 50
+
+
+def test_rank_steps_hold_blocks_and_not_a_row_per_node_and_query(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, size=(120, 2)) if a != b})
+    edges = spark.createDataFrame([(1, f"n{a}", f"n{b}", 1.0) for x, y in pairs for a, b in ((x, y), (y, x))], "store_id int, src string, dst string, w double")
+    seeds = spark.createDataFrame([(1, q, f"n{q % 40}", 1.0) for q in range(60)], "store_id int, query_id int, node string, p double")
+    rows = []
+
+    def counted(df, real=pagerank.materialize):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pagerank, "materialize", counted)
+    small = MemoryConfig(ppr_block_edges=100, ppr_cells=50, heavy_node_edges=30)
+    got = {(r.query_id, r.node): r.score for r in pagerank.personalized_pagerank(edges, seeds, None, small, "loop").collect()}
+    want = {(r.query_id, r.node): r.score for r in pagerank.personalized_pagerank(edges, seeds, None, small, "kernel").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert len(got) > 2000 and max(rows) < 1500  # before: nodes times queries
+
+
+def test_pairs_of_facts_are_counted_once_for_both_directions(spark):
+    rows = [(1, "a", "b"), (1, "b", "a"), (1, "c", "c"), (1, None, "x"), (1, "x", None), (2, "a", "b")]
+    triples = spark.createDataFrame(rows, "store_id int, subject string, object string").withColumn("predicate", F.lit("p"))
+    got = sorted(map(tuple, graph.fact_edges(triples).collect()), key=str)
+    e = lambda x: None if x is None else f"entity:{x}"
+    want = [(1, "a", "b", 2.0), (1, "b", "a", 2.0), (1, "c", "c", 2.0), (1, None, "x", 2.0), (1, "x", None, 2.0), (2, "a", "b", 1.0), (2, "b", "a", 1.0)]
+    assert got == sorted([(s, e(a), e(b), w) for s, a, b, w in want], key=str)
