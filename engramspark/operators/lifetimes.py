@@ -22,7 +22,7 @@ from .forgetting import HOUR_MS
 from .graph import both_ways, entity_node
 from .groups import map_groups, ordinals
 from .ingest import ORD_BITS, entity_occurrences, occurrence_seq
-from .similarity import knn_join
+from .similarity import score_blocks
 
 FAR = (1 << 63) - 1
 WINDOW = pa.struct([("edge", pa.int64()), ("above", pa.int64())])
@@ -189,14 +189,16 @@ def sizes(flushes: DataFrame, **lives: DataFrame) -> DataFrame:
     return per_flush.select("store_id", "flush", *[F.sum(n).over(w).alias(n) for n in lives])
 
 
-def write_windows(since: np.ndarray, until: np.ndarray, own: int, k: int) -> list[list[tuple[int, int]]]:
+def write_windows(since: np.ndarray, until: np.ndarray, own: int, k: int, wanted: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
     """For neighbours in order of rank: spans of passages in which each was among the best ``k`` of those alive, newest first.
 
-    ``since`` and ``until`` bound lives in passages, both inside; ``own`` is the searching entity's birth. A span may lie between
+    ``since`` and ``until`` bound lives in passages, both inside; ``own`` is the searching entity's birth. With ``wanted`` only the
+    neighbours it marks get a list, the rest compete. A span may lie between
     two introductions, in which case nothing was written in it; the list ends with the first span that begins with one.
     """
     out: list[list[tuple[int, int]]] = []
-    for i, (b, e) in enumerate(zip(since.tolist(), until.tolist(), strict=True)):
+    for i in range(len(since)) if wanted is None else np.flatnonzero(wanted).tolist():
+        b, e = int(since[i]), int(until[i])
         low = max(own, b)
         births, ends = np.sort(since[:i]), np.sort(until[:i])
         edges = np.unique(np.concatenate([[low], births, ends[ends < FAR] + 1]))
@@ -226,18 +228,24 @@ def removal_writes(
             "store_id", "entity", "seq", "born", F.shiftright("seq", ORD_BITS + 1).alias("since"), F.coalesce("last", F.lit(FAR)).alias("until")
         )
     )
-    items = entities.join(lives.groupBy("store_id", "entity").agg(F.min("seq").alias("seq")), ["store_id", "entity"])
-    pairs = knn_join(items.select("store_id", F.col("entity").alias("item_id"), "seq", "vec"), ["store_id"], config.synonymy_threshold, None, config)
-    pairs = pairs.where(significant_name(F.col("query_id"))).select("store_id", F.col("query_id").alias("a"), F.col("item_id").alias("b"), "score")
+    # only entities alive search, and a life that ended before the searching one's began competes with none of its writes
+    items = entities.where(F.col("vec").isNotNull()).join(lives.groupBy("store_id", "entity").agg(F.min("seq").alias("seq")), ["store_id", "entity"])
+    items = materialize(items.select("store_id", F.col("entity").alias("item_id"), "seq", "vec"))
     searching = spans.where(F.col("until") == FAR).select("store_id", F.col("entity").alias("a"), F.col("since").alias("own"))
-    found = pairs.join(searching, ["store_id", "a"]).join(spans.select("store_id", F.col("entity").alias("b"), "seq", "since", "until"), ["store_id", "b"])
+    asking = items.join(searching.select("store_id", F.col("a").alias("item_id")), ["store_id", "item_id"], "left_semi")
+    asking = asking.where(significant_name(F.col("item_id"))).select("store_id", F.col("item_id").alias("query_id"), "vec")
+    pairs = score_blocks(asking, items, ["store_id"], None, config, threshold=config.synonymy_threshold)
+    pairs = pairs.where(F.col("query_id") != F.col("item_id")).select("store_id", F.col("query_id").alias("a"), F.col("item_id").alias("b"), "score")
+    found = pairs.join(searching, ["store_id", "a"]).join(
+        spans.select("store_id", F.col("entity").alias("b"), "seq", "since", "until"), ["store_id", "b"]
+    ).where(F.col("until") >= F.col("own"))
 
     def windows(t: pa.Table) -> dict:
         until = t["until"].to_numpy()
         present = pa.array(until == FAR)
-        spans = write_windows(t["since"].to_numpy(), until, t["own"][0].as_py(), k)
+        spans = write_windows(t["since"].to_numpy(), until, t["own"][0].as_py(), k, until == FAR)
         of = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int32), pa.array([x for y in spans for x in ({"edge": a, "above": z} for a, z in y)], WINDOW))
-        return {c: t[c].combine_chunks().filter(present) for c in ("store_id", "a", "b", "score")} | {"windows": of.filter(present)}
+        return {c: t[c].combine_chunks().filter(present) for c in ("store_id", "a", "b", "score")} | {"windows": of}
 
     store = found.schema["store_id"].dataType.simpleString()
     asked = map_groups(

@@ -40,7 +40,7 @@ def to_matrix(col: pa.ChunkedArray, lengths: np.ndarray, dim: int) -> np.ndarray
     """Rows whose length is ``dim``; every other row is zero and so scores zero."""
     flat = np.concatenate(
         [c.flatten().to_numpy(zero_copy_only=False) for c in col.chunks] or [np.empty(0)]
-    ).astype(np.float64)
+    ).astype(np.float64, copy=False)
     if (lengths == dim).all():
         return flat.reshape(len(lengths), dim)
     out = np.zeros((len(lengths), dim))
@@ -107,6 +107,7 @@ def score_blocks(
     config: MemoryConfig = DEFAULT,
     allowed: DataFrame | None = None,
     extremes: DataFrame | None = None,
+    threshold: float | None = None,
 ) -> DataFrame:
     """Score ``queries(keys, query_id, vec)`` against ``items(keys, item_id, seq, vec)``.
 
@@ -116,6 +117,7 @@ def score_blocks(
     restricts a query to items of the named groups; ``items`` then carry ``group_id``, and
     the pairs travel to the block they concern. ``k=0`` returns one row per query and block with
     the extremes alone. With ``extremes(keys, query_id, lo, hi)`` scores are scaled to them where they are made.
+    With ``threshold`` only scores of at least that leave a block that returns every score.
     """
     keys = list(keys)
     group = ["group_id"] if allowed is not None else []
@@ -126,14 +128,16 @@ def score_blocks(
     it = items.select(*keys, "item_id", F.col("seq").cast("bigint").alias("seq"), "vec", *group)
     slot = group[0] if group else "item_id"
 
-    def parts(block: int, most: int) -> Column:
-        small, n = F.ceil(F.count(F.lit(1)) / block), F.count(F.lit(1))
-        return F.least(small, F.greatest(F.lit(most), F.ceil(n / (BLOCK_GROWTH * block)))).cast("bigint")
+    def parts(n: str, other: str, block: int, most: int) -> Column:
+        # a copy of each row of the other side per block, which is little where the other side is small
+        mine = F.greatest(F.lit(most), F.ceil(F.col(n) / (BLOCK_GROWTH * block)), F.floor(F.col(n) / F.col(other)))
+        return F.least(F.ceil(F.col(n) / block), mine).cast("bigint")
 
     # every score leaves its block, or every group is listed: small blocks
-    nq, ni = (config.query_block, 2**62 if group or k is None else QUERY_BLOCKS), (config.item_block, 2**62 if group or k is None else ITEM_BLOCKS)
+    most = (2**62, 2**62) if group or k is None else (QUERY_BLOCKS, ITEM_BLOCKS)
     blocks = lookup(
-        q.groupBy(*keys).agg(parts(*nq).alias("_nq")).join(it.groupBy(*keys).agg(parts(*ni).alias("_ni")), keys)
+        q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cq")).join(it.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ci")), keys)
+        .select(*keys, parts("_cq", "_ci", config.query_block, most[0]).alias("_nq"), parts("_ci", "_cq", config.item_block, most[1]).alias("_ni"))
     )
     q_type, i_type = _type_of(q, "query_id"), _type_of(it, "item_id")
     vec_type = "array<double>" if "double" in (_type_of(q, "vec") + _type_of(it, "vec")) else "array<float>"
@@ -196,6 +200,8 @@ def score_blocks(
                 scores = np.divide(scores - floor, span, out=np.zeros_like(scores), where=span != 0)
             if k == 0:
                 rows, cols = np.arange(n), np.zeros(n, dtype=np.int64)
+            elif k is None and threshold is not None:
+                rows, cols = np.nonzero(scores >= threshold)
             elif k is None:
                 rows = np.repeat(np.arange(n), n_i)
                 cols = np.tile(np.arange(n_i), n)
