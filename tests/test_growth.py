@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from engramspark.config import DEFAULT, MemoryConfig
 from engramspark.functions.vector import min_max_normalize
-from engramspark.operators import graph, pagerank, similarity
+from engramspark.operators import graph, lifetimes, pagerank, similarity, tags
 from engramspark.operators.similarity import scaled_scores, score_blocks
 from engramspark.catalog import queries
 from engramspark.operators.groups import ordinals
-from engramspark.plans import index
+from engramspark.plans import index, retrieve
 from engramspark.sources import json_array, progress
-from engramspark.sources.providers import KeywordExtractor
+from engramspark.sources.providers import HashEmbedder, KeywordExtractor
 
 
 @pytest.mark.parametrize("chars,size", [(10**6, 3), (0, 1), (0, 3), (0, 4)])
@@ -117,3 +117,57 @@ def test_pairs_of_facts_are_counted_once_for_both_directions(spark):
     e = lambda x: None if x is None else f"entity:{x}"
     want = [(1, "a", "b", 2.0), (1, "b", "a", 2.0), (1, "c", "c", 2.0), (1, None, "x", 2.0), (1, "x", None, 2.0), (2, "a", "b", 1.0), (2, "b", "a", 1.0)]
     assert got == sorted([(s, e(a), e(b), w) for s, a, b, w in want], key=str)
+
+
+def test_few_queries_search_many_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ITEM_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    items = spark.createDataFrame([(1, i, i, rng.normal(size=4).tolist()) for i in range(60)], "store_id int, item_id bigint, seq bigint, vec array<double>")
+    queries = items.where("item_id < 2").select("store_id", F.col("item_id").alias("query_id"), "vec")
+    local = score_blocks(queries, items, ["store_id"], 1, MemoryConfig(item_block=5))
+    assert 2 * 6 < local.count() <= 2 * 12  # a winner per query and block; before: two blocks
+    best = similarity.top_k(queries, items, ["store_id"], 1, MemoryConfig(item_block=5)).collect()
+    assert sorted((r.query_id, r.item_id) for r in best) == [(0, 0), (1, 1)]
+
+
+def test_stores_of_many_edges_are_recalled_in_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, i, t) for i, t in enumerate(["alpha bravo charlie", "bravo delta alpha", "echo foxtrot delta"])], "store_id int, at int, text string")
+    memory = index.index_exchanges(docs, ["at"], KeywordExtractor(), HashEmbedder())
+    queries = retrieve.embed_queries(spark.createDataFrame([(1, 1, "alpha bravo")], "store_id int, query_id int, query_text string"), HashEmbedder())
+    pick = lambda df: {(r.passage_seq, r["rank"], round(r.score, 9)) for r in df.collect()}
+    want = pick(retrieve.retrieve(memory, queries, method="loop"))
+    kinds = []
+
+    def shown(df, *rest, real=retrieve.map_groups):
+        kinds.append({f.name: f.dataType.simpleString() for f in df.schema})
+        return real(df, *rest)
+
+    monkeypatch.setattr(retrieve, "map_groups", shown)
+    assert pick(retrieve.retrieve(memory, queries)) == want and want
+    assert kinds[0]["a"] == kinds[0]["b"] == "bigint" and DEFAULT.kernel_max_edges > 2_000_000
+
+
+def test_only_wanted_neighbours_get_windows():
+    rng = np.random.default_rng(4)
+    since = rng.integers(0, 50, 40)
+    until = np.where(rng.random(40) < 0.3, lifetimes.FAR, since + rng.integers(0, 30, 40))
+    wanted, own = until == lifetimes.FAR, 20
+    every = lifetimes.write_windows(since, until, own, 3)
+    assert lifetimes.write_windows(since, until, own, 3, wanted) == [w for w, x in zip(every, wanted, strict=True) if x]
+    late = until >= own  # earlier lives compete with nothing
+    assert lifetimes.write_windows(since[late], until[late], own, 3, wanted[late]) == [w for w, x in zip(every, wanted, strict=True) if x]
+
+
+def test_filters_are_matched_inside_the_rows_of_passages(spark):
+    passages = spark.createDataFrame(
+        [(1, 0, ["plan"], ["large-ring", "ring"]), (1, 1, ["event", "plan"], ["large"]), (1, 2, None, ["ringing"]), (1, 3, ["event"], None)],
+        "store_id int, passage_seq bigint, types array<string>, topics array<string>",
+    )
+    filters = spark.createDataFrame(
+        [(1, 1, ["plan"], ["large ring", "ring"]), (1, 2, None, ["ring large"]), (1, 3, ["event", "event", None], []), (1, 4, [], None), (1, 5, ["goal"], ["ring"])],
+        "store_id int, query_id int, type_filter array<string>, topic_filter array<string>",
+    )
+    out = tags.matching_passages(passages, filters)
+    assert sorted((r.query_id, r.passage_seq) for r in out.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 1), (3, 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashAggregate" not in plan and "hashpartitioning" not in plan
