@@ -86,3 +86,31 @@ def test_access_log(spark):
     log = spark.createDataFrame([(1, 0, 9), (1, 0, 7)], "store_id int, passage_seq bigint, at_ms bigint")
     got = {r.passage_seq: (r.access_count, r.last_accessed_ms) for r in forgetting.apply_access_log(p, log).collect()}
     assert got == {0: (3, 9), 1: (0, 0)}
+
+
+def test_what_stays_is_found_from_the_few_that_stay(spark, monkeypatch):
+    rnd = random.Random(11)
+    names = "abcdefgh"
+    rows = [(s, p, o, rnd.choice(names), rnd.choice("pq"), rnd.choice(names)) for s in (1, 2) for p in range(30) for o in range(2)]
+    t = spark.createDataFrame(rows, "store_id int, passage_seq bigint, ord int, subject string, predicate string, object string")
+    passages = spark.createDataFrame([(s, p, rnd.random(), 0, 0, 0) for s in (1, 2) for p in range(30)],
+        "store_id int, passage_seq bigint, salience double, timestamp_ms bigint, access_count bigint, last_accessed_ms bigint")
+    config = MemoryConfig(max_passages=2)
+    mentions = ingest.build_mentions(t)
+    edges = graph.fact_edges(t).unionByName(graph.passage_edges(mentions))
+    gone = forgetting.forget_candidates(passages, 3_600_000, config)
+    want = forgetting.remove_passages(gone, passages, t, mentions, ingest.build_entities(t), ingest.build_facts(t), edges)
+    written = []
+
+    def counted(df, real=forgetting.materialize):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(forgetting, "materialize", counted)
+    got = forgetting.keep_passages(forgetting.kept_passages(passages, 3_600_000, config), passages, t)
+    for name, a, b in zip(got._fields, got, want, strict=True):
+        columns = sorted(b.columns)
+        assert sorted(map(tuple, a.select(*columns).collect())) == sorted(map(tuple, b.select(*columns).collect())), name
+    assert written == [8]  # the triples of what stays; before: all 120, in the query
+    assert got.entities.count() < 16
