@@ -8,7 +8,7 @@ emits only its local winners. No task sees a whole store and no pair list is bui
 from __future__ import annotations
 
 import math
-from bisect import bisect_right, insort
+from bisect import insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +25,7 @@ from .groups import largest_group, map_groups, top_rows
 
 #: Scores held at a time inside a task.
 SLICE_CELLS = 4_000_000
+PAIR_CELLS = 2_000_000  # numbers of the vectors of close pairs held at a time
 #: A store is cut into no more blocks than these, so that the copies of a row stay as they are while tables grow; blocks grow
 #: up to the given multiple of their configured size instead, and only then the copies do.
 QUERY_BLOCKS, ITEM_BLOCKS, BLOCK_GROWTH = 64, 8, 32
@@ -68,6 +69,51 @@ def cosine_slices(a_col: pa.ChunkedArray, b_col: pa.ChunkedArray, cells: int = S
         yield at, scores
 
 
+def close_pairs(
+    a_col: pa.ChunkedArray, b_col: pa.ChunkedArray, threshold: float, cells: int = SLICE_CELLS
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs at or above ``threshold``, slice by slice of a's rows: first row, rows, and ascending (row in the slice, row of b, score).
+
+    Unit vectors in single precision tell which pairs may reach the threshold, with a margin above the rounding error of their
+    products; the scores of those alone are computed in double precision.
+    """
+    a_len, b_len = lengths_of(a_col), lengths_of(b_col)
+    dims = np.unique(a_len[a_len > 0])
+    margin = (max(dims, default=0) + 8) * 2.0**-23
+    if threshold <= margin:  # pairs that score zero count too
+        for at, scores in cosine_slices(a_col, b_col, cells):
+            rows, cols = np.nonzero(scores >= threshold)
+            yield at, len(scores), rows, cols, scores[rows, cols]
+        return
+    sized = []
+    for dim in dims:
+        sides = []
+        for col, length in ((a_col, a_len), (b_col, b_len)):
+            v = to_matrix(col, length, dim)
+            norm = np.sqrt((v * v).sum(1))
+            unit = np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0).astype(np.float32)
+            sides += [v, norm, unit]
+        sized.append(sides)
+    step = max(1, cells // max(1, len(b_len)))
+    for at in range(0, len(a_len), step):
+        n, parts = min(step, len(a_len) - at), []
+        for a, a_norm, a_unit, b, b_norm, b_unit in sized:
+            rows, cols = np.nonzero(a_unit[at : at + n] @ b_unit.T >= np.float32(threshold - margin))
+            scores = np.empty(len(rows))
+            for i in range(0, len(rows), PAIR_CELLS // a.shape[1] + 1):
+                some = slice(i, i + PAIR_CELLS // a.shape[1] + 1)
+                r, c = at + rows[some], cols[some]
+                scores[some] = np.einsum("ij,ij->i", a[r], b[c]) / (a_norm[r] * b_norm[c])
+            sure = scores >= threshold
+            parts.append((rows[sure], cols[sure], scores[sure]))
+        if len(parts) == 1:
+            yield at, n, *parts[0]
+        elif parts:  # a row has one length, so its pairs stay together
+            rows, cols, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(rows, kind="stable")
+            yield at, n, rows[order], cols[order], scores[order]
+
+
 def cosine_matrix(a_col: pa.ChunkedArray, b_col: pa.ChunkedArray) -> np.ndarray:
     parts = [scores for _, scores in cosine_slices(a_col, b_col)]
     return np.concatenate(parts) if parts else np.zeros((0, len(b_col)))
@@ -354,12 +400,17 @@ def knn_join(
         a, b = t.slice(0, n_a), t.slice(n_a)
         if n_a == 0:
             return
-        for one, two in [(a, a)] if n_a == t.num_rows else [(a, b), (b, a)]:
-            for at, scores in cosine_slices(one["vec"], two["vec"]):
-                hit = scores >= threshold
-                if one is two:
-                    hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-                yield _local_hits(one.slice(at, len(hit)), two, scores, hit, k, keys, over_time)
+        same = n_a == t.num_rows
+        two = a if same else b
+        for at, n, rows, cols, scores in close_pairs(a["vec"], two["vec"], threshold):
+            part = a.slice(at, n)
+            if same:
+                other = rows + at != cols
+                rows, cols, scores = rows[other], cols[other], scores[other]
+            yield _local_hits(part, two, rows, cols, scores, k, keys, over_time)
+            if not same:  # the same products seen from the other side
+                order = np.argsort(cols, kind="stable")
+                yield _local_hits(two, part, cols[order], rows[order], scores[order], k, keys, over_time)
 
     found = map_groups(work, unit, ["_side"], kernel, schema)
     if k is None or over_time:
@@ -377,38 +428,46 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]):
 def ever_best(scores: np.ndarray, seq: np.ndarray, born: np.ndarray, since: int, k: int) -> np.ndarray:
     """Positions that were among the best ``k`` at some time, for an item born at ``since``."""
     order = np.lexsort((seq, -scores))
-    better: list[int] = []
-    kept = []
-    for i in order.tolist():
-        if bisect_right(better, max(since, int(born[i]))) < k:
+    return order[_ever_best_ranked(born[order].tolist(), since, k)]
+
+
+def _ever_best_ranked(born: list[int], since: int, k: int) -> list[int]:
+    """The same for births in order of rank: kept is who came while fewer than ``k`` better ones were there."""
+    if k <= 0:
+        return []
+    kept, better = list(range(min(k, len(born)))), sorted(born[:k])
+    for i in range(k, len(born)):
+        if better[-1] <= since:  # k better ones were there from the start
+            break
+        if born[i] < better[-1]:
             kept.append(i)
-        insort(better, int(born[i]))
-        del better[k:]
-    return np.array(kept, dtype=np.int64)
+            insort(better, born[i])
+            better.pop()
+    return kept
 
 
-def _local_hits(a, b, scores, hit, k, keys, over_time=False) -> dict:
-    seq = b["seq"].to_numpy()
+def _local_hits(a, b, rows, cols, scores, k, keys, over_time=False) -> dict:
+    """Of the pairs (row of a, row of b, score), in ascending order of rows, those that may be among the best ``k``."""
     born, since = (b["born"].to_numpy(), a["born"].to_numpy()) if over_time else (None, None)
-    rows, cols = [], []
-    for i in np.flatnonzero(hit.any(1)):
-        pool = np.flatnonzero(hit[i])
-        if k is not None and len(pool) > k:
-            if over_time:
-                pool = pool[ever_best(scores[i, pool], seq[pool], born[pool], int(since[i]), k)]
-            else:
-                pool = pool[best_columns(scores[i, pool], seq[pool], k)]
-        rows.append(np.full(len(pool), i))
-        cols.append(pool)
-    r = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-    c = np.concatenate(cols) if cols else np.empty(0, dtype=np.int64)
-    ra, ca = pa.array(r, pa.int64()), pa.array(c, pa.int64())
+    if k is not None and len(rows):
+        seq = b["seq"].to_numpy()
+        order = np.lexsort((seq[cols], -scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+        size = np.diff(np.append(first, len(rows)))
+        keep = np.arange(len(rows)) - np.repeat(first, size) < k
+        for start, n in zip(first[size > k].tolist(), size[size > k].tolist(), strict=True) if over_time else ():
+            births = born[cols[start : start + n]]
+            if k and births[:k].max() > since[rows[start]]:
+                keep[start + np.array(_ever_best_ranked(births.tolist(), int(since[rows[start]]), k))] = True
+        rows, cols, scores = rows[keep], cols[keep], scores[keep]
+    ra, ca = pa.array(rows, pa.int64()), pa.array(cols, pa.int64())
     out = {name: a[name].combine_chunks().take(ra) for name in keys}
     out["query_id"] = a["item_id"].combine_chunks().take(ra)
     out["item_id"] = b["item_id"].combine_chunks().take(ca)
     out["query_seq"] = a["seq"].combine_chunks().take(ra)
     out["seq"] = b["seq"].combine_chunks().take(ca)
-    out["score"] = pa.array(scores[r, c] if len(r) else np.empty(0))
+    out["score"] = pa.array(scores)
     if over_time:
-        out["query_born"], out["born"] = pa.array(since[r]), pa.array(born[c])
+        out["query_born"], out["born"] = pa.array(since[rows]), pa.array(born[cols])
     return out

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
 from engramspark.functions.vector import cosine, min_max_normalize
-from engramspark.operators.similarity import ever_best, knn_join, top_k
+from engramspark.operators.similarity import _ever_best_ranked, close_pairs, cosine_slices, ever_best, knn_join, top_k
 
 SMALL = MemoryConfig(query_block=3, item_block=7, knn_block=16)
 
@@ -89,3 +90,33 @@ def test_min_max_of_a_constant_is_zero(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("b", 1.0), ("b", 5.0), ("b", 2.0)], "q string, v double")
     got = sorted((r.q, r.s) for r in min_max_normalize(df, ["q"], "v", "s").collect())
     assert got == [("a", 0.0), ("a", 0.0), ("b", 0.0), ("b", 0.25), ("b", 1.0)]
+
+
+def test_close_pairs_are_those_of_all_scores():
+    rng = np.random.default_rng(8)
+    vecs = [rng.integers(-2, 3, 4 if i % 3 else 9).astype(float).tolist() for i in range(150)]
+    vecs += [[], [0.0] * 4, [1.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0, 1.0], [1e-300] * 4, [3e200, 0.0, 0.0, 0.0]]
+    a = pa.chunked_array([pa.array(vecs[:70], pa.list_(pa.float64())), pa.array(vecs[70:], pa.list_(pa.float64()))])
+    b = a.slice(20)
+    for threshold in (-0.5, 0.0, 0.5, 0.8, 1.0):
+        for cells in (400, 10**6):
+            want = {(at + int(i), int(j)): s[i, j] for at, s in cosine_slices(a, b, cells) for i, j in zip(*np.nonzero(s >= threshold), strict=True)}
+            rows = [(at + int(i), int(j), x) for at, n, r, c, s in close_pairs(a, b, threshold, cells) for i, j, x in zip(r, c, s, strict=True)]
+            assert [x[0] for x in rows] == sorted(x[0] for x in rows)
+            got = {(i, j): x for i, j, x in rows}
+            close = {k for k in want.keys() ^ got.keys() if abs(want.get(k, got.get(k)) - threshold) > 1e-12}
+            assert not close and len(got) == len(rows) and all(abs(got[k] - want[k]) < 1e-12 for k in got.keys() & want.keys())
+    half = pa.chunked_array([pa.array([[1.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0, 1.0]])])
+    assert [s.tolist() for *_, s in close_pairs(half, half, 0.5)] == [[1.0, 0.5, 0.5, 1.0]]  # whole numbers reach the threshold exactly
+
+
+def test_neighbours_are_looked_at_until_enough_are_there_from_the_start():
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, i):
+            Counted.read += not isinstance(i, slice)
+            return super().__getitem__(i)
+
+    births = Counted([5, 4, 9, 1, 2, *range(100)])
+    assert _ever_best_ranked(births, 3, 2) == [0, 1, 3, 4] and Counted.read < 10
