@@ -151,6 +151,29 @@ def clean_extraction(raw: Column, text: Column) -> Column:
     )
 
 
+def word_finder(word: str, letter: str, least: int) -> Callable[[str], list[str]]:
+    """``re.findall(word, text)`` for ``word`` = ``letter`` repeated ``least`` times or more.
+
+    A class of ranges is matched by one look at a table, one of categories by several calls per character. The table ends at
+    U+FFFF, so the few texts with later characters are read by ``word`` itself.
+    """
+    single, ranges = re.compile(letter), []
+    for c in range(0x10000):
+        if single.match(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    spans = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
+    plain, every = re.compile(f"[{spans}]{{{least},}}"), re.compile(word)
+
+    def find(text: str) -> list[str]:
+        short = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return (plain if short else every).findall(text)
+
+    return find
+
+
 class KeywordExtractor:
     """Chains the text's most frequent words into triples; a stand-in for model extraction.
 
@@ -158,20 +181,21 @@ class KeywordExtractor:
     extraction contract asks of a model for one exchange.
     """
 
-    WORD = r"[^\W\d_]{4,}"  # letters of any script
+    LETTER, LEAST = r"[^\W\d_]", 4  # letters of any script
+    WORD = f"{LETTER}{{{LEAST},}}"
     # Fixed values of the extraction contract.
     COMPRESSION, ENTITIES, TOPICS = 4, 6, 5
     PREDICATE = "relates to"
 
     def column(self, text: Column) -> Column:
-        word, share, n_ent, n_top = re.compile(self.WORD), self.COMPRESSION, self.ENTITIES, self.TOPICS
+        words, share, n_ent, n_top = word_finder(self.WORD, self.LETTER, self.LEAST), self.COMPRESSION, self.ENTITIES, self.TOPICS
         predicate = self.PREDICATE
 
         @F.pandas_udf(EXTRACTION)
         def extract(texts: pd.Series) -> pd.DataFrame:
             rows = []
             for t in texts:
-                counts = Counter(word.findall(t or ""))
+                counts = Counter(words(t or ""))
                 ranked = sorted(counts)
                 ranked.sort(key=counts.__getitem__, reverse=True)  # stable: equal counts stay in order of the words
                 ents = ranked[:n_ent]

@@ -1,5 +1,7 @@
 """Plans and results of steps that once grew faster than their input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +173,15 @@ def test_filters_are_matched_inside_the_rows_of_passages(spark):
     assert sorted((r.query_id, r.passage_seq) for r in out.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 1), (3, 3)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "HashAggregate" not in plan and "hashpartitioning" not in plan
+
+
+def test_words_are_found_by_a_table_of_letters():
+    from engramspark.sources import providers
+
+    word = KeywordExtractor.WORD
+    find = providers.word_finder(word, KeywordExtractor.LETTER, KeywordExtractor.LEAST)
+    every = "".join(map(chr, range(0x110000)))
+    rng = np.random.default_rng(6)
+    texts = ["", "plain words_and 1234 abcd5efgh", "größe été ²³¼½ ⅣⅤⅥⅦ 漢字漢字 \ud800abcd", every[:0x10000], every, "abcd𐐀𐐁𐐂𐐃 wxyz"]
+    texts += ["".join(chr(c) for c in rng.choice([32, 45, 95, 97, 122, 0xE9, 0x661, 0x4E00, 0xAA, 0x2160], 300)) for _ in range(50)]
+    assert word == r"[^\W\d_]{4,}" and all(find(t) == re.findall(word, t) for t in texts)
