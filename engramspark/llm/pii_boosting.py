@@ -3,12 +3,14 @@
 Strict patterns give the base spans, which always stay. Generators with high recall then propose overlapping candidates: every
 window of digit groups that may be a card or telephone number, four small groups with dotted or bracketed separators, and words around
 a written or bracketed "at". Boosted trees (symmetric trees, logistic loss) score a candidate by its format and its context;
-per kind the threshold is the least at which the precision on rows kept out of the fit reaches ``precision``. Of
+per kind the threshold is the least at which the precision on spans kept out of the fit reaches ``precision``. Of
 overlapping candidates above their thresholds the best stays, unless it overlaps a base span.
 
 Labels come from the corpus itself: base spans and rewritten forms of them in their own surroundings are positive, all other candidates
-there and natural candidates elsewhere negative. The fit sees at most ``sample`` windows per kind and label, the smallest by
-hash among distinct windows; candidates, features and scores cover every whole text. Without base spans of a kind nothing is added to it.
+that touch those and natural candidates elsewhere negative. All of them are learned from, each distinct window once: tasks make
+the examples and count equal ones, every level of a tree is chosen by sums of gradients per feature value that tasks add up, and
+precision is summed over all scores kept out. The driver sees sums of fixed size only. Gradients are added as
+integers, so the trees do not depend on how rows are dealt. Without base spans of a kind nothing is added to it.
 
 Defined results: a null text is an empty one, with zero counts and no spans; repeated rows give repeated results; an empty table gives
 an empty one; further columns are ignored. All patterns run in time linear in the text, whose length has no bound; memory is a small
@@ -24,20 +26,28 @@ import re
 import string
 from bisect import bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from engramspark.llm.shared import slices
+from engramspark.llm.shared import settle, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 CONTEXT = 48
 #: Base spans of a kind from which on each is rewritten once only.
 FORMS = 400
+#: Feature values from BINS - 1 on are alike.
+BINS = 64
+#: Gradients are added in steps of 1 / SCALE.
+SCALE = 1 << 26
+#: Windows whose examples a task makes, and windows whose distinct examples are one file of the training table.
+WINDOWS_PER_TASK, WINDOWS_PER_FILE = 1000, 4000
+#: Files from which on their sums are added up by Spark before the driver sees them.
+FILES_SUMMED = 32
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,50 +194,62 @@ def features(text: str, kind: str, start: int, end: int) -> list[int]:
 
 
 class Boosted:
-    """Symmetric boosted trees: each has one (feature, bound) per level and a value per leaf."""
+    """Symmetric boosted trees: each has one (feature, bound) per level and a value per leaf.
 
-    def __init__(self, rounds: int = 80, depth: int = 3, rate: float = 0.3, bins: int = 64, ridge: float = 1.0):
+    Examples are columns (features by rows) with the number of positive ones and of all ones that a row stands for.
+    """
+
+    def __init__(self, rounds: int = 80, depth: int = 3, rate: float = 0.3, bins: int = BINS, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.trees: list[tuple[list[tuple[int, int]], np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        x = np.clip(x, 0, self.bins - 1)
-        mean = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.clip(x, 0, self.bins - 1).T)
+
+    @staticmethod
+    def leaves(columns: np.ndarray, splits: list[tuple[int, int]]) -> np.ndarray:
+        leaf = np.zeros(columns.shape[1], np.uint16)
+        for f, bound in splits:
+            leaf = leaf * 2 + (columns[f] > bound)
+        return leaf
+
+    def probabilities(self, columns: np.ndarray) -> np.ndarray:
+        score = np.full(columns.shape[1], self.base)
+        for splits, values in self.trees:
+            score += values[self.leaves(columns, splits)]
+        return 1 / (1 + np.exp(-score))
+
+    def gradients(self, columns: np.ndarray, positive: np.ndarray, total: np.ndarray, splits: list[tuple[int, int]]) -> np.ndarray:
+        """Sums of first and second derivatives per feature, leaf under ``splits`` and value, in steps of 1 / SCALE."""
+        p = self.probabilities(columns)
+        g, h = np.rint((positive - total * p) * SCALE), np.rint(total * p * (1 - p) * SCALE)
+        leaf, size = self.leaves(columns, splits).astype(np.int64) * self.bins, self.bins << len(splits)
+        sums = np.array([[np.bincount(leaf + c, v, size) for c in columns] for v in (g, h)])
+        return sums.astype(np.int64).reshape(2, len(columns), -1, self.bins)
+
+    def grow(self, positive: int, total: int, gradients: Callable[[list[tuple[int, int]]], np.ndarray]) -> Boosted:
+        """All trees, from the sums that ``gradients`` gives over all examples for the trees so far and the splits of the next one."""
+        mean = min(max(positive / total, 1e-3), 1 - 1e-3)
         self.base = math.log(mean / (1 - mean))
-        score = np.full(len(y), self.base)
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
-            leaf, splits = np.zeros(len(y), np.int64), []
-            for level in range(self.depth):
-                best, leaves = (-1.0, 0, 0), 1 << level
-                for f in range(x.shape[1]):
-                    at = leaf * self.bins + x[:, f]
-                    size = leaves * self.bins
-                    gs, hs = (np.bincount(at, v, size).reshape(leaves, self.bins) for v in (g, h))
-                    gl, hl = np.cumsum(gs, 1), np.cumsum(hs, 1)
-                    gr, hr = gl[:, -1:] - gl, hl[:, -1:] - hl
-                    gain = (gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge)).sum(0)
-                    bound = int(gain.argmax())
-                    best = max(best, (float(gain[bound]), f, bound), key=lambda b: b[0])
-                splits.append(best[1:])
-                leaf = leaf * 2 + (x[:, best[1]] > best[2])
-            gs, hs = (np.bincount(leaf, v, 1 << self.depth) for v in (g, h))
-            values = self.rate * gs / (hs + self.ridge)
-            self.trees.append((splits, values))
-            score = score + values[leaf]
+            splits: list[tuple[int, int]] = []
+            for _ in range(self.depth):
+                gl, hl = np.cumsum(gradients(splits), 3) / SCALE
+                gr, hr = gl[:, :, -1:] - gl, hl[:, :, -1:] - hl
+                gain = (gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge)).sum(1)
+                f, bound = divmod(int(gain.argmax()), self.bins)
+                splits.append((f, bound))
+            g, h = (np.stack([left[f, :, bound], right[f, :, bound]], 1).ravel() for left, right in ((gl, gr), (hl, hr)))
+            self.trees.append((splits, self.rate * g / (h + self.ridge)))
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        columns, total = self.columns(x), np.ones(len(y))
+        return self.grow(int(y.sum()), len(y), lambda splits: self.gradients(columns, y, total, splits))
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        x = np.clip(x, 0, self.bins - 1)
-        score = np.full(len(x), self.base)
-        for splits, values in self.trees:
-            leaf = np.zeros(len(x), np.int64)
-            for f, bound in splits:
-                leaf = leaf * 2 + (x[:, f] > bound)
-            score += values[leaf]
-        return 1 / (1 + np.exp(-score))
+        return self.probabilities(self.columns(x))
 
 
 def fresh(kind: str, span: str, r: random.Random) -> str:
@@ -286,66 +308,95 @@ def decoys(kind: str, span: str, r: random.Random) -> list[str]:
     return []
 
 
-def examples(windows: list[tuple[str, str, int, int, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and fold of all candidates in sampled windows (kind, text, start, end, is base)."""
-    xs, ys, folds = [], [], []
-
-    def learn(text: str, known: dict[str, set[Span]], fold: int) -> None:
-        for kind, start, end in candidates(text):
-            xs.append(features(text, kind, start, end))
-            ys.append((start, end) in known.get(kind, ()))
-            folds.append(fold)
-
-    count = Counter(kind for kind, _, _, _, base in windows if base)
-    # few base spans of a kind are repeated with fresh digits
-    repeated = [(w, i) for w in windows for i in range(max(1, min(8, FORMS // count[w[0]])) if w[4] else 1)]
-    for (kind, text, start, end, base), i in repeated:
-        digest = hashlib.md5(text[start:end].encode()).digest()
-        r, fold = random.Random(digest), digest[0] % 3
-        if not base:
-            learn(text, {k: set(v) for k, v in base_spans(text).items()}, fold)
-            continue
-        left, span, right = text[:start], text[start:end], text[end:]
-        r.seed(digest + bytes([i]))
-        span = fresh(kind, span, r) if i else span
-        text = left + span + right
-        learn(text, {k: set(v) for k, v in base_spans(text).items()}, fold)
+def packed(text: str, kind: str, start: int, end: int) -> bytes:
+    """The features of a candidate, a byte each."""
+    return bytes(min(v, BINS - 1) for v in features(text, kind, start, end))
+
+
+WIDTH = len(packed("0", "ip", 0, 1))
+
+
+def unpacked(packs: list[bytes]) -> np.ndarray:
+    """Columns of packed features."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(packs), np.uint8).reshape(-1, WIDTH).T)
+
+
+def fold_of(span: str) -> int:
+    """Spans of fold 0 of three are kept out of the fit."""
+    return hashlib.md5(span.encode()).digest()[0] % 3
+
+
+def copies(spans: int) -> int:
+    """How often a base span is rewritten: few ones of a kind are repeated with fresh digits."""
+    return max(1, min(8, FORMS // max(spans, 1)))
+
+
+def examples(kind: str, text: str, start: int, end: int, times: int) -> Iterator[tuple[bytes, bool]]:
+    """Packed features and label of the candidates that touch a base span, its rewritten forms and its decoys."""
+    left, right, digest = text[:start], text[end:], hashlib.md5(text[start:end].encode()).digest()
+
+    def learn(middle: str, mine: Iterable[Span] = ()) -> Iterator[tuple[bytes, bool]]:
+        new = left + middle + right
+        known = {k: set(v) for k, v in base_spans(new).items()}
+        known[kind].update((start + s, start + e) for s, e in mine)
+        for k, s, e in candidates(new):
+            if s < start + len(middle) and e > start:
+                yield packed(new, k, s, e), (s, e) in known[k]
+
+    for i in range(times):
+        r = random.Random(digest + bytes([i]))
+        span = fresh(kind, text[start:end], r) if i else text[start:end]
+        yield from learn(span)
         for before, form, after in rewritten(kind, span, r):
-            new = left + before + form + after + right
-            at = len(left) + len(before)
-            known = {k: set(v) for k, v in base_spans(new).items()}
-            known.setdefault(kind, set()).add((at, at + len(form)))
-            if kind == "card":
-                known[kind] |= {(len(left), len(left) + len(before) - 1)} if before.strip() == form else {(at + len(form) + 1, at + len(form) + len(after))} if after.strip() == form else set()
-            learn(new, known, fold)
+            at = len(before)
+            mine = [(at, at + len(form))]
+            if kind == "card" and before.strip() == form:
+                mine.append((0, at - 1))
+            elif kind == "card" and after.strip() == form:
+                mine.append((at + len(form) + 1, at + len(form) + len(after)))
+            yield from learn(before + form + after, mine)
         for form in decoys(kind, span, r):
-            learn(left + form + right, {k: set(v) for k, v in base_spans(left + form + right).items()}, fold)
-    width = len(features("0", "ip", 0, 1))
-    return np.array(xs, np.int64).reshape(-1, width), np.array(ys, np.float64), np.array(folds, np.int64)
+            yield from learn(form)
+
+
+def counted(rows: Iterable[tuple[bytes, int, bool]]) -> list[tuple[bytes, int, int, int]]:
+    """(features, fold, positive ones, all ones) of the distinct (features, fold)."""
+    found: dict[tuple[bytes, int], list[int]] = {}
+    for x, fold, label in rows:
+        n = found.setdefault((x, fold), [0, 0])
+        n[0] += label
+        n[1] += 1
+    return [(*key, *n) for key, n in found.items()]
 
 
 def fit(windows: list[tuple[str, str, int, int, bool]], precision: float) -> tuple[Boosted | None, list[float]]:
-    """The trees and a threshold per kind, calibrated on the third of the spans that the trees have not seen."""
-    x, y, fold = examples(windows)
+    """``fit_all`` on a list of windows (kind, text, start, end, is base), without Spark."""
+    spans = Counter(w[0] for w in windows if w[4])
+
+    def rows() -> Iterator[tuple[bytes, int, bool]]:
+        for kind, text, start, end, base in windows:
+            fold = fold_of(text[start:end])
+            for x, label in examples(kind, text, start, end, copies(spans[kind])) if base else [(packed(text, kind, start, end), False)]:
+                yield x, fold, label
+
+    table = counted(rows())
     never = [2.0] * len(KINDS)
-    if not y.any() or y.all():
-        return None, never
-    held = fold == 0
-    if y[~held].all() or not y[~held].any():
+    train, held = ([r for r in table if (r[1] == 0) == out] for out in (False, True))
+    positive, total = (np.array([r[i] for r in train], np.int64) for i in (2, 3))
+    if not 0 < positive.sum() < total.sum():
         return None, never
-    model = Boosted().fit(x[~held], y[~held])
-    scores = model.predict(x[held])
+    columns, model = unpacked([r[0] for r in train]), Boosted()
+    model.grow(int(positive.sum()), int(total.sum()), lambda splits: model.gradients(columns, positive, total, splits))
+    sums: dict[tuple[int, float], list[int]] = {}
+    for (x, _, p, t), s in zip(held, model.probabilities(unpacked([r[0] for r in held])).tolist(), strict=True):
+        n = sums.setdefault((x[0], s), [0, 0])
+        n[0], n[1] = n[0] + p, n[1] + t
     for k in range(len(KINDS)):
-        mine = x[held][:, 0] == k
-        s, t = scores[mine], y[held][mine]
-        order = np.argsort(-s, kind="stable")
-        s, t = s[order], t[order]
-        right = np.cumsum(t) / np.arange(1, len(t) + 1)
-        last = np.ones(len(s), bool)
-        last[:-1] = s[1:] < s[:-1]
-        if (good := np.flatnonzero((right >= precision) & last & (s >= 0.5))).size:
-            last_right = good[-1]
-            never[k] = float(s[last_right] + (s[last_right + 1] if last_right + 1 < len(s) else 0.5)) / 2
+        right, seen, mine = 0, 0, sorted((-s, *n) for (kind, s), n in sums.items() if kind == k)
+        for i, (s, p, t) in enumerate(mine):
+            right, seen = right + p, seen + t
+            if s <= -0.5 and right / seen >= precision:
+                never[k] = (-s + (-mine[i + 1][0] if i + 1 < len(mine) else 0.5)) / 2
     return model, never
 
 
@@ -366,41 +417,137 @@ def merged(spans: list[Span]) -> list[Span]:
     return out
 
 
-def windows_of(docs: DataFrame, sample: int) -> list[tuple[str, str, int, int, bool]]:
-    """At most ``sample`` distinct windows of at most 1000 code points per kind and label: base spans, and candidates that overlap none.
+def windows_of(docs: DataFrame) -> DataFrame:
+    """The distinct windows of all base spans, and of all candidates that overlap none as features, fold and digest."""
+    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    names = ["kind", "window", "start", "end", "x", "fold", "digest"]
 
-    A task hands on no more than that, the smallest by digest, so copies and long tables of numbers cost no shuffle.
-    """
+    def batch(rows: Iterable[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def read(batches):
-        best: dict[tuple[str, bool], dict[bytes, tuple]] = {}
         for b in slices(batches, 500):
+            rows: dict[tuple, None] = {}
             for text in b.column(0).to_pylist():
                 base = base_spans(text)
                 taken = merged([x for v in base.values() for x in v])
-                spans = [(k, s, e, True) for k, v in base.items() for s, e in v]
-                spans += [(k, s, e, False) for k, s, e in candidates(text) if apart(taken, s, e)]
-                for k, s, e, is_base in spans:
+                for k, s, e in ((k, s, e) for k, v in base.items() for s, e in v):
                     low = max(0, s - 2 * CONTEXT)
-                    if len(window := text[low : e + 2 * CONTEXT]) <= 1000:
-                        mine = best.setdefault((k, is_base), {})
-                        mine[hashlib.md5(f"{s - low}:{e - low}:{window}".encode()).digest()] = (k, window, s - low, e - low, is_base)
-                        if len(mine) > 2 * sample:
-                            best[k, is_base] = {d: mine[d] for d in sorted(mine)[:sample]}
-        rows = [(*mine[d], d) for mine in best.values() for d in sorted(mine)[:sample]]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "window", "start", "end", "base", "digest"])
-
-    found = docs.mapInArrow(read, "kind string, window string, start int, end int, base boolean, digest binary").distinct()
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "base").orderBy("digest"))).where(F.col("rank") <= sample)
-    return sorted(tuple(r) for r in ranked.select("kind", "window", "start", "end", "base").collect())
-
-
-def find(docs: DataFrame, sample: int = 600, precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    rows[k, text[low : e + 2 * CONTEXT], s - low, e - low, None, None, None] = None
+                for k, s, e in candidates(text):
+                    if apart(taken, s, e):
+                        low = max(0, s - 2 * CONTEXT)
+                        digest = hashlib.md5(f"{s - low}:{e - low}:{text[low : e + 2 * CONTEXT]}".encode()).digest()
+                        rows[k, None, None, None, packed(text, k, s, e), fold_of(text[s:e]), digest] = None
+                    if len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows.clear()
+            yield batch(rows)
+
+    return docs.mapInArrow(read, "kind string, window string, start int, end int, x binary, fold int, digest binary").distinct()
+
+
+def examples_of(windows: DataFrame, spans: dict[str, int]) -> DataFrame:
+    """Distinct examples of all windows: features, fold, positive ones, all ones."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, bool]]:
+        for kind, window, start, end, x, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if window is None:
+                yield x, fold, False
+                continue
+            fold = fold_of(window[start:end])
+            for x, label in examples(kind, window, start, end, copies(spans[kind])):
+                yield x, fold, label
+
+    def make(batches):
+        for b in slices(batches, 1000):
+            columns = list(zip(*counted(rows(b)), strict=True)) or [[]] * 4
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["x", "fold", "positive", "total"])
+
+    made = windows.select("kind", "window", "start", "end", "x", "fold").mapInArrow(make, "x binary, fold int, positive bigint, total bigint")
+    return made.groupBy("x", "fold").agg(F.sum("positive").alias("positive"), F.sum("total").alias("total"))
+
+
+def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+
+
+def gradients_of(train: DataFrame, model: Boosted, splits: list[tuple[int, int]], summed: bool) -> np.ndarray:
+    """``model.gradients`` over all rows of ``train``: a task hands on one sum per feature, leaf and value that it met."""
+    shape = (2, WIDTH, 1 << len(splits), model.bins)
+
+    def add(batches):
+        sums = np.zeros(shape, np.int64)
+        for b in batches:
+            if b.num_rows:
+                sums += model.gradients(*columns_of(b), splits)
+        g, h = sums.reshape(2, -1)
+        met = np.flatnonzero((g != 0) | (h != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(g[met]), pa.array(h[met])], names=["cell", "g", "h"])
+
+    parts = train.mapInArrow(add, "cell bigint, g bigint, h bigint")
+    if summed:
+        parts = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    found, sums = parts.toArrow(), np.zeros((2, math.prod(shape[1:])), np.int64)
+    for i, name in enumerate(("g", "h")):
+        np.add.at(sums[i], found["cell"].to_numpy(), found[name].to_numpy())
+    return sums.reshape(shape)
+
+
+def thresholds_of(held: DataFrame, model: Boosted, precision: float) -> list[float]:
+    """Per kind the middle between the least score at which precision holds and the next one below; 2 if there is none."""
+
+    def score(batches):
+        for b in batches:
+            if b.num_rows:
+                columns, positive, total = columns_of(b)
+                arrays = [pa.array(columns[0], pa.int32()), pa.array(model.probabilities(columns)), pa.array(positive), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "score", "positive", "total"])
+
+    sums = [F.sum("positive").alias("positive"), F.sum("total").alias("total")]
+    scores = settle(held.mapInArrow(score, "kind int, score double, positive bigint, total bigint").groupBy("kind", "score").agg(*sums))
+    # running sums over buckets of scores, then inside each bucket
+    top = scores.where("score >= 0.5").withColumn("bucket", F.floor(-64 * F.log(1 - F.col("score") + 1e-12)))
+    before = Window.partitionBy("kind").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_above") for c in ("positive", "total")]
+    offsets = top.groupBy("kind", "bucket").agg(*sums).select("kind", "bucket", *above)
+    inside = Window.partitionBy("kind", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    right, seen = (F.col(f"{c}_above") + F.sum(c).over(inside) for c in ("positive", "total"))
+    reached = top.join(offsets, ["kind", "bucket"]).select("kind", "score", (right / seen).alias("precision")).where(F.col("precision") >= precision)
+    least = {r[0]: r[1] for r in reached.groupBy("kind").agg(F.min("score")).collect()}
+    out = [2.0] * len(KINDS)
+    for k, s in least.items():
+        below = scores.where((F.col("kind") == k) & (F.col("score") < s)).agg(F.max("score")).first()[0]
+        out[k] = (s + (0.5 if below is None else below)) / 2
+    return out
+
+
+def fit_all(docs: DataFrame, precision: float) -> tuple[Boosted | None, list[float]]:
+    """The trees from all windows of all texts, and a threshold per kind, calibrated on the third of the spans that the trees have not seen."""
+    windows = settle(windows_of(docs))
+    sizes = windows.groupBy("kind", F.col("window").isNotNull().alias("base")).count().collect()
+    spans, n = {r[0]: r[2] for r in sizes if r[1]}, sum(r[2] for r in sizes)
+    if not spans:
+        return None, [2.0] * len(KINDS)
+    files = -(-n // WINDOWS_PER_FILE)
+    table = settle(examples_of(windows.repartition(-(-n // WINDOWS_PER_TASK)), spans).repartition(files))
+    train, held = (table.where(c).select("x", "positive", "total") for c in ("fold <> 0", "fold = 0"))
+    positive, total = train.agg(F.sum("positive"), F.sum("total")).first()
+    if not 0 < (positive or 0) < (total or 0):
+        return None, [2.0] * len(KINDS)
+    model = Boosted()
+    train.persist()
+    model.grow(positive, total, lambda splits: gradients_of(train, model, splits, files > FILES_SUMMED))
+    train.unpersist()
+    return model, thresholds_of(held, model, precision)
+
+
+def find(docs: DataFrame, precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans as kind:start:end in code points."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model, thresholds = fit(windows_of(source.select("text"), sample), precision)
+    model, thresholds = fit_all(source.select("text"), precision)
     kind = source.schema["id"].dataType.simpleString()
     schema = pa.schema([(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
