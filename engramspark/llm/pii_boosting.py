@@ -46,8 +46,8 @@ BINS = 64
 SCALE = 1 << 26
 #: Windows whose examples a task makes, and windows whose distinct examples are one file of the training table.
 WINDOWS_PER_TASK, WINDOWS_PER_FILE = 1000, 4000
-#: Files from which on their sums are added up by Spark before the driver sees them.
-FILES_SUMMED = 32
+#: From more tasks than this on their sums are added up by Spark before the driver sees them.
+TASKS_SUMMED = 32
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -531,15 +531,15 @@ def fit_all(docs: DataFrame, precision: float) -> tuple[Boosted | None, list[flo
     spans, n = {r[0]: r[2] for r in sizes if r[1]}, sum(r[2] for r in sizes)
     if not spans:
         return None, [2.0] * len(KINDS)
-    files = -(-n // WINDOWS_PER_FILE)
-    table = settle(examples_of(windows.repartition(-(-n // WINDOWS_PER_TASK)), spans).repartition(files))
+    table = settle(examples_of(windows.repartition(-(-n // WINDOWS_PER_TASK)), spans).repartition(-(-n // WINDOWS_PER_FILE)))
     train, held = (table.where(c).select("x", "positive", "total") for c in ("fold <> 0", "fold = 0"))
     positive, total = train.agg(F.sum("positive"), F.sum("total")).first()
     if not 0 < (positive or 0) < (total or 0):
         return None, [2.0] * len(KINDS)
     model = Boosted()
     train.persist()
-    model.grow(positive, total, lambda splits: gradients_of(train, model, splits, files > FILES_SUMMED))
+    summed = train.rdd.getNumPartitions() > TASKS_SUMMED
+    model.grow(positive, total, lambda splits: gradients_of(train, model, splits, summed))
     train.unpersist()
     return model, thresholds_of(held, model, precision)
 
