@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MemoryConfig
 from ..functions.text import significant_name, triple_text
-from ..session import materialize
+from ..session import materialize, ship_package
 from .forgetting import HOUR_MS
 from .graph import both_ways, entity_node
 from .groups import map_groups, ordinals
@@ -26,6 +26,7 @@ from .similarity import score_blocks
 
 FAR = (1 << 63) - 1
 WINDOW = pa.struct([("edge", pa.int64()), ("above", pa.int64())])
+SIZE_ROUNDS = 4  # shares of the keys whose lives are counted one after the other
 PARTIAL = 50_000  # rows of one flush held before the lowest scores among them are taken
 
 
@@ -85,6 +86,7 @@ def passage_lifetimes(
         none = [F.lit(None).cast(t).alias(c) for c, t in (("flush", "bigint"), ("salience", "double"), ("since", "bigint"))]
         rows = rows.unionByName(accesses.select("store_id", F.col("at_ms").cast("bigint").alias("at"), F.lit(0).alias("stored"), F.col("passage_seq").cast("bigint").alias("seq"), *none))
     capacity = config.max_passages
+    ship_package(passages.sparkSession)
 
     def fold(batches) -> Iterator[pa.RecordBatch]:
         store, live, flush, now, held = object(), Live(), None, None, 0
@@ -147,23 +149,31 @@ def _spans(rows: DataFrame, lifetimes: DataFrame) -> DataFrame:
     return rows.join(lifetimes.select("store_id", "passage_seq", "born", "died"), ["store_id", "passage_seq"])
 
 
-def entity_lifetimes(triples: DataFrame, lifetimes: DataFrame) -> DataFrame:
-    """``(store_id, entity, born, died, seq)``: one row per life; ``seq`` orders first mentions."""
+def entity_lifetimes(triples: DataFrame, lifetimes: DataFrame | None = None) -> DataFrame:
+    """``(store_id, entity, born, died, seq)``: one row per life; ``seq`` orders first mentions.
+
+    Without ``lifetimes`` the triples carry ``born`` and ``died`` of their passages, so that no row of theirs is moved to be joined.
+    """
+    if lifetimes is None:
+        return islands(entity_occurrences(triples, "born", "died"), ["store_id", "entity"], "seq")
     seen = entity_occurrences(triples).groupBy("store_id", "passage_seq", "entity").agg(F.min("seq").alias("seq"))
     return islands(_spans(seen, lifetimes), ["store_id", "entity"], "seq")
 
 
-def fact_lifetimes(triples: DataFrame, lifetimes: DataFrame) -> DataFrame:
+def fact_lifetimes(triples: DataFrame, lifetimes: DataFrame | None = None) -> DataFrame:
     """``(store_id, fact, born, died, seq, owner_seq, subject, predicate, object)``: one row per life.
 
-    The first passage of a life owns the fact and supplies its split.
+    The first passage of a life owns the fact and supplies its split. ``lifetimes`` as in ``entity_lifetimes``.
     """
     fact = triple_text(F.col("subject"), F.col("predicate"), F.col("object"))
     seq = F.col("passage_seq").cast("bigint")
     at = F.struct(occurrence_seq().alias("seq"), seq.alias("owner_seq"), "subject", "predicate", "object")
-    stated = triples.select("store_id", seq.alias("passage_seq"), fact.alias("fact"), at.alias("at"))
-    stated = stated.groupBy("store_id", "passage_seq", "fact").agg(F.min("at").alias("at"))
-    return islands(_spans(stated, lifetimes), ["store_id", "fact"], "at").select("store_id", "fact", "born", "died", "at.*")
+    if lifetimes is None:
+        spans = triples.select("store_id", fact.alias("fact"), at.alias("at"), "born", "died")
+    else:
+        stated = triples.select("store_id", seq.alias("passage_seq"), fact.alias("fact"), at.alias("at"))
+        spans = _spans(stated.groupBy("store_id", "passage_seq", "fact").agg(F.min("at").alias("at")), lifetimes)
+    return islands(spans, ["store_id", "fact"], "at").select("store_id", "fact", "born", "died", "at.*")
 
 
 def held(lives: DataFrame, flush: Column | int | None = None) -> DataFrame:
@@ -177,13 +187,16 @@ def held(lives: DataFrame, flush: Column | int | None = None) -> DataFrame:
 def sizes(flushes: DataFrame, **lives: DataFrame) -> DataFrame:
     """Number of rows of each of ``lives`` after every flush of ``flushes(store_id, flush)``.
 
-    Births and deaths are counted per flush before the running sum, which sees one row per flush.
+    Births and deaths are counted per flush before the running sum, which sees one row per flush. ``lives(store_id, key, born, died)``
+    are counted table by table and in ``SIZE_ROUNDS`` shares of their keys, so that the shuffles of one share are there at a time.
     """
     changes = flushes.select("store_id", "flush").distinct().select("*", *[F.lit(0).cast("bigint").alias(n) for n in lives])
     for name, df in lives.items():
         steps = F.explode(F.array(F.struct(F.col("born").alias("flush"), F.lit(1).alias("n")), F.struct(F.col("died").alias("flush"), F.lit(-1).alias("n"))))
-        counted = df.select("store_id", steps.alias("e")).where("e.flush IS NOT NULL").groupBy("store_id", F.col("e.flush").alias("flush")).agg(F.sum("e.n").alias(name))
-        changes = changes.unionByName(counted, allowMissingColumns=True)
+        for share in range(SIZE_ROUNDS):
+            mine = df.where(F.pmod(F.xxhash64(df.columns[1]), F.lit(SIZE_ROUNDS)) == share)
+            counted = mine.select("store_id", steps.alias("e")).where("e.flush IS NOT NULL").groupBy("store_id", F.col("e.flush").alias("flush")).agg(F.sum("e.n").alias(name))
+            changes = changes.unionByName(materialize(counted), allowMissingColumns=True)
     per_flush = changes.groupBy("store_id", "flush").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in lives])
     w = Window.partitionBy("store_id").orderBy("flush")
     return per_flush.select("store_id", "flush", *[F.sum(n).over(w).alias(n) for n in lives])

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
-from engramspark.operators import pagerank
+from engramspark.operators import lifetimes, pagerank
 from engramspark.session import discard, ensure_checkpoint_dir, materialize, settled, stored
 
 
@@ -65,3 +65,25 @@ def test_rank_steps_keep_one_state(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
         kept.append(len(folders(spark) - before))
     assert kept[0] == kept[1]  # before: a state more for each step
+
+
+def test_lives_of_rows_that_carry_their_spans(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(1 + i % 2, int(i // 3), int(i % 3), f"s{rng.integers(6)}", "p", None if i == 7 else f"o{rng.integers(5)}") for i in range(90)]
+    triples = spark.createDataFrame(rows, "store_id int, passage_seq bigint, ord int, subject string, predicate string, object string")
+    spans = [(s, i, i // 4, i // 4 + int(rng.integers(0, 4)) if rng.random() < 0.8 else None) for s in (1, 2) for i in range(28)]
+    lives = spark.createDataFrame(spans, "store_id int, passage_seq bigint, born bigint, died bigint")
+    own = triples.join(lives, ["store_id", "passage_seq"])
+    pick = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for of in (lifetimes.entity_lifetimes, lifetimes.fact_lifetimes):
+        assert pick(of(own)) == pick(of(triples, lives)) != []
+        assert "SortMergeJoin" not in of(own)._jdf.queryExecution().optimizedPlan().toString()
+    flushes = lives.select("store_id", F.col("born").alias("flush"))
+    tables = dict(passages=lives, entities=lifetimes.entity_lifetimes(own), facts=lifetimes.fact_lifetimes(own))
+    found = []
+    for rounds in (1, 3):
+        monkeypatch.setattr(lifetimes, "SIZE_ROUNDS", rounds)
+        found.append(pick(lifetimes.sizes(flushes, **tables)))
+    assert found[0] == found[1]
+    held = lifetimes.held(tables["facts"], 5).where("store_id = 1").count()
+    assert next(r for r in found[0] if r[:2] == (1, 5))[4] == held > 0
