@@ -7,8 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
-from engramspark.operators import lifetimes, pagerank
+from engramspark.operators import lifetimes, packing, pagerank
+from engramspark.plans import index, retrieve
 from engramspark.session import discard, ensure_checkpoint_dir, materialize, settled, stored
+from engramspark.sources.providers import HashEmbedder, KeywordExtractor
 
 
 def shuffle_files(spark):
@@ -87,3 +89,43 @@ def test_lives_of_rows_that_carry_their_spans(spark, monkeypatch):
     assert found[0] == found[1]
     held = lifetimes.held(tables["facts"], 5).where("store_id = 1").count()
     assert next(r for r in found[0] if r[:2] == (1, 5))[4] == held > 0
+
+
+def test_every_batch_of_queries_gets_a_packed_store(spark, monkeypatch):
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    docs = spark.createDataFrame([(s, i, " ".join(words[(i * j + s) % 8] for j in range(1, 9))) for s in (1, 2) for i in range(12)], "store_id int, at int, text string")
+    memory = index.index_exchanges(docs, ["at"], KeywordExtractor(), HashEmbedder())
+    asked = [(s, q, f"{words[q % 8]} {words[(q * 3 + 1) % 8]}") for s in (1, 2) for q in range(10)]
+    queries = retrieve.embed_queries(spark.createDataFrame(asked, "store_id int, query_id int, query_text string"), HashEmbedder())
+    pick = lambda df: sorted((r.store_id, r.query_id, r.passage_seq, r["rank"], round(r.score, 9)) for r in df.collect())
+    want = pick(retrieve.retrieve(memory, queries))
+    rows = []
+
+    def counted(df, *rest, real=retrieve.map_groups):
+        rows.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(retrieve, "map_groups", counted)
+    few = MemoryConfig(kernel_query_block=2)
+    assert pick(retrieve.retrieve(memory, queries, config=few)) == want and want
+    seeds = retrieve.recognize(memory, queries, None, few).count()
+    # before: the edges and passages of a store for each of its 5 batches
+    assert rows[-1] <= 2 * 5 * 3 + 20 + 2 * seeds < 5 * memory.edges.count()
+
+
+def test_seeds_outside_the_graph_keep_their_mass(spark):
+    docs = spark.createDataFrame([(1, i, t) for i, t in enumerate(["alpha bravo charlie", "bravo delta alpha"])], "store_id int, at int, text string")
+    memory = index.index_exchanges(docs, ["at"], KeywordExtractor(), HashEmbedder())
+    queries = retrieve.embed_queries(spark.createDataFrame([(1, 1, "alpha bravo")], "store_id int, query_id int, query_text string"), HashEmbedder())
+    start = spark.createDataFrame([(1, 1, "entity:nowhere", 0.5), (1, 1, "entity:elsewhere", 0.25), (1, 1, "entity:alpha", 0.25)], "store_id int, query_id int, node string, p double")
+    pick = lambda df: sorted((r.passage_seq, r["rank"], round(r.score, 12)) for r in df.collect())
+    short = MemoryConfig(ppr_max_iter=3)
+    assert pick(retrieve._recall_in_tasks(memory, queries, start, None, short)) == pick(retrieve._recall_as_tables(memory, queries, start, None, short))
+
+
+def test_packed_numbers_are_the_same_numbers():
+    rng = np.random.default_rng(2)
+    for a in (np.empty(0), np.arange(5, dtype=np.int32), rng.normal(size=100), np.array([np.nan, -0.0, np.inf]), rng.integers(-(2**63), 2**63 - 1, 50), np.arange(20)[::3]):
+        b = packing.packed_numbers(packing.pack_numbers(a))
+        assert b.dtype == a.dtype and a.tobytes() == b.tobytes()
+    assert len(packing.pack_numbers(np.ones(10_000))) < 2_000
