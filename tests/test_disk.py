@@ -129,3 +129,11 @@ def test_packed_numbers_are_the_same_numbers():
         b = packing.packed_numbers(packing.pack_numbers(a))
         assert b.dtype == a.dtype and a.tobytes() == b.tobytes()
     assert len(packing.pack_numbers(np.ones(10_000))) < 2_000
+
+
+def test_extraction_leaves_one_table(spark):
+    docs = spark.createDataFrame([(1, i, f"alpha bravo{'x' * i}") for i in range(30)], "store_id int, at int, text string")
+    before = folders(spark)
+    memory = index.LazyMemory(docs, ["at"], KeywordExtractor(), HashEmbedder(), config=MemoryConfig(ordinal_wide_rows=5))
+    assert [r.passage_seq for r in memory.summaries.orderBy("passage_seq").collect()] == list(range(30))
+    assert len(folders(spark) - before) == 1  # before: the texts' results up to three times
