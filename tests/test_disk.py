@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from engramspark.config import MemoryConfig
-from engramspark.operators import lifetimes, packing, pagerank
+from engramspark.operators import lifetimes, packing, pagerank, similarity
 from engramspark.plans import index, retrieve
 from engramspark.session import discard, ensure_checkpoint_dir, materialize, settled, stored
 from engramspark.sources.providers import HashEmbedder, KeywordExtractor
@@ -137,3 +137,21 @@ def test_extraction_leaves_one_table(spark):
     memory = index.LazyMemory(docs, ["at"], KeywordExtractor(), HashEmbedder(), config=MemoryConfig(ordinal_wide_rows=5))
     assert [r.passage_seq for r in memory.summaries.orderBy("passage_seq").collect()] == list(range(30))
     assert len(folders(spark) - before) == 1  # before: the texts' results up to three times
+
+
+def test_copies_of_vectors_do_not_grow_with_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(1, i, i, rng.normal(size=4).tolist()) for i in range(90)], "store_id int, item_id bigint, seq bigint, vec array<double>")
+    queries = items.select("store_id", F.col("item_id").alias("query_id"), "vec")
+    whole = {(r.query_id, r.item_id): r.score for r in similarity.scaled_scores(queries, items, ["store_id"]).collect()}
+    rows = []
+
+    def counted(df, *rest, real=similarity.map_groups):
+        rows.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(similarity, "map_groups", counted)
+    small = MemoryConfig(query_block=4, item_block=9)
+    got = {(r.query_id, r.item_id): r.score for r in similarity.scaled_scores(queries, items, ["store_id"], small).collect()}
+    assert got.keys() == whole.keys() and len(got) == 8100 and all(abs(got[k] - whole[k]) < 1e-12 for k in got)
+    assert rows == [90 * 5] * 2  # before: 90 * (23 + 10), and 90 * (23 + 8) for the extremes
